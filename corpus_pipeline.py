@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import mixing, packing, toxicity
+from plinth.llm import mixing, ngram_join, packing, suffix_dedup, toxicity
 from plinth.llm._util import ensure_checkpoint_dir
 from plinth.llm.queries import MIX_SHARE, SOURCE_WEIGHTS
 
@@ -22,9 +22,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.detector_lexicon(docs, labels), keep="clean")
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least id."""
+    return ngram_join.keep_one(docs, n=3, threshold=0.5)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that occur earlier."""
+    return suffix_dedup.drop_repeats(docs, min_words=50)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, to four fifths of their tokens."""
-    return mixing.mixed_documents(docs, SOURCE_WEIGHTS, int(MIX_SHARE * mixing.total_tokens(docs)))
+    return mixing.mixed_documents(docs, SOURCE_WEIGHTS, share=MIX_SHARE)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +45,13 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
+    ("ngram-join", drop_similar),
+    ("suffix-dedup", drop_repeats),
     ("mixing", mix_sources),
     ("packing", pack_bins),
 ]
 
-#: The toxicity stage and the approximate join can't be expressed in SQL.
+#: Automata, the approximate join, the suffix array and packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 

@@ -21,6 +21,19 @@ def as_array(col) -> pa.Array:
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 6 << 20):
+    """Slices of a batch with about ``limit`` bytes of text each (one row at least),
+    so that a task's memory doesn't depend on the batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.string())), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < len(batch):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def split_words(col) -> tuple[pa.Array, np.ndarray]:
     """All words of a text column, one after another, and the offsets of each row."""
     col = as_array(col).cast(pa.large_string())
@@ -94,3 +107,27 @@ def inside(offsets: np.ndarray, n: int, total: int) -> np.ndarray:
     """Whether the run of ``n`` words that starts at each word stays in its row."""
     ends = np.repeat(offsets[1:], np.diff(offsets))
     return np.arange(total) + n <= ends
+
+
+INK = np.ones(256, np.uint8)
+INK[[9, 10, 12, 13, 32]] = 0
+
+
+def count_words(col) -> np.ndarray:
+    """Runs of bytes other than space, tab, newline, form feed and carriage
+    return in each text; 0 for null."""
+    col = pc.fill_null(as_array(col).cast(pa.large_string()), "")
+    if not len(col):
+        return np.empty(0, np.int64)
+    bounds = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    if bounds[-1] == bounds[0]:
+        return np.zeros(len(col), np.int64)
+    ink = INK[np.frombuffer(col.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]]
+    begins = bounds - bounds[0]
+    word = ink.copy()
+    word[1:] &= ink[:-1] ^ 1
+    heads = begins[:-1][np.diff(begins) > 0]
+    word[heads] = ink[heads]
+    out = np.zeros(len(col), np.int64)
+    out[np.diff(begins) > 0] = np.add.reduceat(word, heads, dtype=np.int64)
+    return out

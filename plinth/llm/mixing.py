@@ -23,15 +23,24 @@ empty result.  Clashing column names get a leading underscore.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm._util import checkpoint, free_name, quoted, text_or_empty
+from plinth.llm._text import count_words, pieces
+from plinth.llm._util import checkpoint, free_name, quoted
+
+
+def with_words(docs: DataFrame, keep: dict[str, str], text_col: str) -> DataFrame:
+    """The columns ``keep`` (name: SQL type), with ``_tokens``, the number of words of the text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(count_words(batch.column("_text")))], names=[*keep, "_tokens"])
 
-def count_words(name: str) -> Column:
-    text = F.trim(F.regexp_replace(text_or_empty(name), r"\s+", " "))
-    return F.when(text == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+    return docs.mapInArrow(run, "".join(f"{c} {t}, " for c, t in keep.items()) + "_tokens bigint")
 
 
 def shuffle_key(name: str, seed: int) -> Column:
@@ -47,7 +56,8 @@ def _weight(source: Column, weights: dict[str, float], default: float) -> Column
 
 def finish_times(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, default_weight: float = 1.0, digits: int = 3) -> DataFrame:
     """``_id, _source, _key, _tokens, _vft`` of every document of a positive weight."""
-    keyed = docs.select(quoted(id_col).alias("_id"), quoted(source_col).cast("string").alias("_source"), shuffle_key(id_col, seed).alias("_key"), count_words(text_col).alias("_tokens"))
+    keyed = docs.select(quoted(id_col).alias("_id"), quoted(source_col).cast("string").alias("_source"), shuffle_key(id_col, seed).alias("_key"), quoted(text_col).cast("string").alias("_text"))
+    keyed = with_words(keyed, {"_id": docs.schema[id_col].dataType.simpleString(), "_source": "string", "_key": "string"}, text_col)
     keyed = keyed.withColumn("_w", _weight(F.col("_source"), weights, default_weight)).where("_w > 0").withColumn("_bucket", F.substring("_key", 1, digits))
     totals = keyed.groupBy("_source", "_bucket").agg(F.sum("_tokens").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,10 +68,6 @@ def finish_times(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_
     return joined.select("_id", "_source", "_key", "_tokens", ((F.col("_base") + F.col("_cum")) / F.col("_w")).alias("_vft"))
 
 
-def total_tokens(docs: DataFrame, text_col: str = "text") -> int:
-    return docs.agg(F.sum(count_words(text_col))).first()[0] or 0
-
-
 def cutoff(times: DataFrame, budget: int, levels: int = 3, fan_out: int = 4096) -> float | None:
     """The first finish time at which the cumulative tokens exceed the budget; None if never.
 
@@ -92,25 +98,32 @@ def cutoff(times: DataFrame, budget: int, levels: int = 3, fan_out: int = 4096)
     return found
 
 
-def mix(docs: DataFrame, weights: dict[str, float], budget: int, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, default_weight: float = 1.0) -> DataFrame:
-    """The mix, range-sorted: ``id, source, n_tokens, virtual_finish``."""
+def _timed(docs: DataFrame, weights: dict[str, float], budget: int | None, share: float | None, id_col: str, source_col: str, text_col: str, seed: int, default_weight: float) -> DataFrame:
+    """The finish times of the mix; the budget is given, or a share of the tokens
+    of all sources of a positive weight, rounded down."""
+    if (budget is None) == (share is None) or (budget or 0) < 0 or (share or 0) < 0:
+        raise ValueError("either a budget or a share, not negative")
     times = checkpoint(finish_times(docs, weights, id_col, source_col, text_col, seed, default_weight))
+    if budget is None:
+        budget = int(share * (times.agg(F.sum("_tokens")).first()[0] or 0))
     end = cutoff(times, budget)
-    kept = times if end is None else times.where(F.col("_vft") < end)
+    return times if end is None else times.where(F.col("_vft") < end)
+
+
+def mix(docs: DataFrame, weights: dict[str, float], budget: int | None = None, share: float | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, default_weight: float = 1.0) -> DataFrame:
+    """The mix, range-sorted: ``id, source, n_tokens, virtual_finish``."""
+    kept = _timed(docs, weights, budget, share, id_col, source_col, text_col, seed, default_weight)
     return kept.orderBy("_vft", "_id").select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_tokens").alias("n_tokens"), F.col("_vft").alias("virtual_finish"))
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float], budget: int, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, default_weight: float = 1.0, max_broadcast: int = 50_000) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str, float], budget: int | None = None, share: float | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, default_weight: float = 1.0, max_broadcast: int = 50_000) -> DataFrame:
     """The rows of the mix with all their columns.  A source's part of the mix is
     a prefix of its shuffled order, so one row a source (its last shuffle key)
     decides; up to ``max_broadcast`` sources that is broadcast and no text moves,
     beyond it the join is shuffled."""
-    times = checkpoint(finish_times(docs, weights, id_col, source_col, text_col, seed, default_weight))
-    end = cutoff(times, budget)
-    kept = times if end is None else times.where(F.col("_vft") < end)
+    kept = _timed(docs, weights, budget, share, id_col, source_col, text_col, seed, default_weight)
     s, k = free_name(docs, "_last_source"), free_name(docs, "_last_key")
-    ends = kept.groupBy(F.col("_source").alias(s)).agg(F.max(F.struct("_key", "_id")).alias(k))
-    ends = checkpoint(ends)
+    ends = checkpoint(kept.groupBy(F.col("_source").alias(s)).agg(F.max(F.struct("_key", "_id")).alias(k)))
     ends = F.broadcast(ends) if ends.count() <= max_broadcast else ends
     mine = F.struct(shuffle_key(id_col, seed).alias("_key"), quoted(id_col).alias("_id"))
     return docs.join(ends, quoted(source_col).cast("string").eqNullSafe(F.col(s)) & (mine <= F.col(k)), "left_semi")

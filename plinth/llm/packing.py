@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm._util import quoted
-from plinth.llm.mixing import count_words
+from plinth.llm.mixing import with_words
 
 
 class RoomTree:
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, capacity: int = 2048, group_size: int = 8192, id_col:
     total = docs.count() if n_docs is None else n_docs
     groups = max(1, -(-total // group_size))
     kind = docs.schema[id_col].dataType.simpleString()
-    sized = docs.select(quoted(id_col).alias("_id"), count_words(text_col).alias("_n"))
+    sized = with_words(docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")), {"_id": kind}, text_col).withColumnRenamed("_tokens", "_n")
     sized = sized.withColumn("_g", F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit(""))), F.lit(groups)).cast("int"))
     name = "`" + id_col.replace("`", "``") + "`"
     schema = f"group_id int, bin_id int, bin_offset int, {name} {kind}, copy int, piece int, start_token bigint, n_tokens int"

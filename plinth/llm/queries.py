@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plinth.llm import mixing, packing, sharding, toxicity
+from plinth.llm import hmm, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 SHARDS = {f"shard-{k:03d}": 1 + (k % 4 == 0) for k in range(96)}
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
@@ -24,8 +25,17 @@ def op1_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, to four fifths of their tokens."""
-    docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, SOURCE_WEIGHTS, int(MIX_SHARE * mixing.total_tokens(docs)))
+    return mixing.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, share=MIX_SHARE)
+
+
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that occurs more than once."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), min_words=50)
+
+
+def op4_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with a 3-gram Jaccard similarity of at least 0.5."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
 def op6_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,20 +44,54 @@ def op6_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.detector_lexicon(docs, labels))
 
 
+HOST = r"^[A-Za-z]+://([^/?#:]+)"
+
+
+def url_rules(pages: DataFrame) -> DataFrame:
+    """Rules from the pages' own hosts: each domain is allowed, a spam or pills
+    host blocked, German sections reviewed; nested three deep."""
+    found = pages.select(F.lower(F.regexp_extract("url", HOST, 1)).alias("h"), F.regexp_extract("url", HOST + "(/[^/?#]+/)", 2).alias("section")).where("h <> ''").distinct()
+    action = F.when(F.col("h").rlike("spam|pills"), F.lit("block")).otherwise(F.lit("allow"))
+    domains = found.select(F.concat_ws(".", F.slice(F.split("h", r"\."), -2, 2)).alias("rule"), F.lit("allow").alias("action"))
+    hosts = found.select(F.col("h").alias("rule"), action.alias("action"))
+    sections = found.where("section = '/de/'").select(F.concat("h", "section").alias("rule"), F.lit("review").alias("action"))
+    return domains.union(hosts).union(sections).distinct()
+
+
+def op7_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deciding rule of every page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.apply(pages, url_rules(pages))
+
+
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placement of every document's tokens in bins of 2,048."""
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, group_size=8192)
 
 
+def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robust distance of every document from its language and source."""
+    return quality.outliers(table(spark, sf_dir, "documents"))
+
+
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document under a model trained on all of them."""
+    return hmm.score(table(spark, sf_dir, "documents"), states=6, symbol_bits=16, rounds=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_placement": op1_shard_placement,
     "op2_mix_sources": op2_mix_sources,
+    "op3_repeated_passages": op3_repeated_passages,
+    "op4_similar_pairs": op4_similar_pairs,
     "op6_toxic_documents": op6_toxic_documents,
+    "op7_filter_urls": op7_filter_urls,
     "op8_pack_documents": op8_pack_documents,
+    "op9_quality_outliers": op9_quality_outliers,
+    "op10_hmm_scores": op10_hmm_scores,
 }
 
-TOKENS_SQL = r"""CASE WHEN trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' THEN 0
-    ELSE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) - length(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ', '')) + 1 END"""
+TOKENS_SQL = r"coalesce(len(regexp_extract_all(text, '\S+')), 0)"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": f"""
@@ -58,5 +102,17 @@ v AS (SELECT doc_id, source, n_tokens, (sum(n_tokens) OVER (PARTITION BY source
 r AS (SELECT *, sum(n_tokens) OVER (ORDER BY virtual_finish RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM v),
 e AS (SELECT min(virtual_finish) AS cut FROM r WHERE run > (SELECT CAST(floor(0.8::DOUBLE * sum(n_tokens)) AS BIGINT) FROM k))
 SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, virtual_finish FROM v WHERE coalesce(virtual_finish < (SELECT cut FROM e), true)
+""",
+    "op7_filter_urls": r"""
+WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#:]+(/[^/?#]+/)', 1) AS section,
+             regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^?#]*)', 1) AS path, regexp_extract(url, '(\?[^#]*)', 1) AS query FROM pages),
+k AS (SELECT *, array_to_string(list_reverse(string_split(h, '.')), '.') || '.' || CASE WHEN path = '' THEN '/' ELSE path END || query AS url_key FROM u),
+r AS (SELECT DISTINCT array_to_string(string_split(h, '.')[-2:], '.') AS rule, 'allow' AS action FROM u
+      UNION SELECT h, CASE WHEN regexp_matches(h, 'spam|pills') THEN 'block' ELSE 'allow' END FROM u
+      UNION SELECT h || section, 'review' FROM u WHERE section = '/de/'),
+rk AS (SELECT rule, action, array_to_string(list_reverse(string_split(split_part(rule, '/', 1), '.')), '.') || '.' || CASE WHEN rule LIKE '%/%' THEN '/' || split_part(rule, '/', 2) || '/' ELSE '' END AS prefix FROM r),
+m AS (SELECT k.page_id, k.url, k.url_key, rk.rule, rk.action, row_number() OVER (PARTITION BY k.page_id ORDER BY length(prefix) DESC, rk.action, rk.rule) AS n
+      FROM k LEFT JOIN rk ON starts_with(k.url_key, rk.prefix))
+SELECT page_id, url, url_key, rule, coalesce(action, 'allow') AS action FROM m WHERE n = 1
 """,
 }

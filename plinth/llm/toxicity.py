@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm._text import normalised, split_words
+from plinth.llm._text import normalised, pieces, split_words
 from plinth.llm._util import quoted
 
 BASE_TERMS = ("idiot", "moron", "scum", "worthless", "trash", "loser", "stupid", "pathetic", "disgusting", "clown")
@@ -224,7 +224,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = automata()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, text_col)):
             s, h = score_texts(batch.column(text_col).cast(pa.string()), batch.column(lang_col).cast(pa.string()), machines, p)
             if keep == "clean":
                 yield batch.filter(pa.array(s < threshold))
