@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import hmm, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, url_filter
+from plinth.llm import hmm, media, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 SHARDS = {f"shard-{k:03d}": 1 + (k % 4 == 0) for k in range(96)}
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
@@ -38,6 +40,30 @@ def op4_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
+def rendered_images(embeddings: DataFrame) -> DataFrame:
+    """A media column for the embeddings table: a picture drawn from each vector;
+    ids that leave 3 or 7 on division by 8 show an edited copy of the one before."""
+    kind = embeddings.schema["vec_id"].dataType.simpleString()
+    before = embeddings.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("before"))
+    shown = embeddings.select("vec_id", "embedding").join(before, "vec_id", "left")
+
+    def render(batches):
+        for batch in batches:
+            images = []
+            for k, v, old in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                copy = k is not None and k % 4 == 3 and old is not None
+                picture = media.draw(np.array(old if copy else v or [0.0]))
+                images.append(media.pgm(media.edited(picture, k // 4 % 4) if copy else picture))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(images, pa.binary())], names=["vec_id", "image"])
+
+    return shown.mapInArrow(render, f"vec_id {kind}, image binary")
+
+
+def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cropped, dimmed, turned and shrunk copies among the pictures of the embeddings."""
+    return media.find_copies(rendered_images(table(spark, sf_dir, "embeddings")), id_col="vec_id")
+
+
 def op6_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents rejected for toxicity, with their scores."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -84,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_repeated_passages": op3_repeated_passages,
     "op4_similar_pairs": op4_similar_pairs,
+    "op5_media_copies": op5_media_copies,
     "op6_toxic_documents": op6_toxic_documents,
     "op7_filter_urls": op7_filter_urls,
     "op8_pack_documents": op8_pack_documents,
