@@ -6,12 +6,14 @@ from coordinate-wise medians and median deviations, concentration steps keep the
 share ``support`` of least Mahalanobis distance and re-estimate mean and
 covariance on it; a last step reweighs by the chi-square quantile.  Distances
 are scaled so that a group's median is the chi-square median, and a document
-beyond the ``cutoff`` quantile is rejected.
+beyond the ``cutoff`` quantile times ``inflation`` (tails of texts are heavier than
+normal ones) is rejected.
 
 All sums and quantiles are distributed aggregates over all documents; what is
 joined back is one row a group, broadcast up to ``max_broadcast`` groups.  The
-covariance gets ``ridge``**2 on its diagonal, so that a statistic that hardly
-varies in a group doesn't reject for a trifle.
+statistics are in units of what counts as a trifle, and the covariance gets
+``ridge``**2 on its diagonal, so that one that hardly varies in a group doesn't
+reject for less.
 
 Nulls, ties, odd input: a null or empty text has the statistics of an empty
 text; a null language or source is a value of its own; groups of fewer than
@@ -35,7 +37,10 @@ from pyspark.sql import functions as F
 from plinth.llm._text import pieces, split_words
 from plinth.llm._util import checkpoint, quoted
 
-FEATURES = ("log_words", "log_word_bytes", "logit_punctuation", "logit_upper", "logit_digits", "log_distinct_share", "log_words_per_line")
+#: Statistic: the difference in its transformed value that is a trifle, and the unit of the vectors.
+FEATURES = {"log_words": 1.0, "log_word_bytes": 0.1, "arc_punctuation": 0.05, "arc_upper": 0.05, "arc_digits": 0.07, "log_distinct_share": 0.08, "log_words_per_line": 1.0}
+#: Bytes of usual text that shares and word lengths are smoothed by, so that those of short texts aren't noise.
+SMOOTH = 300
 KINDS = np.zeros(256, np.uint8)
 for _c in range(256):
     KINDS[_c] = 1 if chr(_c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 2 if 65 <= _c <= 90 else 3 if 48 <= _c <= 57 else 4 if _c == 10 else 0
@@ -65,7 +70,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     for k in (1, 2, 3, 4):
         run = np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)])
         shares[k] = run[bounds[1:] - bounds[0]] - run[bounds[:-1] - bounds[0]]
-    logit = lambda x: np.log((x + 0.5) / (size - x + 0.5))
+    arc = lambda x, usual: np.arcsin(np.sqrt((x + usual * SMOOTH) / (size + SMOOTH)))
     lengths = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])
     word_bytes = lengths[offsets[1:]] - lengths[offsets[:-1]]
     distinct = np.zeros(n)
@@ -76,11 +81,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         distinct = np.bincount(pair[new] // (code.max() + 1), minlength=n).astype(float)
     out[:, 0] = np.log1p(count)
-    out[:, 1] = np.log1p(word_bytes / np.maximum(count, 1))
-    out[:, 2], out[:, 3], out[:, 4] = logit(shares[1]), logit(shares[2]), logit(shares[3])
+    out[:, 1] = np.log1p((word_bytes + 6 * SMOOTH / 10) / (count + SMOOTH / 10))
+    out[:, 2], out[:, 3], out[:, 4] = arc(shares[1], 0.025), arc(shares[2], 0.02), arc(shares[3], 0.005)
     out[:, 5] = np.log1p(distinct) / np.log1p(np.maximum(count, 1))
     out[:, 6] = np.log1p(count / (shares[4] + 1.0))
-    return out
+    return out / np.array(list(FEATURES.values()))
 
 
 def vectors(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -166,8 +171,9 @@ def outliers(
     source_col: str = "source",
     support: float = 0.75,
     steps: int = 4,
-    cutoff: float = 0.9999,
-    ridge: float = 0.15,
+    cutoff: float = 0.999,
+    inflation: float = 2.5,
+    ridge: float = 1.0,
     min_group: int = 100,
     max_broadcast: int = 20_000,
 ) -> DataFrame:
@@ -193,6 +199,6 @@ def outliers(
     final = _distances(v, params, max_broadcast, kind)
     scale = checkpoint(final.groupBy("_group").agg(near("_d", 0.5, 10_000).alias("_median")))
     scaled = final.join(_hint(scale, max_broadcast), "_group").withColumn("_d", F.col("_d") * half / F.greatest("_median", F.lit(1e-12)))
-    judged = scaled.select("_id", "_lang", "_source", F.col("_d").alias("distance"), (F.col("_d") <= chi2_quantile(cutoff, D)).alias("keep"))
+    judged = scaled.select("_id", "_lang", "_source", F.col("_d").alias("distance"), (F.col("_d") <= inflation * chi2_quantile(cutoff, D)).alias("keep"))
     unjudged = every.where("_group is null").select("_id", "_lang", "_source", F.lit(None).cast("double").alias("distance"), F.lit(True).alias("keep"))
     return judged.unionByName(unjudged).select(F.col("_id").alias(id_col), F.col("_lang").alias(lang_col), F.col("_source").alias(source_col), "distance", "keep")
