@@ -23,36 +23,36 @@ the default.  Columns added get a leading underscore where the names are taken.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from plinth.llm._util import checkpoint, free_name, quoted, shuffle_partitions
+from plinth.llm._util import free_name, quoted, shuffle_partitions
 
-URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:@\s]+?)\.?(:[0-9]*)?(/[^?#\s]*)?(\?[^#\s]*)?(?:#.*)?\s*$"
+URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:@\s]+?)\.?(:[0-9]*|)(/[^?#\s]*|)(\?[^#\s]*|)(?:#.*)?\s*$"
 
 
 def url_key(url: Column) -> Column:
     """Canonical key, null where there is no host."""
+    url = F.coalesce(url, F.lit(""))
     host = F.lower(F.regexp_extract(url, URL, 1))
     port = F.regexp_extract(url, URL, 2)
     path = F.regexp_extract(url, URL, 3)
     labels = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
     kept = F.when(port.isin("", ":", ":80", ":443"), F.lit("")).otherwise(port)
     key = F.concat(labels, kept, F.when(path == "", F.lit("/")).otherwise(path), F.regexp_extract(url, URL, 4))
-    return F.when(F.coalesce(host, F.lit("")) != "", key)
+    return F.when(host != "", key)
 
 
 def rule_key(rule: Column) -> Column:
     """Prefix of the keys that a rule covers; a bare host covers sub-domains too."""
-    bare = F.regexp_replace(F.trim(rule), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    bare = F.regexp_replace(F.trim(F.coalesce(rule, F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_replace(F.regexp_extract(bare, r"^([^/?#:]+)", 1), r"^\*?\.|\.$", ""))
-    path = F.regexp_extract(bare, r"^[^/?#:]+(/.*)?$", 1)
+    path = F.regexp_extract(bare, r"^[^/?#:]+(/.*|)$", 1)
     key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."), path)
-    return F.when(F.coalesce(host, F.lit("")) != "", key)
+    return F.when(host != "", key)
 
 
 def sweep(keys: list[str], rules: list[tuple[str, str, str]]) -> list[int]:
@@ -107,28 +107,22 @@ def apply(urls: DataFrame, rules: DataFrame, url_col: str = "url", rule_col: str
 
         return pd.Series([list(range(bisect.bisect_right(bounds, x), bisect.bisect_left(bounds, after(x)) + 1)) for x in k])
 
-    fields = [f for f in keyed.schema.fieldNames()]
-    out_schema = urls.select("*", F.lit("").alias(key), F.lit("").alias(rule), F.lit("").alias(action)).schema
+    out_schema = StructType([*urls.schema.fields, *[StructField(c, StringType()) for c in (key, rule, action)]])
+    names = out_schema.fieldNames()
+    plain = [f"c{i}" for i in range(len(urls.columns))]  # grouping can't address names with dots
+    keyed = keyed.toDF(*plain, "k")
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.to_pandas().sort_values("_k", key=lambda s: s)
         table = [tuple(x) for x in right[["_k", "_r", "_a"]].itertuples(index=False)]
-        k = left.column(key).to_pylist()
+        k = left.column("k").to_pylist()
         order = sorted((i for i, x in enumerate(k) if x is not None), key=k.__getitem__)
         hit = np.full(len(k), -1, np.int64)
         hit[order] = sweep([k[i] for i in order], table)
         r = pa.array([table[h][1] if h >= 0 else None for h in hit.tolist()], pa.string())
         a = pa.array([table[h][2] if h >= 0 else default_action for h in hit.tolist()], pa.string())
-        return pa.Table.from_arrays([*[left.column(c) for c in fields], r, a], names=[*fields, rule, action])
+        return pa.Table.from_arrays([*[left.column(c) for c in (*plain, "k")], r, a], names=names)
 
-    pid = free_name(keyed, "_p")
-    left = keyed.withColumn(pid, F.when(F.col(key).isNull(), F.pmod(F.xxhash64(quoted(url_col)), F.lit(len(bounds) + 1)).cast("int")).otherwise(place(F.col(key))))
+    left = keyed.withColumn("_p", F.when(F.col("k").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(len(bounds) + 1)).cast("int")).otherwise(place("k")))
     right = clean.withColumn("_p", F.explode(meets("_k")))
-    return left.groupBy(pid).cogroup(right.groupBy("_p")).applyInArrow(merge, out_schema)
-
-
-def rules_from(rows: Iterable[tuple[str, str]], spark) -> DataFrame:
-    return spark.createDataFrame(list(rows), "rule string, action string")
-
-
-__all__ = ["after", "apply", "checkpoint", "rule_key", "rules_from", "sweep", "url_key"]
+    return left.groupBy("_p").cogroup(right.groupBy("_p")).applyInArrow(merge, out_schema)
