@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm._text import as_array, inside, mix, pieces, row_of, window_hashes, word_codes
-from plinth.llm._util import checkpoint, quoted, shuffle_partitions
+from plinth.llm._util import checkpoint, free_name, quoted, shuffle_partitions
 from plinth.llm.components import components
 
 CHUNK = 1 << 16
@@ -306,6 +306,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """The rows, with all their columns, but of each group of similar documents
     (connected by pairs) only the one with the least id."""
     groups = components(join(docs, id_col, text_col, **options), "doc_a", "doc_b")
-    gone = groups.select(F.col("node").alias("_gone"))
+    name = free_name(docs, "_gone")
+    gone = groups.select(F.col("node").alias(name))
     gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
-    return docs.join(gone, quoted(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, quoted(id_col) == F.col(name), "left_anti")

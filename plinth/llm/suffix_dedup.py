@@ -9,7 +9,7 @@ than once, in one text or several.
    anchor hash recurs can hold repeats.  Of tiles that are equal as a whole, the
    first (least id, position) stands for all; the windows of the others are
    repeats, and not the first.
-2. *Suffix array* of the standing tiles' text, over 16-bit word codes.  The
+2. *Suffix array* of the standing tiles' text, over 32-bit word codes.  The
    suffixes at positions of residue 1 and 2 modulo 3 are sampled.  Their triples
    of letters (six words each) are range-partitioned, sorted and named; names
    recur at three times the stride until a name covers ``min_words`` words or
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm._text import BASE, INVERSE, _powers, inside, mix, pieces, window_hashes, word_codes
-from plinth.llm._util import checkpoint, quoted, shuffle_partitions
+from plinth.llm._util import checkpoint, free_name, quoted, shuffle_partitions
 from plinth.llm.blocks import SCHEMA, cogrouped, gather, grouped, next_prime, release, scatter, scatter_table
 
 TILE = np.dtype([("h", "<u8"), ("whole", "<u8"), ("id", "<i8"), ("at", "<i4"), ("span", "u1")])
@@ -87,9 +87,18 @@ def tiles(codes: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     return grams[anchor[head]], whole, row, first - offsets[row], last - first
 
 
+def distinct(r: np.ndarray, fields: list[str]) -> np.ndarray:
+    """Records sorted by ``fields``, of those that agree on all of them one."""
+    r = r[np.lexsort([r[f] for f in reversed(fields)])]
+    new = np.ones(len(r), bool)
+    if len(r):
+        new[1:] = np.any([r[f][1:] != r[f][:-1] for f in fields], axis=0)
+    return r[new]
+
+
 def choose(t: np.ndarray) -> np.ndarray:
     """RANGE records of the tiles of one partition whose anchor recurs."""
-    t = np.unique(t)  # sorted by anchor, whole, id, position
+    t = distinct(t, ["h", "whole", "id", "at"])
     if not len(t):
         return np.empty(0, RANGE)
     new_h = np.concatenate([[True], t["h"][1:] != t["h"][:-1]])
@@ -110,12 +119,13 @@ def regions(ids: np.ndarray, texts: pa.Array, ranges: np.ndarray, length: int) -
     """Maximal runs of words under standing tiles, with the state of each
     position: 0, or 1 + (tile recurs as a whole) where a window starts."""
     out: dict[str, list] = {"id": [], "start": [], "words": [], "state": [], "prefixes": []}
-    ranges = np.sort(ranges[ranges["kind"] != SETTLED], order=["id", "at"])
+    ranges = ranges[ranges["kind"] != SETTLED]
+    ranges = ranges[np.lexsort([ranges["at"], ranges["id"]])]
     chosen = np.flatnonzero(np.isin(ids, ranges["id"]))
     if not len(chosen):
         return out
     codes, offsets = word_codes(texts.take(pa.array(chosen)))
-    letters = np.maximum(codes >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+    letters = np.maximum(codes >> np.uint64(32), np.uint64(1)).astype(np.uint32)
     prefix = window_hashes(codes, length)
     lo, hi = np.searchsorted(ranges["id"], ids[chosen]), np.searchsorted(ranges["id"], ids[chosen], "right")
     for k, base in enumerate(offsets[:-1]):
@@ -143,10 +153,10 @@ class Text:
 
     def __init__(self, table: pa.Table, room: int):
         table = table.sort_by([("id", "ascending"), ("start", "ascending")])
-        words = [np.frombuffer(x, np.uint16) for x in table.column("words").to_pylist()]
+        words = [np.frombuffer(x, np.uint32) for x in table.column("words").to_pylist()]
         sizes = np.array([len(x) for x in words], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes + room)])
-        self.words = np.zeros(begin[-1] + room, np.uint16)
+        self.words = np.zeros(begin[-1] + room, np.uint32)
         self.state = np.zeros(len(self.words), np.uint8)
         self.pos = np.full(len(self.words), -1, np.int32)
         self.id = np.zeros(len(self.words), np.int64)
@@ -158,13 +168,21 @@ class Text:
         self.prefix = np.frombuffer(b"".join(table.column("prefixes").to_pylist()), np.uint64)
         self.sampled = np.flatnonzero((self.pos >= 0) & (self.pos % 3 > 0))
 
-    def packed(self, at: np.ndarray, first: int, n: int) -> np.ndarray:
-        """``n`` <= 4 words from ``at + first`` in one number, order kept."""
-        out = np.zeros(len(at), np.uint64)
-        for j in range(4):
-            out = out << np.uint64(16)
-            if j < n:
-                out |= self.words[at + first + j].astype(np.uint64)
+    def packed(self, at: np.ndarray, first: int, n: int = 2) -> np.ndarray:
+        """``n`` <= 2 words from ``at + first`` in one number, order kept."""
+        out = self.words[at + first].astype(np.uint64) << np.uint64(32)
+        return out | self.words[at + first + 1] if n == 2 else out
+
+    def part(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Range partition of the suffixes by their first four words."""
+        a = self.packed(at, 0)
+        low, high = np.searchsorted(bounds[:, 0], a), np.searchsorted(bounds[:, 0], a, "right")
+        tied = np.flatnonzero(low < high)
+        b, out = self.packed(at[tied], 2), low.copy()
+        for k in np.unique(low[tied]):
+            mine = low[tied] == k
+            top = int(high[tied][mine][0])
+            out[tied[mine]] = k + np.searchsorted(bounds[k:top, 1], b[mine], "right")
         return out
 
 
@@ -190,7 +208,7 @@ def merged_order(s: np.ndarray) -> np.ndarray:
 
     x and y: residue 0, names of the next two suffixes; residue 1, of itself and
     the next; residue 2, of itself and the suffix after the next."""
-    w0, w01 = s["words"] >> np.uint64(48), s["words"] >> np.uint64(32)
+    w0, w01 = s["words"] >> np.uint64(32), s["words"]
     sampled, rest = np.flatnonzero(s["residue"] > 0), np.flatnonzero(s["residue"] == 0)
     sampled = sampled[np.argsort(s["x"][sampled], kind="stable")]
     rest = rest[np.lexsort([s["y"][rest], s["x"][rest], w0[rest]])]
@@ -233,7 +251,7 @@ def adjacent(s: np.ndarray) -> np.ndarray:
 
 def intervals(found: np.ndarray, length: int) -> np.ndarray:
     """(id, start, words, first) of the maximal intervals under windows."""
-    found = np.sort(np.unique(found), order=["first", "id", "at"])
+    found = distinct(found, ["first", "id", "at"])
     out = np.dtype([("id", "<i8"), ("start", "<i4"), ("n", "<i4"), ("first", "u1")])
     if not len(found):
         return np.empty(0, out)
@@ -291,25 +309,25 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
     store = checkpoint(cogrouped(placed, ranges, cut_regions, REGIONS))
     release(spark)
 
-    sample = store.select(F.xxhash64("id", "start").alias("k"), F.substring("words", 1, 400).alias("w")).orderBy("k").limit(4000).collect()  # balance only
+    share = min(1.0, 3000 / max(1, store.count()))  # a sample for balance only
+    sample = store.where(F.pmod(F.xxhash64("id", "start"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.substring("words", 1, 400).alias("w")).collect()
     keys = []
     for r in sample:
-        w = np.frombuffer(r["w"], np.uint16).astype(np.uint64)
-        for j in range(0, len(w) - 4, 5):
-            keys.append(int(w[j]) << 48 | int(w[j + 1]) << 32 | int(w[j + 2]) << 16 | int(w[j + 3]))
+        w = [int(x) for x in np.frombuffer(r["w"], np.uint32)]
+        keys += [(w[j] << 32 | w[j + 1], w[j + 2] << 32 | w[j + 3]) for j in range(0, len(w) - 4, 5)]
     keys.sort()
-    bounds = np.array([keys[len(keys) * i // parts] for i in range(1, parts)] if keys else [], np.uint64)
+    bounds = np.array([keys[len(keys) * i // parts] for i in range(1, parts)] if keys else [], np.uint64).reshape(-1, 2)
 
-    first_keys = [f"k{q}" for q in range(-(-3 * LETTER // 4))]
+    first_keys = [f"k{q}" for q in range(-(-3 * LETTER // 2))]
     first_dtype = np.dtype([(k, "<u8") for k in first_keys] + [("part", "<i4"), ("at", "<i4")])
 
     def first_triples(table: pa.Table) -> pa.Table:
         text = Text(table, room)
         r = np.empty(len(text.sampled), first_dtype)
         for q, k in enumerate(first_keys):
-            r[k] = text.packed(text.sampled, 4 * q, min(4, 3 * LETTER - 4 * q))
+            r[k] = text.packed(text.sampled, 2 * q, min(2, 3 * LETTER - 2 * q))
         r["part"], r["at"] = table.column("_p")[0].as_py(), text.sampled
-        return scatter_table(np.searchsorted(bounds, r["k0"], "right"), r)
+        return scatter_table(text.part(text.sampled, bounds), r)
 
     def name_with(dtype: np.dtype, keys: list[str]):
         def run(table: pa.Table) -> pa.Table:
@@ -346,11 +364,11 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
         at = np.flatnonzero(text.state)
         residue = text.pos[at] % 3
         r = np.empty(len(at), SUFFIX)
-        r["words"] = text.packed(at, 0, 4)
+        r["words"] = text.packed(at, 0)
         r["x"] = np.where(residue == 0, rank[at + 1], rank[at])
         r["y"] = np.where(residue == 1, rank[at + 1], rank[at + 2])
         r["prefix"], r["id"], r["at"], r["residue"], r["sure"] = text.prefix, text.id[at], text.pos[at], residue, text.state[at] == 2
-        return scatter_table(np.searchsorted(bounds, r["words"], "right"), r)
+        return scatter_table(text.part(at, bounds), r)
 
     def compare(table: pa.Table) -> pa.Table:
         f = adjacent(gather(table, SUFFIX))
@@ -413,13 +431,14 @@ def drop_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     occurs first; rows of which nothing is left go.  ``chars_col``, where given
     and present, is set to the new length of changed texts."""
     cuts = repeats(docs, min_words, id_col, text_col).where("not first")
-    cuts = checkpoint(cuts.groupBy(F.col(id_col).alias("_cut_id")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("_cuts")))
+    cut_id, cut_list = free_name(docs, "_cut_id"), free_name(docs, "_cuts")
+    cuts = checkpoint(cuts.groupBy(quoted(id_col).alias(cut_id)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(cut_list)))
     cuts = F.broadcast(cuts) if cuts.count() <= max_broadcast else cuts
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.column("_cuts")
+            some = batch.column(cut_list)
             at = np.flatnonzero(np.asarray(some.is_valid().to_numpy(zero_copy_only=False)))
             plain = pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns)
             if not len(at):
@@ -438,5 +457,5 @@ def drop_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
             arrays = [pa.array(texts, pa.string()) if c == text_col else pa.array(chars, batch.column(c).type) if c == chars_col else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep))
 
-    joined = docs.join(cuts, quoted(id_col).cast("bigint") == F.col("_cut_id"), "left").select(*[quoted(c) for c in columns], "_cuts")
+    joined = docs.join(cuts, quoted(id_col).cast("bigint") == F.col(cut_id), "left").select(*[quoted(c) for c in columns], cut_list)
     return joined.mapInArrow(cut, docs.schema)
