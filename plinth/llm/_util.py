@@ -50,3 +50,8 @@ def quoted(name: str):
 
 def text_or_empty(name: str):
     return F.coalesce(quoted(name).cast("string"), F.lit(""))
+
+
+def map_rows(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` for any column names: ``fn`` sees the columns as c0, c1, ..."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(fn, schema)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm._text import BASE, INVERSE, _powers, inside, mix, pieces, window_hashes, word_codes
-from plinth.llm._util import checkpoint, free_name, quoted, shuffle_partitions
+from plinth.llm._util import checkpoint, free_name, map_rows, quoted, shuffle_partitions
 from plinth.llm.blocks import SCHEMA, cogrouped, gather, grouped, next_prime, release, scatter, scatter_table
 
 TILE = np.dtype([("h", "<u8"), ("whole", "<u8"), ("id", "<i8"), ("at", "<i4"), ("span", "u1")])
@@ -266,8 +266,8 @@ def intervals(found: np.ndarray, length: int) -> np.ndarray:
 
 def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, start_word, n_words, first`` of all repeated passages."""
-    if min_words < 2 or min_words > 500:
-        raise ValueError("2 <= min_words <= 500")
+    if min_words < 4 or min_words > 500:
+        raise ValueError("4 <= min_words <= 500")
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("ids must be integers")
     spark, length = docs.sparkSession, min_words
@@ -435,17 +435,17 @@ def drop_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     cuts = checkpoint(cuts.groupBy(quoted(id_col).alias(cut_id)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(cut_list)))
     cuts = F.broadcast(cuts) if cuts.count() <= max_broadcast else cuts
     columns = docs.columns
+    text_at, chars_at = columns.index(text_col), columns.index(chars_col) if chars_col in columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.column(cut_list)
+            some = batch.column(len(columns))
             at = np.flatnonzero(np.asarray(some.is_valid().to_numpy(zero_copy_only=False)))
-            plain = pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns)
             if not len(at):
-                yield plain
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=columns)
                 continue
-            texts, lists = batch.column(text_col).to_pylist(), some.take(pa.array(at)).to_pylist()
-            keep, chars = np.ones(len(batch), bool), batch.column(chars_col).to_pylist() if chars_col in columns else None
+            texts, lists = batch.column(text_at).to_pylist(), some.take(pa.array(at)).to_pylist()
+            keep, chars = np.ones(len(batch), bool), None if chars_at is None else batch.column(chars_at).to_pylist()
             for k, cs in zip(at.tolist(), lists, strict=True):
                 if texts[k] is None:
                     continue
@@ -454,8 +454,11 @@ def drop_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
                 if new != texts[k] and chars is not None:
                     chars[k] = len(new)
                 texts[k] = new
-            arrays = [pa.array(texts, pa.string()) if c == text_col else pa.array(chars, batch.column(c).type) if c == chars_col else batch.column(c) for c in columns]
+            arrays = batch.columns[:-1]
+            arrays[text_at] = pa.array(texts, pa.string())
+            if chars is not None:
+                arrays[chars_at] = pa.array(chars, batch.column(chars_at).type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep))
 
     joined = docs.join(cuts, quoted(id_col).cast("bigint") == F.col(cut_id), "left").select(*[quoted(c) for c in columns], cut_list)
-    return joined.mapInArrow(cut, docs.schema)
+    return map_rows(joined, cut, docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm._text import normalised, pieces, split_words
-from plinth.llm._util import quoted
+from plinth.llm._util import map_rows, quoted
 
 BASE_TERMS = ("idiot", "moron", "scum", "worthless", "trash", "loser", "stupid", "pathetic", "disgusting", "clown")
 REPORTING = frozenset("said says called calls quote quoted quotes wrote term word words dit appelé mot citation sagte nannte wort zitat dijo llamó palabra cita".split())
@@ -222,22 +222,29 @@ def score(
             built[None] = Automaton(_terms_of(lexicon, None), edits, fuzzy_length)
         return built
 
+    def judge(texts: pa.Array, langs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return score_texts(texts.cast(pa.string()), langs.cast(pa.string()), automata(), p)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = automata()
-        for batch in (piece for whole in batches for piece in pieces(whole, text_col)):
-            s, h = score_texts(batch.column(text_col).cast(pa.string()), batch.column(lang_col).cast(pa.string()), machines, p)
-            if keep == "clean":
-                yield batch.filter(pa.array(s < threshold))
-                continue
-            out = pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(s), pa.array(h)], names=[id_col, "toxicity", "n_hits"])
+        for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
+            s, h = judge(batch.column("_text"), batch.column("_lang"))
+            out = pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(s), pa.array(h)], names=[id_col, "toxicity", "n_hits"])
             yield out.filter(pa.array(s >= threshold)) if keep == "flagged" else out
 
+    names = docs.columns
+    text_at, lang_at = f"c{names.index(text_col)}", f"c{names.index(lang_col)}"
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, text_at)):
+            s, _ = judge(batch.column(text_at), batch.column(lang_at))
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(s < threshold))
+
     if keep == "clean":
-        return docs.mapInArrow(run, docs.schema)
+        return map_rows(docs, clean, docs.schema)
     kind = docs.schema[id_col].dataType.simpleString()
-    wanted = [c for c in dict.fromkeys((id_col, text_col, lang_col))]
     name = "`" + id_col.replace("`", "``") + "`"
-    return docs.select(*[quoted(c) for c in wanted]).mapInArrow(run, f"{name} {kind}, toxicity double, n_hits bigint")
+    picked = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"), quoted(lang_col).alias("_lang"))
+    return picked.mapInArrow(run, f"{name} {kind}, toxicity double, n_hits bigint")
 
 
 def learn_lexicon(
@@ -275,8 +282,11 @@ def learn_lexicon(
         .join(F.broadcast(chosen), "_id")  # at most 2 * max_labelled rows a language
         .where("_lang is not null")
     )
-    stems_of = [F.transform(F.filter("w", lambda x, k=k: F.length(x) >= k), lambda x, k=k: F.concat(F.lit("s"), F.substring(x, 1, k))) for k in stem_lengths]
-    parts = F.array_distinct(F.concat(F.transform("w", lambda x: F.concat(F.lit("w"), x)), *stems_of))
+
+    def stems_of(k: int):
+        return F.transform(F.filter("w", lambda x: F.length(x) >= k), lambda x: F.concat(F.lit("s"), F.substring(x, 1, k)))
+
+    parts = F.array_distinct(F.concat(F.transform("w", lambda x: F.concat(F.lit("w"), x)), *[stems_of(k) for k in stem_lengths]))
     sizes = {(r[0], bool(r[1])): r[2] for r in ranked.where(F.col("_n") <= max_labelled).groupBy("_lang", F.col("_y") > 0).count().collect()}
     counts = (
         words.select("_lang", (F.col("_y") > 0).alias("y"), F.explode(parts).alias("p"))
