@@ -6,7 +6,7 @@ walk over a word's letters intersects the word with the automata of all terms.
 Every distinct word of a batch is walked once.
 
 A hit weighs 1 when the term is spelled exactly, ``fuzzy_weight`` when it is
-misspelled.  Around each hit a window of words is read: inside quotation marks,
+misspelled (each misspelled form once a document).  Around each hit a window of words is read: inside quotation marks,
 or near a word of reporting ("called", "quote", ...), the weight is multiplied
 by ``quoted_factor``; near a word that addresses someone, by ``direct_factor``.
 A document's score is the sum; it is rejected from ``threshold`` on.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm._text import normalised, pieces, split_words
-from plinth.llm._util import map_rows, quoted
+from plinth.llm._util import checkpoint, map_rows, quoted
 
 BASE_TERMS = ("idiot", "moron", "scum", "worthless", "trash", "loser", "stupid", "pathetic", "disgusting", "clown")
 REPORTING = frozenset("said says called calls quote quoted quotes wrote term word words dit appelé mot citation sagte nannte wort zitat dijo llamó palabra cita".split())
@@ -168,13 +168,18 @@ def score_texts(texts: pa.Array, langs: pa.Array, automata: dict, p: dict) -> tu
         automaton = automata.get(lang) or automata.get("") if lang is not None else automata[None]
         mine = np.flatnonzero(lang_at == code)
         kinds = np.unique(index[mine])
-        weight = np.zeros(len(raw))
+        weight, near_miss, seen = np.zeros(len(raw)), np.zeros(len(raw), bool), set()
         for k in kinds:
             w, exact = automaton.match(plain[k])
             if w:
-                weight[k] = w if exact else w * p["fuzzy_weight"]
+                weight[k], near_miss[k] = (w, False) if exact else (w * p["fuzzy_weight"], True)
         for at in mine[weight[index[mine]] > 0]:
             r = row[at]
+            if near_miss[index[at]]:  # a form that comes again is a word of its own
+                form = (r, plain[index[at]])
+                if form in seen:
+                    continue
+                seen.add(form)
             low, high = max(offsets[r], at - p["window"]), min(offsets[r + 1], at + p["window"] + 1)
             near = index[low:high]
             before = running[at] - running[offsets[r]] + opens[index[at]]
@@ -197,7 +202,7 @@ def score(
     lang_col: str = "lang",
     keep: str = "flagged",
     threshold: float = 1.0,
-    fuzzy_weight: float = 0.45,
+    fuzzy_weight: float = 0.5,
     quoted_factor: float = 0.2,
     direct_factor: float = 1.25,
     window: int = 6,
@@ -265,7 +270,7 @@ def learn_lexicon(
 
     A bounded fit: at most ``max_labelled`` labelled documents of a language and
     class, those with the lowest hash of their id, are read.  A word or word
-    stem is taken when it occurs in at least ``min_toxic`` and a share
+    stem is taken when, copies counted once, it occurs in at least ``min_toxic`` and a share
     ``min_share`` of the toxic ones and, of the documents with it, at least a
     share ``min_precision`` (class sizes made equal) is toxic.  Of a stem and its
     extensions the shortest is kept, unless a single word accounts for most of it.  Labels of null ids or classes are ignored.
@@ -286,8 +291,16 @@ def learn_lexicon(
     def stems_of(k: int):
         return F.transform(F.filter("w", lambda x: F.length(x) >= k), lambda x: F.concat(F.lit("s"), F.substring(x, 1, k)))
 
+    def hashed(seed: int):
+        return F.transform("w", lambda x: F.xxhash64(x, F.lit(seed)))
+
     parts = F.array_distinct(F.concat(F.transform("w", lambda x: F.concat(F.lit("w"), x)), *[stems_of(k) for k in stem_lengths]))
-    sizes = {(r[0], bool(r[1])): r[2] for r in ranked.where(F.col("_n") <= max_labelled).groupBy("_lang", F.col("_y") > 0).count().collect()}
+    for seed in (1, 4):  # of copies, which mostly share three min-wise hashes, one is counted
+        words = words.withColumn("_k", F.xxhash64(*[F.array_min(hashed(seed + i)) for i in range(3)])).groupBy("_lang", "_y", "_k").agg(F.min_by("w", "_id").alias("w"), F.min("_id").alias("_id"))
+    words = checkpoint(words.select("_lang", "_y", "_id", "w"))
+    sizes = {(r[0], bool(r[1])): r[2] for r in words.groupBy("_lang", F.col("_y") > 0).count().collect()}
+    if not sizes:
+        return []
     counts = (
         words.select("_lang", (F.col("_y") > 0).alias("y"), F.explode(parts).alias("p"))
         .groupBy("_lang", "p")

@@ -36,7 +36,7 @@ def test_automaton_kinds():
 
 
 def scores(texts, lexicon=None, **kw):
-    p = {"fuzzy_weight": 0.45, "quoted_factor": 0.2, "direct_factor": 1.25, "window": 6} | kw
+    p = {"fuzzy_weight": 0.5, "quoted_factor": 0.2, "direct_factor": 1.25, "window": 6} | kw
     terms = toxicity._terms_of(lexicon or [(None, t, 1.0, "fuzzy") for t in toxicity.BASE_TERMS], None)
     machine = toxicity.Automaton(terms)
     return toxicity.score_texts(pa.array(texts, pa.string()), pa.nulls(len(texts), pa.string()), {None: machine}, p)[0].tolist()
@@ -45,7 +45,7 @@ def scores(texts, lexicon=None, **kw):
 def test_context():
     got = scores(['you are an idiot', 'what an idiot', 'he wrote "idiot" there', "they called it stupid", "an idoit passes", "fine words", None, "", 'such "fine things" from an idiot here'])
     assert got == pytest.approx([1.25, 1.0, 0.2, 0.2, 0.0, 0.0, 0.0, 0.0, 1.0])
-    assert scores(["an idiott passes"]) == pytest.approx([0.45])
+    assert scores(["an idiott and idiott passes", "an idiott and a morron"]) == pytest.approx([0.5, 1.0])
 
 
 def test_toxic_rows(spark, odd, empty):
