@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from plinth import schemas
 from plinth.functions import scalar
@@ -71,7 +71,7 @@ def internal_imports(files_: DataFrame) -> DataFrame:
     return import_edges(files_).groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("internal_imports"))
 
 
-@F.udf("array<string>", useArrow=True)
+@F.udf(ArrayType(StringType()), useArrow=True)
 def diff_lines(base, other):
     return normalize.unified_diff(base, other)
 
@@ -135,7 +135,7 @@ def variable_report(flows: DataFrame) -> DataFrame:
     return flows.agg(F.count("*").alias("total_count"), F.count_if("is_orphan").alias("orphaned_count"), F.count_if("is_undefined").alias("undefined_count"))
 
 
-@F.udf("array<string>", useArrow=True)
+@F.udf(ArrayType(StringType()), useArrow=True)
 def mentioned(expression):
     return names.names_in(expression)
 

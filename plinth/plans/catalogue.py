@@ -229,10 +229,10 @@ def most_referenced(spark, d):
     return dashboard.most_referenced(relational.distinct_edges(table(spark, d, "lineitem"), "l_orderkey", "l_partkey"), 10)
 
 
-@query("SELECT l_suppkey, count(*) AS imports FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey < 13 WHERE s_suppkey IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("SELECT l_suppkey, count(*) AS imports FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal >= 0 WHERE s_suppkey IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def external_deps(spark, d):
-    """Suppliers from outside the first thirteen nations, by use."""
-    own = table(spark, d, "supplier").where("s_nationkey < 13")
+    """Suppliers without a balance in credit ("outside the project"), by use."""
+    own = table(spark, d, "supplier").where("s_acctbal >= 0")
     return relational.top_k(relational.count_by(relational.orphans(table(spark, d, "lineitem"), own, "l_suppkey", "s_suppkey"), "l_suppkey", name="imports"), "imports", 10, "l_suppkey")
 
 
