@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from plinth.llm._text import pieces, word_codes
@@ -154,7 +155,7 @@ def large_pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.T
     of the recursion has many rows."""
     held, size = [], 0
     for batch in batches:
-        ends = np.cumsum(np.asarray(batch.column("_symbols").cast(pa.large_binary()).buffers()[1] and np.diff(np.frombuffer(batch.column("_symbols").cast(pa.large_binary()).buffers()[1], np.int64))[: len(batch)]))
+        ends = np.cumsum(pc.binary_length(batch.column("_symbols")).to_numpy(zero_copy_only=False), dtype=np.int64)
         lo = 0
         while lo < len(batch):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))

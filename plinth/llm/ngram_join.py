@@ -10,7 +10,8 @@ threshold through the deepest split, ``runs`` is the least number with
 1 - (1 - q)**runs >= target recall.
 
 The first ``presplit`` levels are made before the one shuffle, so that a bucket
-fits a task; the rest inside the task.  Bucket members carry one byte a
+fits a task (one more for each 10,000 times 2 million documents); the rest
+inside the task.  Bucket members carry one byte a
 coordinate.  A dense bucket (most members resemble its first) isn't split:
 pivots are taken until every member is linked to one or was one, and parts that
 pivots leave apart are compared until linked, so that the number of pairs stays
@@ -295,7 +296,7 @@ def join(
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("0 < threshold <= 1 and n >= 1")
     if presplit is None:
-        presplit = 1 + (docs.count() > 2_000_000)
+        presplit = 1 + math.ceil(math.log(max(1.0, docs.count() / 2_000_000), 10_000))
     pairs = checkpoint(candidates(docs, id_col, text_col, n, threshold, coordinates, limit, target_recall, band, max_depth, presplit))
     exact = verify(pairs.where("not _sure"), docs, id_col, text_col, n, max_broadcast).where(F.col("_s") >= threshold)
     every = pairs.where("_sure").select("_a", "_b", "_s").unionByName(exact.select("_a", "_b", "_s"))

@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -297,7 +298,7 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
 
     def cut_regions(left: pa.Table, right: pa.Table) -> pa.Table:
         r = gather(right, RANGE)
-        left = left.append_column("_n", pa.array([len(x) for x in left.column("_text").to_pylist()], pa.int64())).sort_by([("id", "ascending"), ("_n", "descending")])
+        left = left.append_column("_n", pc.utf8_length(left.column("_text"))).sort_by([("id", "ascending"), ("_n", "descending")])
         ids = left.column("id").to_numpy()
         keep = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, np.int64)
         out = regions(ids[keep], left.column("_text").combine_chunks().take(pa.array(keep)), r, length)
@@ -438,7 +439,7 @@ def drop_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     text_at, chars_at = columns.index(text_col), columns.index(chars_col) if chars_col in columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, f"c{text_at}")):
             some = batch.column(len(columns))
             at = np.flatnonzero(np.asarray(some.is_valid().to_numpy(zero_copy_only=False)))
             if not len(at):
