@@ -6,11 +6,11 @@ maxima of the Harris response above a share of the largest; each gets an
 orientation (the direction of the intensity centroid) and 128 intensity
 comparisons in the patch turned to it.
 
-The Hamming join cuts descriptors into four words of 32 bits and has a table for
-each of four pairs of words; descriptors that agree on a pair and differ in at
-most ``max_distance`` of all bits match.  A pair of words that ``hot_word``
-corners or more have (common patterns) is joined on the whole descriptor
-instead, each corner with the least one that has it.
+The Hamming join has a table for each half of the 128 bits: descriptors that
+agree on a half and differ in at most ``max_distance`` of all bits match.  The
+one shuffle of all corners counts each half's corners; those alone with theirs
+go no further.  A half that ``hot_word`` corners or more have (common patterns)
+is joined on the whole descriptor instead, each corner with the least that has it.
 
 Every match of an image pair proposes a similarity transform (turn, scale,
 shift); the pair is a copy when at least ``min_inliers`` matches at distinct
@@ -30,13 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm._util import checkpoint, quoted
 
 RADIUS, BITS, TURNS = 11, 128, 36
-TABLES = ((0, 1), (2, 3), (0, 2), (1, 3))
+TABLES = ((0, 1), (2, 3))
 
 
 def _png(data: bytes) -> np.ndarray | None:
@@ -113,6 +113,12 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
     return (p[n:, n:] - p[:-n, n:] - p[n:, :-n] + p[:-n, :-n]) / (n * n)
 
 
+def _peak(x: np.ndarray, r: int) -> np.ndarray:
+    """Largest value within ``r`` rows."""
+    p = np.pad(x, ((r, r), (0, 0)), constant_values=-np.inf)
+    return np.max([p[d : d + len(x)] for d in range(2 * r + 1)], axis=0)
+
+
 def _resize(x: np.ndarray, h: int, w: int) -> np.ndarray:
     ys, xs = (np.arange(h) + 0.5) * x.shape[0] / h - 0.5, (np.arange(w) + 0.5) * x.shape[1] / w - 0.5
     y0, x0 = np.clip(np.floor(ys).astype(int), 0, x.shape[0] - 1), np.clip(np.floor(xs).astype(int), 0, x.shape[1] - 1)
@@ -137,7 +143,7 @@ DISC_Y, DISC_X = np.nonzero(np.add.outer(np.arange(-RADIUS, RADIUS + 1) ** 2, np
 DISC_Y, DISC_X = DISC_Y - RADIUS, DISC_X - RADIUS
 
 
-def descriptors(image: np.ndarray, scales: tuple[float, ...] = (1.0, 0.7, 0.5), share: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
+def descriptors(image: np.ndarray, scales: tuple[float, ...] = (1.0, 0.7, 0.5), share: float = 0.12) -> tuple[np.ndarray, np.ndarray]:
     """(y, x, size, angle) of each corner, in pixels of the image, and its bits packed in 16 bytes."""
     places, bits = [], []
     for s in scales:
@@ -151,8 +157,7 @@ def descriptors(image: np.ndarray, scales: tuple[float, ...] = (1.0, 0.7, 0.5),
         inner = r[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
         if not inner.size or inner.max() <= 1e-3:
             continue
-        padded = np.pad(r, 2, constant_values=-np.inf)
-        top = np.max([padded[2 + dy : 2 + dy + h, 2 + dx : 2 + dx + w] for dy in range(-2, 3) for dx in range(-2, 3)], axis=0)
+        top = _peak(_peak(r, 4).T, 4).T
         peak = (r == top) & (r > share * inner.max())
         ys, xs = np.nonzero(peak[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1])
         if not len(ys):
@@ -194,6 +199,17 @@ def consensus(m: np.ndarray, tolerance: float) -> tuple[int, float, float, float
     return best, float(s[at]), float(a[at]), float(dy[at]), float(dx[at])
 
 
+def pack_places(p: np.ndarray) -> np.ndarray:
+    """(y, x, size, angle) in one number each: eighths of a pixel, hundredths, 1/10,000 radians."""
+    q = [np.rint(p[:, 0] * 8), np.rint(p[:, 1] * 8), np.rint(p[:, 2] * 100), np.rint((p[:, 3] + 4) * 5000)]
+    y, x, size, angle = (v.astype(np.int64) for v in q)
+    return y << 44 | x << 26 | size << 16 | angle
+
+
+def unpack_places(v: np.ndarray) -> np.ndarray:
+    return np.stack([(v >> 44) / 8, (v >> 26 & 0x3FFFF) / 8, (v >> 16 & 0x3FF) / 100, (v & 0xFFFF) / 5000 - 4], 1)
+
+
 def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", min_inliers: int = 6, max_distance: int = 16, tolerance: float = 4.0, hot_word: int = 256) -> DataFrame:
     """``image_a < image_b, inliers, scale, turn, dy, dx``: the transform takes
     places of the first image to places of the second."""
@@ -209,41 +225,32 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
             if not sum(n):
                 continue
             p, b = np.concatenate(places), np.ascontiguousarray(np.concatenate(bits))
-            owner = ids.take(pa.array(np.repeat(np.arange(len(n)), n)))
-            place = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel().astype(np.float32)), 4).cast(pa.list_(pa.float32()))
-            halves, words = b.view("<i8"), b.view("<i4").astype(np.int64)
-            for t, (i, j) in enumerate(TABLES):  # the table is part of the key
-                key = ((words[:, i] << 32) ^ (words[:, j] & 0xFFFFFFFF)) * 31 + t
-                yield pa.RecordBatch.from_arrays([owner, place, pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array(key)], names=["_id", "_place", "_h", "_l", "_word"])
+            owner, packed = ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pack_places(p))
+            halves = b.view("<i8")
+            h, low = (pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1))
+            for t, word in enumerate((h, low)):
+                yield pa.RecordBatch.from_arrays([owner, packed, h, low, word, pa.array(np.full(len(p), t, np.int8))], names=["_id", "_place", "_h", "_l", "_word", "_table"])
 
     entries = images.select(quoted(id_col).alias("_id"), quoted(image_col).alias("_image")).where("_id is not null and _image is not null")
-    entries = checkpoint(entries.mapInArrow(describe, f"_id {kind}, _place array<float>, _h bigint, _l bigint, _word bigint"))
-    place = F.struct("_id", "_place")
-
-    def near(df: DataFrame, key: str) -> DataFrame:
-        a, b = (df.select(F.col(key).alias("_k"), *[F.col(c).alias(c + s) for c in ("_id", "_place", "_h", "_l")]) for s in ("_a", "_b"))
-        distance = F.bit_count(F.col("_h_a").bitwiseXOR(F.col("_h_b"))) + F.bit_count(F.col("_l_a").bitwiseXOR(F.col("_l_b")))
-        met = a.join(b, "_k").where("_id_a < _id_b").where(distance <= max_distance)
-        return met.select("_id_a", "_id_b", F.concat("_place_a", "_place_b").alias("_m"))
-
-    def by_size(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        sizes = df.groupBy(F.col(key).alias("_s")).count().where("count > 1")
-        sized = df.join(sizes, F.col(key) == F.col("_s"))
-        return sized.where(F.col("count") < hot_word).drop("_s", "count"), sized.where(F.col("count") >= hot_word).drop("_s", "count")
-
-    cold, hot = by_size(entries, "_word")
-    rest = hot.select("_id", "_place", "_h", "_l").distinct()
-    least = rest.groupBy("_h", "_l").agg(F.min(place).alias("_f"))
-    star = rest.join(least, ["_h", "_l"]).where(F.col("_f._id") < F.col("_id")).select(F.col("_f._id").alias("_id_a"), F.col("_id").alias("_id_b"), F.concat(F.col("_f._place"), F.col("_place")).alias("_m"))
-    matches = near(cold, "_word").union(star)
-    pairs = matches.groupBy("_id_a", "_id_b").agg(F.collect_set("_m").alias("_ms")).where(F.size("_ms") >= min_inliers)
+    entries = entries.mapInArrow(describe, f"_id {kind}, _place bigint, _h bigint, _l bigint, _word bigint, _table tinyint")
+    sized = entries.withColumn("_n", F.count("*").over(Window.partitionBy("_word", "_table"))).where("_n > 1")
+    sized = checkpoint(sized)
+    cold = sized.where(F.col("_n") < hot_word)
+    a, b = (cold.select("_word", "_table", *[F.col(c).alias(c + s) for c in ("_id", "_place", "_h", "_l")]) for s in ("_a", "_b"))
+    distance = F.bit_count(F.col("_h_a").bitwiseXOR(F.col("_h_b"))) + F.bit_count(F.col("_l_a").bitwiseXOR(F.col("_l_b")))
+    met = a.join(b, ["_word", "_table"]).where("_id_a < _id_b").where(distance <= max_distance).select("_id_a", "_id_b", "_place_a", "_place_b")
+    hot = sized.where(F.col("_n") >= hot_word).select("_id", "_place", "_h", "_l").distinct()
+    least = hot.groupBy("_h", "_l").agg(F.min(F.struct("_id", "_place")).alias("_f"))
+    star = hot.join(least, ["_h", "_l"]).where(F.col("_f._id") < F.col("_id")).select(F.col("_f._id"), "_id", F.col("_f._place"), "_place")
+    found = met.union(star).groupBy("_id_a", "_id_b").agg(F.collect_set(F.struct("_place_a", "_place_b")).alias("_ms"))
+    pairs = found.where(F.size("_ms") >= min_inliers).select("_id_a", "_id_b", F.col("_ms._place_a").alias("_pa"), F.col("_ms._place_b").alias("_pb"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for ms in batch.column("_ms").to_pylist():
-                m = np.array(sorted(ms), float)
-                found.append(consensus(m, tolerance))
+            for x, y in zip(batch.column("_pa").to_pylist(), batch.column("_pb").to_pylist(), strict=True):
+                both = np.array(sorted(zip(x, y, strict=True)), np.int64)
+                found.append(consensus(np.hstack([unpack_places(both[:, 0]), unpack_places(both[:, 1])]), tolerance))
             n, s, t, dy, dx = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [], [])
             out = pa.RecordBatch.from_arrays([batch.column("_id_a"), batch.column("_id_b"), pa.array(n, pa.int32()), *[pa.array(v, pa.float64()) for v in (s, t, dy, dx)]], names=["image_a", "image_b", "inliers", "scale", "turn", "dy", "dx"])
             yield out.filter(pa.array([x >= min_inliers for x in n], pa.bool_()))
