@@ -6,11 +6,12 @@ maxima of the Harris response above a share of the largest; each gets an
 orientation (the direction of the intensity centroid) and 128 intensity
 comparisons in the patch turned to it.
 
-The Hamming join has a table for each half of the 128 bits: descriptors that
-agree on a half and differ in at most ``max_distance`` of all bits match.  The
-one shuffle of all corners counts each half's corners; those alone with theirs
-go no further.  A half that ``hot_word`` corners or more have (common patterns)
-is joined on the whole descriptor instead, each corner with the least that has it.
+The Hamming join has tables of ``key_bits`` sampled bits each: corners that agree
+on a table's bits are compared, and match if they differ in at most
+``max_distance`` of all bits.  There are as many tables as find a pair that differs
+in just ``max_distance`` bits, wherever they are, with probability ``recall``.
+Each match comes from the first table in which its corners meet.  Matches by
+chance are part of the join and grow with the square of the corners.
 
 Every match of an image pair proposes a similarity transform (turn, scale,
 shift); the pair is a copy when at least ``min_inliers`` matches at distinct
@@ -24,19 +25,21 @@ reported; an empty table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm._util import checkpoint, quoted
+from plinth.llm._text import as_array
+from plinth.llm._util import quoted, shuffle_partitions
 
 RADIUS, BITS, TURNS = 11, 128, 36
-TABLES = ((0, 1), (2, 3))
+CHUNK = 1 << 20
 
 
 def _png(data: bytes) -> np.ndarray | None:
@@ -143,7 +146,7 @@ DISC_Y, DISC_X = np.nonzero(np.add.outer(np.arange(-RADIUS, RADIUS + 1) ** 2, np
 DISC_Y, DISC_X = DISC_Y - RADIUS, DISC_X - RADIUS
 
 
-def descriptors(image: np.ndarray, scales: tuple[float, ...] = (1.0, 0.7, 0.5), share: float = 0.12) -> tuple[np.ndarray, np.ndarray]:
+def descriptors(image: np.ndarray, scales: tuple[float, ...] = (1.0, 0.7, 0.5), share: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
     """(y, x, size, angle) of each corner, in pixels of the image, and its bits packed in 16 bytes."""
     places, bits = [], []
     for s in scales:
@@ -157,7 +160,7 @@ def descriptors(image: np.ndarray, scales: tuple[float, ...] = (1.0, 0.7, 0.5),
         inner = r[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
         if not inner.size or inner.max() <= 1e-3:
             continue
-        top = _peak(_peak(r, 4).T, 4).T
+        top = _peak(_peak(r, 2).T, 2).T
         peak = (r == top) & (r > share * inner.max())
         ys, xs = np.nonzero(peak[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1])
         if not len(ys):
@@ -210,10 +213,52 @@ def unpack_places(v: np.ndarray) -> np.ndarray:
     return np.stack([(v >> 44) / 8, (v >> 26 & 0x3FFFF) / 8, (v >> 16 & 0x3FF) / 100, (v & 0xFFFF) / 5000 - 4], 1)
 
 
-def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", min_inliers: int = 6, max_distance: int = 16, tolerance: float = 4.0, hot_word: int = 256) -> DataFrame:
+def tables_needed(key_bits: int, max_distance: int, recall: float) -> int:
+    """Tables of ``key_bits`` bits of which a pair at ``max_distance`` agrees on one with probability ``recall``."""
+    p = math.comb(BITS - key_bits, max_distance) / math.comb(BITS, max_distance)
+    if not p:
+        raise ValueError("key_bits + max_distance must be at most 128")
+    return 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
+
+
+def table_bits(tables: int, key_bits: int) -> np.ndarray:
+    """The bits of each table; each bit is used again only when all have been."""
+    rng = np.random.default_rng(11)
+    out, left = [], []
+    for _ in range(tables):
+        if len(left) < key_bits:
+            more = rng.permutation(BITS).tolist()
+            left += [b for b in more if b not in left] + [b for b in more if b in left]
+        out.append(left[:key_bits])
+        left = left[key_bits:]
+    return np.array(out)
+
+
+def near(h: np.ndarray, low: np.ndarray, earlier: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, first < second, at most ``max_distance`` apart that differ within each mask of ``earlier``."""
+    n = len(h)
+    step = max(1, CHUNK // n)
+    for lo in range(0, n - 1, step):
+        hi = min(n, lo + step)
+        apart = np.bitwise_count(h[lo:hi, None] ^ h[lo:]) + np.bitwise_count(low[lo:hi, None] ^ low[lo:])
+        i, j = np.nonzero(apart <= max_distance)
+        i, j = i[i < j] + lo, j[i < j] + lo
+        x, y = h[i] ^ h[j], low[i] ^ low[j]
+        new = np.ones(len(i), bool)
+        for a, b in earlier:
+            new &= (x & a | y & b) != 0
+        if new.any():
+            yield i[new], j[new]
+
+
+def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", min_inliers: int = 6, max_distance: int = 16, tolerance: float = 4.0, hot_word: int = 256, key_bits: int = 12, recall: float = 0.9) -> DataFrame:
     """``image_a < image_b, inliers, scale, turn, dy, dx``: the transform takes
     places of the first image to places of the second."""
     kind = images.schema[id_col].dataType.simpleString()
+    chosen = table_bits(tables_needed(key_bits, max_distance, recall), key_bits)
+    masks = np.zeros((len(chosen), BITS), np.uint8)
+    np.put_along_axis(masks, chosen, 1, 1)
+    masks = np.packbits(masks, axis=1).view("<u8")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,23 +271,42 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
                 continue
             p, b = np.concatenate(places), np.ascontiguousarray(np.concatenate(bits))
             owner, packed = ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pack_places(p))
-            halves = b.view("<i8")
+            halves, single = b.view("<i8"), np.unpackbits(b, axis=1)
             h, low = (pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1))
-            for t, word in enumerate((h, low)):
-                yield pa.RecordBatch.from_arrays([owner, packed, h, low, word, pa.array(np.full(len(p), t, np.int8))], names=["_id", "_place", "_h", "_l", "_word", "_table"])
+            for t, at in enumerate(chosen):
+                key = single[:, at].astype(np.int64) @ (1 << np.arange(key_bits)) | t << key_bits
+                yield pa.RecordBatch.from_arrays([pa.array(key), owner, packed, h, low], names=["_key", "_id", "_place", "_h", "_l"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys, (h, low) = table.column("_key").to_numpy(), (table.column(c).to_numpy().view(np.uint64) for c in ("_h", "_l"))
+            ids, places = as_array(table.column("_id")), as_array(table.column("_place"))
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi - lo < 2:
+                    continue
+                for i, j in near(h[lo:hi], low[lo:hi], masks[: keys[lo] >> key_bits], max_distance):
+                    i, j = pa.array(i + lo), pa.array(j + lo)
+                    yield pa.RecordBatch.from_arrays([ids.take(i), ids.take(j), places.take(i), places.take(j)], names=["_id_a", "_id_b", "_place_a", "_place_b"])
+
+        for batch in batches:  # sorted by key; the last key of a batch may go on in the next
+            keys = batch.column("_key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if cut:
+                yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            if len(keys):
+                held.append(batch.slice(cut))
+        if held:
+            yield from solve(pa.Table.from_batches(held))
 
     entries = images.select(quoted(id_col).alias("_id"), quoted(image_col).alias("_image")).where("_id is not null and _image is not null")
-    entries = entries.mapInArrow(describe, f"_id {kind}, _place bigint, _h bigint, _l bigint, _word bigint, _table tinyint")
-    sized = entries.withColumn("_n", F.count("*").over(Window.partitionBy("_word", "_table"))).where("_n > 1")
-    sized = checkpoint(sized)
-    cold = sized.where(F.col("_n") < hot_word)
-    a, b = (cold.select("_word", "_table", *[F.col(c).alias(c + s) for c in ("_id", "_place", "_h", "_l")]) for s in ("_a", "_b"))
-    distance = F.bit_count(F.col("_h_a").bitwiseXOR(F.col("_h_b"))) + F.bit_count(F.col("_l_a").bitwiseXOR(F.col("_l_b")))
-    met = a.join(b, ["_word", "_table"]).where("_id_a < _id_b").where(distance <= max_distance).select("_id_a", "_id_b", "_place_a", "_place_b")
-    hot = sized.where(F.col("_n") >= hot_word).select("_id", "_place", "_h", "_l").distinct()
-    least = hot.groupBy("_h", "_l").agg(F.min(F.struct("_id", "_place")).alias("_f"))
-    star = hot.join(least, ["_h", "_l"]).where(F.col("_f._id") < F.col("_id")).select(F.col("_f._id"), "_id", F.col("_f._place"), "_place")
-    found = met.union(star).groupBy("_id_a", "_id_b").agg(F.collect_set(F.struct("_place_a", "_place_b")).alias("_ms"))
+    entries = entries.mapInArrow(describe, f"_key bigint, _id {kind}, _place bigint, _h bigint, _l bigint")
+    sorted_ = entries.repartition(shuffle_partitions(images.sparkSession), "_key").sortWithinPartitions("_key", "_id")
+    met = sorted_.mapInArrow(compare, f"_id_a {kind}, _id_b {kind}, _place_a bigint, _place_b bigint").where("_id_a <> _id_b")
+    found = met.groupBy("_id_a", "_id_b").agg(F.collect_set(F.struct("_place_a", "_place_b")).alias("_ms"))
     pairs = found.where(F.size("_ms") >= min_inliers).select("_id_a", "_id_b", F.col("_ms._place_a").alias("_pa"), F.col("_ms._place_b").alias("_pb"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

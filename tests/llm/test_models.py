@@ -90,6 +90,32 @@ def test_copies_are_found(spark):
     assert media.find_copies(images(spark).limit(0)).count() == 0
 
 
+def test_hamming_tables_keep_recall_at_the_distance():
+    rng = np.random.default_rng(8)
+    chosen = media.table_bits(media.tables_needed(12, 16, 0.9), 12)
+    flips = np.zeros((20_000, 128), bool)
+    np.put_along_axis(flips, rng.random(flips.shape).argsort(1)[:, :16], True, 1)
+    assert (~flips[:, chosen].any(2)).any(1).mean() >= 0.9
+
+
+def test_noisy_copies_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    first = [media.draw(v) for v in rng.normal(size=(10, 64))]
+    pictures = first + [x + rng.normal(0, 20, x.shape) for x in first]
+    rows = [(k, media.pgm(x)) for k, x in enumerate(pictures)]
+    parts = [media.descriptors(media.decode(b)) for _, b in rows]
+    brute = set()
+    for a in range(20):
+        for b in range(a + 1, 20):
+            (pa_, x), (pb, y) = parts[a], parts[b]
+            i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None]).sum(2) <= 16)
+            if len(i) >= 6 and media.consensus(np.hstack([pa_[i], pb[j]]), 4.0)[0] >= 6:
+                brute.add((a, b))
+    assert {(k, 10 + k) for k in range(10)} <= brute
+    found = {(r["image_a"], r["image_b"]) for r in media.find_copies(spark.createDataFrame(rows, "image_id bigint, image binary")).collect()}
+    assert found <= brute and len(found) >= 0.9 * len(brute)
+
+
 def test_png_round_trip():
     import zlib
 
