@@ -17,13 +17,17 @@ pivots are taken until every member is linked to one or was one, and parts that
 pivots leave apart are compared until linked, so that the number of pairs stays
 in proportion to the members while the groups stay whole.
 
+That star form, with copies joined to the least id among them, is the edge set of
+``join`` and ``keep_one``; ``all_pairs`` compares dense buckets whole, member by
+member in blocks, over one entry a text, and expands the copies of a text last.
+
 Byte sketches decide pairs whose estimate is ``band`` standard deviations away
 from the threshold; the others are verified on their whole n-gram sets.
 
 Result: ``doc_a < doc_b, jaccard`` (the estimate where it was decisive).
 Documents with fewer words than ``n`` are one gram of all their words.  Nulls,
-ties, odd input: null and empty texts and null ids take no part; copies are
-joined to the least id among them (similarity 1); rows that share an id are
+ties, odd input: null and empty texts and null ids take no part; copies have
+similarity 1; rows that share an id are
 versions of one document, never paired with each other; an empty table gives an
 empty result; other columns are never read.
 """
@@ -38,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm._text import as_array, inside, mix, pieces, row_of, window_hashes, word_codes
+from plinth.llm._text import as_array, inside, mix, pieces, row_of, split_words, window_hashes, word_codes
 from plinth.llm._util import checkpoint, free_name, quoted, shuffle_partitions
 from plinth.llm.components import components
 
@@ -104,8 +108,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Buckets:
     """Comparison of the members of buckets."""
 
-    def __init__(self, low: float, high: float, limit: int, branches: int, max_depth: int):
-        self.low, self.high, self.limit, self.branches, self.max_depth = low, high, limit, branches, max_depth
+    def __init__(self, low: float, high: float, limit: int, branches: int, max_depth: int, whole: bool = False):
+        self.low, self.high, self.limit, self.branches, self.max_depth, self.whole = low, high, limit, branches, max_depth, whole
+        self.dense: list[np.ndarray] = []  # with ``whole``: rows to be compared by ``every``
         self.a: list[np.ndarray] = []
         self.b: list[np.ndarray] = []
         self.s: list[np.ndarray] = []
@@ -126,17 +131,21 @@ class Buckets:
                 self._emit(i[near], j[near], s[near])
 
     def large(self, at: np.ndarray, sketches: np.ndarray, depth: int = 0, path: int = 0) -> None:
-        whole = np.ascontiguousarray(sketches[at]).view(f"V{sketches.shape[1]}").ravel()
-        _, first, back = np.unique(whole, return_index=True, return_inverse=True)
-        copies = np.flatnonzero(first[back] != np.arange(len(at)))
-        self._emit(at[first[back[copies]]], at[copies], np.ones(len(copies)))
-        at = at[np.sort(first)]
+        if not self.whole:
+            bytes_ = np.ascontiguousarray(sketches[at]).view(f"V{sketches.shape[1]}").ravel()
+            _, first, back = np.unique(bytes_, return_index=True, return_inverse=True)
+            copies = np.flatnonzero(first[back] != np.arange(len(at)))
+            self._emit(at[first[back[copies]]], at[copies], np.ones(len(copies)))
+            at = at[np.sort(first)]
         if len(at) <= self.limit:
             self.small(np.zeros(len(at), np.int8), at, sketches)
             return
         to_first = similarity(sketches[at[:1]], sketches[at])
         if depth >= self.max_depth or (to_first >= self.low).mean() >= 0.5:
-            self._pivots(at, sketches)
+            if self.whole:
+                self.dense.append(at)
+            else:
+                self._pivots(at, sketches)
             return
         t = sketches.shape[1]
         for j in range(self.branches):
@@ -148,6 +157,16 @@ class Buckets:
                 if len(child) > 1:
                     self.large(child, sketches, depth + 1, step % (1 << 31) + k)
 
+    def every(self, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All pairs of each dense bucket, in blocks."""
+        for at in self.dense:
+            step = max(1, (CHUNK << 1) // len(at))
+            for lo in range(0, len(at) - 1, step):
+                hi = min(len(at), lo + step)
+                s = similarity(sketches[at[lo:hi], None], sketches[at[lo:]])
+                i, j = np.nonzero(np.triu(s >= self.low, 1))
+                yield at[lo + i], at[lo + j], s[i, j]
+
     def _pivots(self, at: np.ndarray, sketches: np.ndarray) -> None:
         parts = np.full(len(at), -1)
         for p in range(len(at)):
@@ -187,8 +206,8 @@ def runs_needed(branches: int, threshold: float, depth: int, recall: float) -> i
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(branches, threshold, depth))))
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, coordinates: int, limit: int, target_recall: float, band: float, max_depth: int, presplit: int) -> DataFrame:
-    """``_a, _b, _s``: pairs whose estimate isn't far below the threshold."""
+def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, coordinates: int, limit: int, target_recall: float, band: float, max_depth: int, presplit: int, whole: bool = False) -> DataFrame:
+    """``_a, _b, _s``: pairs whose estimate isn't far below the threshold; of rows that share an id, ``whole`` takes one a bucket."""
     branches = math.ceil(1 / threshold)
     runs = runs_needed(branches, threshold, presplit + max_depth // 2, target_recall)
     sigma = math.sqrt(threshold * (1 - threshold) / coordinates)
@@ -211,13 +230,16 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def solve(table: pa.Table) -> pa.RecordBatch:
+        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if whole:
+                x, y = table.column("_key").to_numpy(), table.column("_id").to_numpy()
+                table = table.take(pa.array(np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))))
             keys = table.column("_key").to_numpy()
             raw = as_array(table.column("_sketch")).cast(pa.binary(coordinates))
             sketches = np.frombuffer(raw.buffers()[1], np.uint8, len(raw) * coordinates, raw.offset * coordinates).reshape(-1, coordinates)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             sizes = np.diff(edges)
-            work = Buckets(low, high, limit, branches, max_depth)
+            work = Buckets(low, high, limit, branches, max_depth, whole)
             size_at = np.repeat(sizes, sizes)
             at = np.flatnonzero((size_at > 1) & (size_at <= limit))
             work.small(keys[at], at, sketches)
@@ -226,18 +248,20 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
             cat = lambda v, t: np.concatenate(v) if v else np.empty(0, t)
             ids = as_array(table.column("_id"))
             a, b, s = cat(work.a, np.int64), cat(work.b, np.int64), cat(work.s, np.float64)
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s)], names=["_a", "_b", "_s"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s)], names=["_a", "_b", "_s"])
+            for a, b, s in work.every(sketches):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s)], names=["_a", "_b", "_s"])
 
         for batch in batches:  # sorted by key; the last bucket of a batch may go on in the next
             keys = batch.column("_key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if cut:
-                yield solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             if len(keys):
                 held.append(batch.slice(cut))
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
     entries = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).where("_id is not null and _text is not null")
     entries = entries.mapInArrow(split, f"_key bigint, _id {kind}, _sketch binary")
@@ -271,7 +295,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int
             yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), pa.array(out, pa.float64())], names=["_a", "_b", "_s"])
 
     chosen = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).join(few, "_id", "left_semi")
-    each = checkpoint(chosen.mapInArrow(sets, f"_id {kind}, _set binary"))
+    each = checkpoint(chosen.mapInArrow(sets, f"_id {kind}, _set binary").distinct())
     left = each.select(F.col("_id").alias("_a"), F.col("_set").alias("_x"))
     right = each.select(F.col("_id").alias("_b"), F.col("_set").alias("_y"))
     joined = pairs.select("_a", "_b").join(left, "_a").join(right, "_b").select("_a", "_b", "_x", "_y")
@@ -292,7 +316,8 @@ def join(
     presplit: int | None = None,
     max_broadcast: int = 200_000,
 ) -> DataFrame:
-    """Pairs of documents whose n-gram sets have a Jaccard similarity of at least ``threshold``."""
+    """Pairs of documents whose n-gram sets have a Jaccard similarity of at least
+    ``threshold``; of groups beyond ``limit`` the stars that hold them together."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("0 < threshold <= 1 and n >= 1")
     if presplit is None:
@@ -303,6 +328,46 @@ def join(
     return every.select(F.col("_a").alias("doc_a"), F.col("_b").alias("doc_b"), F.col("_s").alias("jaccard"))
 
 
+def all_pairs(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 3,
+    threshold: float = 0.5,
+    coordinates: int = 128,
+    limit: int = 64,
+    target_recall: float = 0.97,
+    band: float = 4.0,
+    max_depth: int = 4,
+    presplit: int | None = None,
+    max_broadcast: int = 200_000,
+) -> DataFrame:
+    """As ``join``, but with all pairs of groups of any size."""
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError("0 < threshold <= 1 and n >= 1")
+    if presplit is None:
+        presplit = 1 + math.ceil(math.log(max(1.0, docs.count() / 2_000_000), 10_000))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def wordy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
+            some = pa.array(np.diff(split_words(batch.column("_text"))[1]) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_id")], names=["_node", "_id"]).filter(some)
+
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).where("_id is not null and _text is not null")
+    rows = rows.select(F.xxhash64("_text").alias("_node"), "_id", "_text")
+    members = checkpoint(rows.mapInArrow(wordy, f"_node bigint, _id {kind}").distinct())
+    texts = rows.select("_node", "_text")
+    pairs = checkpoint(candidates(texts, "_node", "_text", n, threshold, coordinates, limit, target_recall, band, max_depth, presplit, whole=True))
+    exact = verify(pairs.where("not _sure"), texts, "_node", "_text", n, max_broadcast).where(F.col("_s") >= threshold)
+    near = pairs.where("_sure").select("_a", "_b", "_s").unionByName(exact.select("_a", "_b", "_s"))
+    left, right = (members.select(F.col("_node").alias(node), F.col("_id").alias(name)) for node, name in (("_a", "_x"), ("_b", "_y")))
+    apart = near.join(left, "_a").join(right, "_b").select("_x", "_y", "_s")
+    same = left.join(right, F.col("_a") == F.col("_b")).where("_x < _y").select("_x", "_y", F.lit(1.0).alias("_s"))
+    every = apart.unionByName(same).where("_x <> _y").groupBy(F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b"))
+    return every.agg(F.max("_s").alias("jaccard"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 500_000, **options) -> DataFrame:
     """The rows, with all their columns, but of each group of similar documents
     (connected by pairs) only the one with the least id."""

@@ -49,6 +49,19 @@ def test_join_recall_and_precision(spark, corpus):
     assert {a for a, b in got if b >= 161} == {160} or len(got) < len(want)  # the hot group is a star, not all pairs
 
 
+def test_all_pairs_of_large_groups(spark, corpus):
+    copy = words(random.Random(6), 70)
+    docs = corpus | {1000 + k: copy for k in range(100)} | {2000: [], 2001: []}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id bigint, text string")
+    df = df.union(df.where("doc_id < 5 or doc_id = 1000"))
+    rows = [tuple(r) for r in ngram_join.all_pairs(df).collect()]
+    got = {(a, b) for a, b, _ in rows}
+    want = {(a, b) for a in corpus for b in corpus if a < b and jaccard(corpus[a], corpus[b]) >= 0.5}
+    want |= {(1000 + a, 1000 + b) for a in range(100) for b in range(a + 1, 100)}
+    assert len(rows) == len(got) and not got - want and len(got) >= 0.98 * len(want)
+    assert {p for p in want if p[0] >= 1000} <= got
+
+
 def test_join_small_thresholds_and_limits(spark, corpus):
     few = {k: corpus[k] for k in list(corpus)[:120]}
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in few.items()], "doc_id bigint, text string")
