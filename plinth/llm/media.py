@@ -10,7 +10,10 @@ The Hamming join has tables of ``key_bits`` sampled bits each: corners that agre
 on a table's bits are compared, and match if they differ in at most
 ``max_distance`` of all bits.  There are as many tables as find a pair that differs
 in just ``max_distance`` bits, wherever they are, with probability ``recall``.
-Each match comes from the first table in which its corners meet.  Matches by
+Each match comes from the first table in which its corners meet.  Keys that more
+than 16 * ``hot_word`` corners have (common patterns, many copies of one image)
+are cut in blocks of about that size by a hash of the corner, and each pair of
+blocks is compared on its own, so that no key falls to one task.  Matches by
 chance are part of the join and grow with the square of the corners.
 
 Every match of an image pair proposes a similarity transform (turn, scale,
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm._text import as_array
-from plinth.llm._util import quoted, shuffle_partitions
+from plinth.llm._util import checkpoint, quoted, shuffle_partitions
 
 RADIUS, BITS, TURNS = 11, 128, 36
 CHUNK = 1 << 20
@@ -271,11 +274,16 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
                 continue
             p, b = np.concatenate(places), np.ascontiguousarray(np.concatenate(bits))
             owner, packed = ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pack_places(p))
-            halves, single = b.view("<i8"), np.unpackbits(b, axis=1)
-            h, low = (pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1))
+            h, low = (pa.array(np.ascontiguousarray(b.view("<i8")[:, k])) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([owner, packed, h, low], names=["_id", "_place", "_h", "_l"])
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = np.stack([batch.column(c).to_numpy() for c in ("_h", "_l")], 1).astype("<i8").view(np.uint8)
+            single = np.unpackbits(b, axis=1)
             for t, at in enumerate(chosen):
-                key = single[:, at].astype(np.int64) @ (1 << np.arange(key_bits)) | t << key_bits
-                yield pa.RecordBatch.from_arrays([pa.array(key), owner, packed, h, low], names=["_key", "_id", "_place", "_h", "_l"])
+                word = single[:, at].astype(np.int64) @ (1 << np.arange(key_bits)) | t << key_bits
+                yield pa.RecordBatch.from_arrays([pa.array(word), *batch.columns], names=["_key", *batch.schema.names])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -283,12 +291,17 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
             keys, (h, low) = table.column("_key").to_numpy(), (table.column(c).to_numpy().view(np.uint64) for c in ("_h", "_l"))
             ids, places = as_array(table.column("_id")), as_array(table.column("_place"))
+            blocks = table.column("_block").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                for i, j in near(h[lo:hi], low[lo:hi], masks[: keys[lo] >> key_bits], max_distance):
-                    i, j = pa.array(i + lo), pa.array(j + lo)
+                apart = keys[lo] >> 15 & 0x7FFF != keys[lo] & 0x7FFF  # two blocks of a hot key
+                for i, j in near(h[lo:hi], low[lo:hi], masks[: keys[lo] >> 30 >> key_bits], max_distance):
+                    i, j = i + lo, j + lo
+                    if apart:
+                        i, j = i[blocks[i] != blocks[j]], j[blocks[i] != blocks[j]]
+                    i, j = pa.array(i), pa.array(j)
                     yield pa.RecordBatch.from_arrays([ids.take(i), ids.take(j), places.take(i), places.take(j)], names=["_id_a", "_id_b", "_place_a", "_place_b"])
 
         for batch in batches:  # sorted by key; the last key of a batch may go on in the next
@@ -303,7 +316,16 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
             yield from solve(pa.Table.from_batches(held))
 
     entries = images.select(quoted(id_col).alias("_id"), quoted(image_col).alias("_image")).where("_id is not null and _image is not null")
-    entries = entries.mapInArrow(describe, f"_key bigint, _id {kind}, _place bigint, _h bigint, _l bigint")
+    corners = checkpoint(entries.mapInArrow(describe, f"_id {kind}, _place bigint, _h bigint, _l bigint"))
+    entries = corners.mapInArrow(key, f"_key bigint, _id {kind}, _place bigint, _h bigint, _l bigint")
+    size = 16 * hot_word
+    hot = entries.groupBy(F.col("_key").alias("_hot")).count().where(F.col("count") > size)
+    hot = F.broadcast(checkpoint(hot.select("_hot", F.least(F.lit(1 << 15), F.ceil(F.col("count") / size)).cast("int").alias("_cut"))))  # 2**key_bits a table at most
+    entries = entries.join(hot, F.col("_key") == F.col("_hot"), "left").withColumn("_cut", F.coalesce("_cut", F.lit(1)))
+    entries = entries.withColumn("_block", F.pmod(F.xxhash64("_id", "_place"), "_cut").cast("int"))
+    entries = entries.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)))
+    word = F.shiftleft("_key", 30) + F.least("_block", "_other") * F.lit(1 << 15) + F.greatest("_block", "_other")
+    entries = entries.select(word.alias("_key"), "_block", "_id", "_place", "_h", "_l")
     sorted_ = entries.repartition(shuffle_partitions(images.sparkSession), "_key").sortWithinPartitions("_key", "_id")
     met = sorted_.mapInArrow(compare, f"_id_a {kind}, _id_b {kind}, _place_a bigint, _place_b bigint").where("_id_a <> _id_b")
     found = met.groupBy("_id_a", "_id_b").agg(F.collect_set(F.struct("_place_a", "_place_b")).alias("_ms"))

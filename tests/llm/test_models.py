@@ -116,6 +116,17 @@ def test_noisy_copies_against_brute_force(spark):
     assert found <= brute and len(found) >= 0.9 * len(brute)
 
 
+def test_group_of_many_copies(spark):
+    rng = np.random.default_rng(4)
+    picture = media.draw(rng.normal(size=64), 64)
+    rows = [(k, media.pgm(picture + rng.normal(0, 2, picture.shape))) for k in range(270)]
+    out = media.find_copies(spark.createDataFrame(rows, "image_id bigint, image binary"))
+    found = {(r["image_a"], r["image_b"]) for r in out.collect()}
+    assert len(found) >= 0.95 * 270 * 269 / 2
+    few = spark.createDataFrame(rows[:40], "image_id bigint, image binary")
+    assert sorted(media.find_copies(few, hot_word=2).collect()) == sorted(media.find_copies(few).collect())
+
+
 def test_png_round_trip():
     import zlib
 
