@@ -149,7 +149,7 @@ class Buckets:
             return
         t = sketches.shape[1]
         for j in range(self.branches):
-            step = int(mix(np.array([path * 31 + depth * 7 + j + 1], np.uint64))[0])
+            step = int(mix(np.array([(path * 31 + depth * 7 + j + 1) % (1 << 64)], np.uint64))[0])
             values = sketches[at, step % t]
             order = np.argsort(values, kind="stable")
             cuts = np.flatnonzero(np.diff(values[order])) + 1
@@ -209,7 +209,7 @@ def runs_needed(branches: int, threshold: float, depth: int, recall: float) -> i
 def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, coordinates: int, limit: int, target_recall: float, band: float, max_depth: int, presplit: int, whole: bool = False) -> DataFrame:
     """``_a, _b, _s``: pairs whose estimate isn't far below the threshold; of rows that share an id, ``whole`` takes one a bucket."""
     branches = math.ceil(1 / threshold)
-    runs = runs_needed(branches, threshold, presplit + max_depth // 2, target_recall)
+    runs = runs_needed(branches, threshold, presplit + max_depth, target_recall)
     sigma = math.sqrt(threshold * (1 - threshold) / coordinates)
     low, high = max(0.02, threshold - band * sigma), min(0.999, threshold + band * sigma)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -244,7 +244,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
             at = np.flatnonzero((size_at > 1) & (size_at <= limit))
             work.small(keys[at], at, sketches)
             for k in np.flatnonzero(sizes > limit):
-                work.large(np.arange(edges[k], edges[k + 1]), sketches)
+                work.large(np.arange(edges[k], edges[k + 1]), sketches, path=int(keys[edges[k]]))  # the key carries the run
             cat = lambda v, t: np.concatenate(v) if v else np.empty(0, t)
             ids = as_array(table.column("_id"))
             a, b, s = cat(work.a, np.int64), cat(work.b, np.int64), cat(work.s, np.float64)

@@ -62,6 +62,18 @@ def test_all_pairs_of_large_groups(spark, corpus):
     assert {p for p in want if p[0] >= 1000} <= got
 
 
+def test_recall_near_the_threshold_in_oversized_buckets(spark):
+    """Pairs just above the threshold, of words that many dissimilar documents have."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(1500):
+        drawn = rng.sample(range(160), 53)
+        texts += [drawn[:40], drawn[13:]]  # 27 of 53 words in common
+    df = spark.createDataFrame([(k, " ".join(f"w{w}" for w in t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r[0], r[1]) for r in ngram_join.all_pairs(df, n=1).collect()}
+    assert len({(k, k + 1) for k in range(0, 3000, 2)} & got) >= 0.95 * 1500
+
+
 def test_join_small_thresholds_and_limits(spark, corpus):
     few = {k: corpus[k] for k in list(corpus)[:120]}
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in few.items()], "doc_id bigint, text string")
