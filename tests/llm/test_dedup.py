@@ -122,7 +122,7 @@ def test_components_against_union_find(spark):
 
 
 def brute_repeats(texts, length):
-    """{(id, first): covered words} by looking at every window."""
+    """{(text, first): covered words} by looking at every window; texts in order of their names."""
     seen, out = {}, {}
     for i in sorted(texts):
         t = texts[i]
@@ -135,16 +135,60 @@ def brute_repeats(texts, length):
     return out
 
 
-def covered(df):
+def covered(df, name=lambda r: r["doc_id"]):
     out = {}
     for r in df.collect():
-        cell = out.setdefault((r["doc_id"], r["first"]), set())
+        cell = out.setdefault((name(r), r["first"]), set())
         new = set(range(r["start_word"], r["start_word"] + r["n_words"]))
         assert not cell & new
         cell |= new
     return out
 
 
+def by_key(df):
+    """Texts of a table by (null id last, id, key), as ``brute_repeats`` takes them."""
+    rows = df.select("doc_id", "text", suffix_dedup.text_key("doc_id", "text").alias("k")).where("text is not null").collect()
+    return {(r["doc_id"] is None, r["doc_id"] or 0, r["k"]): r["text"].split() for r in rows}
+
+
+@pytest.mark.parametrize("length", [5, 9, 50])
+def test_repeats_of_texts_that_share_ids(spark, length):
+    """Few ids, many texts: each text has its own intervals, and only repeats are cut."""
+    rng = random.Random(3)
+    passage = words(rng, 2 * length, 9)
+    rows = [(rng.choice([0, 1, 2, None]), words(rng, rng.randrange(0, length), 9) + passage[rng.randrange(length) :] * (k % 3 > 0) + words(rng, rng.randrange(0, 3 * length), 60)) for k in range(40)]
+    rows += [rows[5], rows[6]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    texts = by_key(df)
+    want = brute_repeats(texts, length)
+    assert covered(suffix_dedup.repeats(df, length), lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text_key"])) == want
+    left = by_key(suffix_dedup.drop_repeats(df.distinct(), length))
+    expected = []
+    for name, t in texts.items():
+        gone = want.get((name, False), set())
+        rest = [w for k, w in enumerate(t) if k not in gone]
+        expected += [(name[:2], rest)] if rest or not t else []
+    assert sorted((k[:2], t) for k, t in left.items()) == sorted(expected)
+
+
+def test_a_text_that_occurs_once_stays(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(120)) for c in "ab")
+    df = spark.createDataFrame([(0, b), (1, a), (1, b)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in suffix_dedup.drop_repeats(df).collect()) == sorted([(0, b), (1, a)])
+
+
+def test_names_cover_just_the_words():
+    for length in range(4, 501):
+        cover, reach = length - 2, suffix_dedup.first_reach(length - 2)
+        assert 0 < reach <= 18
+        while reach < cover:
+            one, two = suffix_dedup.next_shifts(reach, cover)
+            assert one % 3 == two % 3 == 0 and 0 < one <= two <= reach + one
+            assert one <= reach
+            reach += two
+        assert reach == cover
+
+
 @pytest.mark.parametrize("length", [4, 7, 20, 50])
 def test_repeats_are_the_brute_force_ones(spark, length):
     rng = random.Random(length)
@@ -183,7 +227,8 @@ def test_repeats_odd_rows(spark, odd, empty):
     got = {(r["doc_id"], r["first"]): (r["start_word"], r["n_words"]) for r in suffix_dedup.repeats(clash(twice), 400).collect()}
     n = len(LONG.split())
     assert got == {(5, True): (0, 1376), (5, False): (977, n - 977), (9, False): (0, n)}
-    assert suffix_dedup.repeats(odd, 50).count() == 2 and suffix_dedup.repeats(empty).count() == 0
+    named = clash(odd).withColumnRenamed("doc_id", "text_key")
+    assert suffix_dedup.repeats(named, 50, "text_key").columns[:2] == ["text_key", "_text_key"] and suffix_dedup.repeats(odd, 50).count() == 2 and suffix_dedup.repeats(empty).count() == 0
     with pytest.raises(TypeError):
         suffix_dedup.repeats(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
 
@@ -193,8 +238,8 @@ def test_drop_repeats(spark, odd, empty):
     rows = [(1, f"one {p} end", None, None, 0), (2, f"Two,  {p}\nfin  here", "en", "a", 9), (3, p, None, None, 1), (4, "short", None, None, 5), (None, p, None, None, 3)]
     docs = clash(spark.createDataFrame(rows, odd.schema))
     out = {r["doc_id"]: r for r in suffix_dedup.drop_repeats(docs).collect()}
-    assert set(out) == {1, 2, 4, None} and out[1]["text"] == rows[0][1] and out[1]["n_chars"] == 0
-    assert out[2]["text"] == "Two,  fin  here" and out[2]["n_chars"] == 15 and out[None]["text"] == p
+    assert set(out) == {1, 2, 4} and out[1]["text"] == rows[0][1] and out[1]["n_chars"] == 0
+    assert out[2]["text"] == "Two,  fin  here" and out[2]["n_chars"] == 15
     assert suffix_dedup.drop_repeats(empty).count() == 0
 
 
