@@ -3,33 +3,38 @@
 A document is the set of its word n-grams.  Its embedding is ``coordinates``
 min-wise hashes; equality on a coordinate means a shared token, with the
 probability of the pair's Jaccard similarity.  A run splits the documents on
-``branches`` = ceil(1 / threshold) sampled coordinates, each bucket again on
-coordinates sampled from its path, until it is small; small buckets are compared
-pair by pair.  Runs are repeated: with survival probability q of a pair at the
-threshold through the deepest split, ``runs`` is the least number with
+``branches`` = ceil(1 / threshold) sampled coordinates.  A bucket of more than
+``limit`` members is split again on coordinates sampled from its path, by the
+next shuffle, down to ``max_depth`` splits; small buckets are compared pair by
+pair.  What is still large then (texts that all resemble each other) is cut in
+blocks by a hash, and each pair of blocks compared in a task of its own.  Runs
+are repeated: with survival probability q of a pair at the threshold through all
+``max_depth`` splits, ``runs`` is the least number with
 1 - (1 - q)**runs >= target recall.
 
-The first ``presplit`` levels are made before the one shuffle, so that a bucket
-fits a task (one more for each 10,000 times 2 million documents); the rest
-inside the task.  Bucket members carry one byte a
-coordinate.  A dense bucket (most members resemble its first) isn't split:
-pivots are taken until every member is linked to one or was one, and parts that
-pivots leave apart are compared until linked, so that the number of pairs stays
-in proportion to the members while the groups stay whole.
+Before anything is paired, equal texts become one class (by a 64-bit hash), with
+the least id as its representative.  Bucket members carry one byte a coordinate;
+pairs whose estimate isn't ``band`` standard deviations below the threshold are
+measured on their whole n-gram sets.  For that, texts are placed by their least
+partner, so that a group of near copies meets in one task; beyond ``group_size``
+texts a group is cut in blocks, too.
 
-That star form, with copies joined to the least id among them, is the edge set of
-``join`` and ``keep_one``; ``all_pairs`` compares dense buckets whole, member by
-member in blocks, over one entry a text, and expands the copies of a text last.
+``all_pairs``: ``doc_a < doc_b, jaccard, copy``.  Every link between different
+texts, as a pair of representatives with the exact similarity (``copy`` false),
+and every further id of a text with its representative (``copy`` true,
+similarity 1); links between copies are implied.  Nothing depends on the size of
+a group.
 
-Byte sketches decide pairs whose estimate is ``band`` standard deviations away
-from the threshold; the others are verified on their whole n-gram sets.
+``keep_one`` needs connections only: in each bucket, pairs surely above the
+threshold give a star a connected part, and other pairs are measured only
+between such parts.
 
-Result: ``doc_a < doc_b, jaccard`` (the estimate where it was decisive).
 Documents with fewer words than ``n`` are one gram of all their words.  Nulls,
-ties, odd input: null and empty texts and null ids take no part; copies have
-similarity 1; rows that share an id are
-versions of one document, never paired with each other; an empty table gives an
-empty result; other columns are never read.
+ties, odd input: null, empty and wordless texts and null ids take no part; texts
+of any length are read whole; repeated rows are one; rows that share an id are
+versions of one document, never paired with each other (a link between their
+texts is given by another id that has the text, if there is one); an empty table
+gives an empty result; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm._text import as_array, inside, mix, pieces, row_of, split_words, window_hashes, word_codes
+from plinth.llm._text import as_array, inside, mix, pieces, row_of, window_hashes, word_codes
 from plinth.llm._util import checkpoint, free_name, quoted, shuffle_partitions
 from plinth.llm.components import components
 
@@ -84,115 +89,68 @@ def min_hashes(grams: np.ndarray, counts: np.ndarray, coordinates: int) -> np.nd
     return out
 
 
-def paths(mins: np.ndarray, run: int, branches: int, levels: int) -> list[np.ndarray]:
-    """Path keys of each row through ``levels`` splits: branches**levels arrays."""
-    rows, t = np.arange(len(mins)), np.uint64(mins.shape[1])
-    at = [np.full(len(mins), mix(np.array([run + 1], np.uint64) * PATH)[0], np.uint64)]
-    for _ in range(levels):
-        nxt = []
-        for path in at:
-            first = mix(path)
-            for j in range(branches):
-                coordinate = (first + np.uint64(j) * (t // np.uint64(branches))) % t
-                nxt.append(mix(path * PATH + (mins[rows, coordinate.astype(np.int64)].astype(np.uint64) << np.uint64(8)) + np.uint64(j + 1)))
-        at = nxt
-    return at
+def roots(run: int, rows: int) -> np.ndarray:
+    """Path of each row before the first split of a run."""
+    return np.full(rows, mix(np.array([run + 1], np.uint64) * PATH)[0], np.uint64)
+
+
+def children(path: np.ndarray, mins: np.ndarray, branches: int) -> list[np.ndarray]:
+    """Path keys of each row after one more split, an array for each branch."""
+    rows, t, first = np.arange(len(mins)), np.uint64(mins.shape[1]), mix(path)
+    out = []
+    for j in range(branches):
+        coordinate = (first + np.uint64(j) * (t // np.uint64(branches))) % t
+        out.append(mix(path * PATH + (mins[rows, coordinate.astype(np.int64)].astype(np.uint64) << np.uint64(8)) + np.uint64(j + 1)))
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates of byte sketches, without the chance matches."""
-    same = (a == b).mean(axis=-1)
-    return (same - 1 / 256) / (1 - 1 / 256)
-
-
-class Buckets:
-    """Comparison of the members of buckets."""
-
-    def __init__(self, low: float, high: float, limit: int, branches: int, max_depth: int, whole: bool = False):
-        self.low, self.high, self.limit, self.branches, self.max_depth, self.whole = low, high, limit, branches, max_depth, whole
-        self.dense: list[np.ndarray] = []  # with ``whole``: rows to be compared by ``every``
-        self.a: list[np.ndarray] = []
-        self.b: list[np.ndarray] = []
-        self.s: list[np.ndarray] = []
-
-    def _emit(self, a, b, s) -> None:
-        self.a.append(np.asarray(a, np.int64)), self.b.append(np.asarray(b, np.int64)), self.s.append(np.asarray(s, np.float64))
-
-    def small(self, keys: np.ndarray, at: np.ndarray, sketches: np.ndarray) -> None:
-        """All pairs with equal keys; ``at`` are the rows, sorted by key."""
-        for lag in range(1, len(at)):
-            pair = np.flatnonzero(keys[lag:] == keys[:-lag])
-            if not len(pair):
-                return
-            for lo in range(0, len(pair), CHUNK):
-                i, j = at[pair[lo : lo + CHUNK]], at[pair[lo : lo + CHUNK] + lag]
-                s = similarity(sketches[i], sketches[j])
-                near = s >= self.low
-                self._emit(i[near], j[near], s[near])
-
-    def large(self, at: np.ndarray, sketches: np.ndarray, depth: int = 0, path: int = 0) -> None:
-        if not self.whole:
-            bytes_ = np.ascontiguousarray(sketches[at]).view(f"V{sketches.shape[1]}").ravel()
-            _, first, back = np.unique(bytes_, return_index=True, return_inverse=True)
-            copies = np.flatnonzero(first[back] != np.arange(len(at)))
-            self._emit(at[first[back[copies]]], at[copies], np.ones(len(copies)))
-            at = at[np.sort(first)]
-        if len(at) <= self.limit:
-            self.small(np.zeros(len(at), np.int8), at, sketches)
-            return
-        to_first = similarity(sketches[at[:1]], sketches[at])
-        if depth >= self.max_depth or (to_first >= self.low).mean() >= 0.5:
-            if self.whole:
-                self.dense.append(at)
-            else:
-                self._pivots(at, sketches)
-            return
-        t = sketches.shape[1]
-        for j in range(self.branches):
-            step = int(mix(np.array([(path * 31 + depth * 7 + j + 1) % (1 << 64)], np.uint64))[0])
-            values = sketches[at, step % t]
-            order = np.argsort(values, kind="stable")
-            cuts = np.flatnonzero(np.diff(values[order])) + 1
-            for k, child in enumerate(np.split(at[order], cuts)):
-                if len(child) > 1:
-                    self.large(child, sketches, depth + 1, step % (1 << 31) + k)
-
-    def every(self, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """All pairs of each dense bucket, in blocks."""
-        for at in self.dense:
-            step = max(1, (CHUNK << 1) // len(at))
-            for lo in range(0, len(at) - 1, step):
-                hi = min(len(at), lo + step)
-                s = similarity(sketches[at[lo:hi], None], sketches[at[lo:]])
-                i, j = np.nonzero(np.triu(s >= self.low, 1))
-                yield at[lo + i], at[lo + j], s[i, j]
-
-    def _pivots(self, at: np.ndarray, sketches: np.ndarray) -> None:
-        parts = np.full(len(at), -1)
-        for p in range(len(at)):
-            if parts[p] >= 0:
-                continue
-            s = similarity(sketches[at[p : p + 1]], sketches[at])
-            s[p] = 0
-            near = np.flatnonzero(s >= self.low)
-            self._emit(np.full(len(near), at[p]), at[near], s[near])
-            linked = near[s[near] >= self.high]
-            met = np.unique(parts[linked])
-            parts[p] = p
-            parts[linked[parts[linked] < 0]] = p
-            for m in met[met >= 0]:
-                parts[parts == m] = p
-        for p in np.unique(parts):  # parts that only members connect
-            mine = np.flatnonzero(parts == p)
-            for x in mine:
-                rest = np.flatnonzero(parts != parts[x])
-                if not len(rest):
-                    return
-                s = similarity(sketches[at[x : x + 1]], sketches[at[rest]])
-                near = s >= self.low
-                self._emit(np.full(near.sum(), at[x]), at[rest[near]], s[near])
-                for m in np.unique(parts[rest[s >= self.high]]):
-                    parts[parts == m] = parts[x]
+    return unbiased((a == b).mean(axis=-1))
+
+
+def unbiased(share):
+    return (share - 1 / 256) / (1 - 1 / 256)
+
+
+def near_in_bucket(sketches: np.ndarray, side: np.ndarray, low: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, estimate) of the pairs i < j of a bucket whose estimate is ``low`` or
+    more, in blocks; where ``side`` isn't all zero, of pairs with different sides."""
+    t = sketches.shape[1]
+    columns = np.ascontiguousarray(sketches.T)
+    step = max(1, 16 * CHUNK // len(sketches))
+    cross = side.any()
+    for lo in range(0, len(sketches) - 1, step):
+        hi = min(len(sketches), lo + step)
+        same = np.zeros((hi - lo, len(sketches) - lo), np.uint16)
+        for c in columns:
+            same += c[lo:hi, None] == c[None, lo:]
+        s = unbiased(same / t)
+        i, j = np.nonzero(np.triu(s >= low, 1))
+        est = s[i, j]
+        if cross:
+            apart = side[lo + i] != side[lo + j]
+            i, j, est = i[apart], j[apart], est[apart]
+        yield lo + i, lo + j, est
+
+
+def connections(n: int, i: np.ndarray, j: np.ndarray, s: np.ndarray, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sure) that keep the connected parts of a bucket: stars in place of
+    the pairs from ``high`` on, and the other pairs between the parts these make."""
+    sure = s >= high
+    a, b, part = i[sure], j[sure], np.arange(n)
+    while True:
+        least = np.minimum(part[a], part[b])
+        new = part.copy()
+        np.minimum.at(new, part[a], least)
+        np.minimum.at(new, part[b], least)
+        new = new[new]
+        if (new == part).all():
+            break
+        part = new
+    member = np.flatnonzero(part != np.arange(n))
+    open_ = np.flatnonzero(~sure & (part[i] != part[j]))
+    return np.concatenate([part[member], i[open_]]), np.concatenate([member, j[open_]]), np.arange(len(member) + len(open_)) < len(member)
 
 
 def survival(branches: int, threshold: float, depth: int) -> float:
@@ -206,51 +164,108 @@ def runs_needed(branches: int, threshold: float, depth: int, recall: float) -> i
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(branches, threshold, depth))))
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, coordinates: int, limit: int, target_recall: float, band: float, max_depth: int, presplit: int, whole: bool = False) -> DataFrame:
-    """``_a, _b, _s``: pairs whose estimate isn't far below the threshold; of rows that share an id, ``whole`` takes one a bucket."""
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_node, _id, _text``; the node is a hash of the text."""
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).where("_id is not null and _text is not null")
+    return rows.select(F.xxhash64("_text").alias("_node"), "_id", "_text")
+
+
+def classes(rows: DataFrame, n: int, coordinates: int) -> DataFrame:
+    """``_node, _mins, _rep`` of each distinct text with words: its min-wise hashes
+    (two bytes each) and its least id."""
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
+            grams, counts = grams_of(batch.column("_text"), n)
+            some = np.flatnonzero(counts)
+            if len(some):
+                mins = (min_hashes(grams, counts[some], coordinates) >> np.uint32(11)).astype("<u2")
+                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * coordinates), len(some), [None, pa.py_buffer(np.ascontiguousarray(mins))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_node").take(pa.array(some)), batch.column("_id").take(pa.array(some)), blob], names=["_node", "_id", "_mins"])
+
+    each = rows.mapInArrow(describe, f"_node bigint, _id {kind}, _mins binary")
+    return checkpoint(each.groupBy("_node").agg(F.first("_mins").alias("_mins"), F.min("_id").alias("_rep")))
+
+
+def candidates(sketches: DataFrame, threshold: float, coordinates: int, limit: int, target_recall: float, band: float, max_depth: int, connect: bool) -> DataFrame:
+    """``_a < _b, _sure``: pairs of nodes whose estimate isn't far below the threshold, or with
+    ``connect`` what connects them (``_sure`` where nothing is left to be measured)."""
+    spark = sketches.sparkSession
     branches = math.ceil(1 / threshold)
-    runs = runs_needed(branches, threshold, presplit + max_depth, target_recall)
+    runs = runs_needed(branches, threshold, max_depth, target_recall)
     sigma = math.sqrt(threshold * (1 - threshold) / coordinates)
     low, high = max(0.02, threshold - band * sigma), min(0.999, threshold + band * sigma)
-    kind = docs.schema[id_col].dataType.simpleString()
+
+    def fixed(column: pa.Array, kind: str) -> np.ndarray:
+        width = coordinates * np.dtype(kind).itemsize
+        raw = as_array(column).cast(pa.binary(width))
+        return np.frombuffer(raw.buffers()[1], kind, len(raw) * coordinates, raw.offset * width).reshape(-1, coordinates)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
-            grams, counts = grams_of(batch.column("_text"), n)
-            some = np.flatnonzero(counts)
-            if not len(some):
-                continue
-            mins = min_hashes(grams, counts[some], coordinates)
-            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(coordinates), len(some), [None, pa.py_buffer(np.ascontiguousarray((mins >> np.uint32(11)).astype(np.uint8)))]).cast(pa.binary())
-            ids = batch.column("_id").take(pa.array(some))
-            for run in range(runs):
-                for path in paths(mins, run, branches, presplit):
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), ids, sketch], names=["_key", "_id", "_sketch"])
+        for batch in batches:
+            mins = fixed(batch.column("_mins"), "<u2")
+            low_bytes = np.ascontiguousarray(mins.astype(np.uint8))
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(coordinates), len(mins), [None, pa.py_buffer(low_bytes)]).cast(pa.binary())
+            begin = [roots(run, len(mins)) for run in range(runs)] if "_key" not in batch.schema.names else [batch.column("_key").to_numpy().view(np.uint64)]
+            for path in begin:
+                for key in children(path, mins, branches):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("_node"), sketch], names=["_key", "_node", "_sketch"])
+
+    entry = "_key bigint, _node bigint, _sketch binary"
+    entries, settled = sketches.select("_node", "_mins").mapInArrow(split, entry), []
+    for depth in range(1, max_depth + 1):
+        hot = checkpoint(entries.groupBy("_key").count().where(F.col("count") > limit))
+        n_hot = hot.count()
+        if not n_hot:
+            break
+        hot = F.broadcast(hot) if n_hot <= 500_000 else hot
+        settled.append(entries.join(hot, "_key", "left_anti"))
+        if depth < max_depth:
+            large = entries.select("_key", "_node").join(hot.select("_key"), "_key", "left_semi")
+            entries = checkpoint(large).join(sketches.select("_node", "_mins"), "_node").select("_key", "_node", "_mins").mapInArrow(split, entry)
+        else:
+            cut = entries.join(hot, "_key").withColumn("_cut", F.ceil(F.col("count") / limit).cast("int"))
+            cut = cut.withColumn("_own", F.pmod(F.xxhash64("_node"), "_cut").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)))
+            entries = cut.select(F.xxhash64("_key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_key"), "_node", "_sketch", (F.col("_own") > F.col("_other")).cast("int").alias("_side"))
+    every = entries if "_side" in entries.columns else entries.withColumn("_side", F.lit(0))
+    for part in settled:
+        every = every.unionByName(part.withColumn("_side", F.lit(0)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if whole:
-                x, y = table.column("_key").to_numpy(), table.column("_id").to_numpy()
-                table = table.take(pa.array(np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))))
-            keys = table.column("_key").to_numpy()
-            raw = as_array(table.column("_sketch")).cast(pa.binary(coordinates))
-            sketches = np.frombuffer(raw.buffers()[1], np.uint8, len(raw) * coordinates, raw.offset * coordinates).reshape(-1, coordinates)
+            keys, side = table.column("_key").to_numpy(), table.column("_side").to_numpy()
+            sketch, nodes = fixed(table.column("_sketch"), "u1"), table.column("_node").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             sizes = np.diff(edges)
-            work = Buckets(low, high, limit, branches, max_depth, whole)
-            size_at = np.repeat(sizes, sizes)
-            at = np.flatnonzero((size_at > 1) & (size_at <= limit))
-            work.small(keys[at], at, sketches)
-            for k in np.flatnonzero(sizes > limit):
-                work.large(np.arange(edges[k], edges[k + 1]), sketches, path=int(keys[edges[k]]))  # the key carries the run
-            cat = lambda v, t: np.concatenate(v) if v else np.empty(0, t)
-            ids = as_array(table.column("_id"))
-            a, b, s = cat(work.a, np.int64), cat(work.b, np.int64), cat(work.s, np.float64)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s)], names=["_a", "_b", "_s"])
-            for a, b, s in work.every(sketches):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s)], names=["_a", "_b", "_s"])
+            few = (sizes > 1) & (sizes <= 16)
+            at = np.flatnonzero(np.repeat(few, sizes))
+            a, b, sure = [], [], []
+            for lag in range(1, 16):  # small buckets all at once
+                pair = np.flatnonzero(keys[at[lag:]] == keys[at[:-lag]]) if len(at) > lag else at[:0]
+                if not len(pair):
+                    break
+                for lo in range(0, len(pair), CHUNK):
+                    i, j = at[pair[lo : lo + CHUNK]], at[pair[lo : lo + CHUNK] + lag]
+                    s = similarity(sketch[i], sketch[j])
+                    a.append(i[s >= low]), b.append(j[s >= low]), sure.append(connect & (s[s >= low] >= high))
+            for k in np.flatnonzero(sizes > 16):
+                lo, hi = edges[k], edges[k + 1]
+                found = near_in_bucket(sketch[lo:hi], side[lo:hi], low)
+                if connect:
+                    i, j, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                    i, j, known = connections(hi - lo, i, j, s, high)
+                    a.append(i + lo), b.append(j + lo), sure.append(known)
+                else:
+                    for i, j, _ in found:
+                        yield pairs(nodes[i + lo], nodes[j + lo], np.zeros(len(i), bool))
+            if a:
+                yield pairs(nodes[np.concatenate(a)], nodes[np.concatenate(b)], np.concatenate(sure))
+
+        def pairs(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], names=["_a", "_b", "_sure"])
 
         for batch in batches:  # sorted by key; the last bucket of a batch may go on in the next
             keys = batch.column("_key").to_numpy()
@@ -263,116 +278,122 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    entries = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).where("_id is not null and _text is not null")
-    entries = entries.mapInArrow(split, f"_key bigint, _id {kind}, _sketch binary")
-    parts = shuffle_partitions(docs.sparkSession)
-    sorted_ = entries.repartition(parts, "_key").sortWithinPartitions("_key", "_id")
-    found = sorted_.mapInArrow(compare, f"_a {kind}, _b {kind}, _s double")
-    found = found.where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), "_s")
-    return found.groupBy("_a", "_b").agg(F.max("_s").alias("_s")).withColumn("_sure", F.col("_s") >= high)
+    sorted_ = every.repartition(shuffle_partitions(spark), "_key").sortWithinPartitions("_key")
+    found = sorted_.mapInArrow(compare, "_a bigint, _b bigint, _sure boolean")
+    return found.groupBy("_a", "_b").agg(F.bool_or("_sure").alias("_sure"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, max_broadcast: int) -> DataFrame:
-    """``_a, _b, _s`` with the exact Jaccard similarity of whole n-gram sets."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    ids = checkpoint(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct())
-    few = F.broadcast(ids) if ids.count() <= max_broadcast else ids
+def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, max_broadcast: int, group_size: int = 2000) -> DataFrame:
+    """``_a, _b, _s`` with the exact Jaccard similarity of the n-gram sets of two nodes."""
+    both = pairs.select(F.col("_a").alias("_node"), F.col("_b").alias("_m")).union(pairs.select("_b", "_a"))
+    label = checkpoint(both.groupBy("_node").agg(F.min("_m").alias("_m")).select("_node", F.least("_node", "_m").alias("_label")))
+    cut = label.groupBy("_label").agg(F.ceil(F.count("*") / group_size).alias("_cut"))
+    block = checkpoint(label.join(cut, "_label").select("_node", F.xxhash64("_label", F.pmod(F.xxhash64("_node"), "_cut")).alias("_block")))
+    few = block.select("_node").join(reps.select("_node", "_rep"), "_node")
+    few = F.broadcast(few) if block.count() <= max_broadcast else few
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
             grams, counts = grams_of(batch.column("_text"), n)
             ends = np.cumsum(counts)
             blobs = [np.unique(grams[e - c : e]).tobytes() for e, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(blobs, pa.binary())], names=["_id", "_set"])
+            yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array(blobs, pa.binary())], names=["_node", "_set"])
+
+    chosen = rows.join(few, (rows["_node"] == few["_node"]) & (rows["_id"] == few["_rep"]), "left_semi").select("_node", "_text")
+    each = chosen.mapInArrow(sets, "_node bigint, _set binary")
+    parts = 4 * shuffle_partitions(pairs.sparkSession)
+    of = lambda side: block.select(F.col("_node").alias(f"_{side}"), F.col("_block").alias(f"_block_{side}"))
+    place = F.pmod(F.xxhash64(F.least("_block_a", "_block_b"), F.greatest("_block_a", "_block_b")), F.lit(parts)).cast("int")
+    placed = checkpoint(pairs.join(of("a"), "_a").join(of("b"), "_b").select(place.alias("_p"), "_a", "_b"))
+    wanted = placed.select(F.col("_p").alias("_q"), F.explode(F.array("_a", "_b")).alias("_node")).distinct()
+    sent = wanted.join(each.dropDuplicates(["_node"]), "_node").select("_q", "_node", "_set")
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([("_a", "ascending"), ("_b", "ascending")])
+        a, b = left.column("_a").to_numpy(), left.column("_b").to_numpy()
+        nodes = right.column("_node").to_numpy()
+        order = np.argsort(nodes)
+        blobs = right.column("_set").to_pylist()
+        held = [np.frombuffer(blobs[k], np.uint64) for k in order.tolist()]
+        size = np.array([len(x) for x in held], np.int64)
+        x, y = np.searchsorted(nodes[order], a), np.searchsorted(nodes[order], b)
+        common = np.zeros(len(a), np.int64)
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+        for lo, hi in zip(heads[:-1], heads[1:], strict=True):
+            mine = held[x[lo]]
+            for at in range(lo, hi, 512):
+                others = y[at : min(hi, at + 512)]
+                flat = np.concatenate([held[k] for k in others])
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                common[at : at + len(others)] = np.add.reduceat(hit, np.cumsum(size[others]) - size[others], dtype=np.int64)
+        s = common / np.maximum(1, size[x] + size[y] - common)
+        return pa.table({"_a": a, "_b": b, "_s": pa.array(s, pa.float64())})
+
+    return placed.groupBy("_p").cogroup(sent.groupBy("_q")).applyInArrow(measure, "_a bigint, _b bigint, _s double")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, coordinates: int, limit: int, target_recall: float, band: float, max_depth: int, max_broadcast: int, connect: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Near pairs of nodes ``_a, _b, _s``, nodes with their least id, and ``_node, _id`` of all other ids."""
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError("0 < threshold <= 1 and n >= 1")
+    rows = texts_of(docs, id_col, text_col)
+    sketches = classes(rows, n, coordinates)
+    reps = sketches.select("_node", "_rep")
+    pairs = checkpoint(candidates(sketches, threshold, coordinates, limit, target_recall, band, max_depth, connect))
+    near = verify(pairs.where("not _sure"), rows, reps, n, max_broadcast).where(F.col("_s") >= threshold)
+    if connect:
+        near = near.unionByName(pairs.where("_sure").select("_a", "_b", F.lit(1.0).alias("_s")))
+    others = rows.select("_node", "_id").join(reps, "_node").where("_id <> _rep").select("_node", "_rep", "_id").distinct()
+    return near, reps, others
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / (len(p) + len(q) - both) if len(p) + len(q) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), pa.array(out, pa.float64())], names=["_a", "_b", "_s"])
-
-    chosen = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).join(few, "_id", "left_semi")
-    each = checkpoint(chosen.mapInArrow(sets, f"_id {kind}, _set binary").distinct())
-    left = each.select(F.col("_id").alias("_a"), F.col("_set").alias("_x"))
-    right = each.select(F.col("_id").alias("_b"), F.col("_set").alias("_y"))
-    joined = pairs.select("_a", "_b").join(left, "_a").join(right, "_b").select("_a", "_b", "_x", "_y")
-    return joined.mapInArrow(measure, f"_a {kind}, _b {kind}, _s double").groupBy("_a", "_b").agg(F.max("_s").alias("_s"))
-
-
-def join(
+
+def all_pairs(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     n: int = 3,
     threshold: float = 0.5,
     coordinates: int = 128,
-    limit: int = 64,
+    limit: int = 512,
     target_recall: float = 0.97,
     band: float = 4.0,
     max_depth: int = 4,
-    presplit: int | None = None,
     max_broadcast: int = 200_000,
 ) -> DataFrame:
-    """Pairs of documents whose n-gram sets have a Jaccard similarity of at least
-    ``threshold``; of groups beyond ``limit`` the stars that hold them together."""
-    if not 0 < threshold <= 1 or n < 1:
-        raise ValueError("0 < threshold <= 1 and n >= 1")
-    if presplit is None:
-        presplit = 1 + math.ceil(math.log(max(1.0, docs.count() / 2_000_000), 10_000))
-    pairs = checkpoint(candidates(docs, id_col, text_col, n, threshold, coordinates, limit, target_recall, band, max_depth, presplit))
-    exact = verify(pairs.where("not _sure"), docs, id_col, text_col, n, max_broadcast).where(F.col("_s") >= threshold)
-    every = pairs.where("_sure").select("_a", "_b", "_s").unionByName(exact.select("_a", "_b", "_s"))
-    return every.select(F.col("_a").alias("doc_a"), F.col("_b").alias("doc_b"), F.col("_s").alias("jaccard"))
-
-
-def all_pairs(
+    """``doc_a < doc_b, jaccard, copy``: all links between different texts by their
+    representatives, and each further id of a text with its representative."""
+    near, reps, others = _linked(docs, id_col, text_col, n, threshold, coordinates, limit, target_recall, band, max_depth, max_broadcast, connect=False)
+    left, right = (reps.select(F.col("_node").alias(node), F.col("_rep").alias(name)) for node, name in (("_a", "_x"), ("_b", "_y")))
+    met = near.join(left, "_a").join(right, "_b")
+    apart = met.where("_x <> _y").select("_x", "_y", "_s")
+    one_id = met.where("_x = _y")  # two texts with one least id: the link is given by another id of either
+    second = others.groupBy("_node").agg(F.min("_id").alias("_other"))
+    for node in ("_a", "_b"):
+        apart = apart.unionByName(one_id.join(second.withColumnRenamed("_node", node), node).select("_x", F.col("_other").alias("_y"), "_s"))
+    linked = apart.select("_x", "_y", "_s", F.lit(False).alias("_copy")).unionByName(others.select(F.col("_rep").alias("_x"), F.col("_id").alias("_y"), F.lit(1.0).alias("_s"), F.lit(True).alias("_copy")))
+    ends = (F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b"))
+    return linked.groupBy(*ends).agg(F.max("_s").alias("jaccard"), F.bool_or("_copy").alias("copy"))
+
+
+def keep_one(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     n: int = 3,
     threshold: float = 0.5,
     coordinates: int = 128,
-    limit: int = 64,
+    limit: int = 512,
     target_recall: float = 0.97,
     band: float = 4.0,
     max_depth: int = 4,
-    presplit: int | None = None,
-    max_broadcast: int = 200_000,
+    max_broadcast: int = 500_000,
 ) -> DataFrame:
-    """As ``join``, but with all pairs of groups of any size."""
-    if not 0 < threshold <= 1 or n < 1:
-        raise ValueError("0 < threshold <= 1 and n >= 1")
-    if presplit is None:
-        presplit = 1 + math.ceil(math.log(max(1.0, docs.count() / 2_000_000), 10_000))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def wordy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
-            some = pa.array(np.diff(split_words(batch.column("_text"))[1]) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("_node"), batch.column("_id")], names=["_node", "_id"]).filter(some)
-
-    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).where("_id is not null and _text is not null")
-    rows = rows.select(F.xxhash64("_text").alias("_node"), "_id", "_text")
-    members = checkpoint(rows.mapInArrow(wordy, f"_node bigint, _id {kind}").distinct())
-    texts = rows.select("_node", "_text")
-    pairs = checkpoint(candidates(texts, "_node", "_text", n, threshold, coordinates, limit, target_recall, band, max_depth, presplit, whole=True))
-    exact = verify(pairs.where("not _sure"), texts, "_node", "_text", n, max_broadcast).where(F.col("_s") >= threshold)
-    near = pairs.where("_sure").select("_a", "_b", "_s").unionByName(exact.select("_a", "_b", "_s"))
-    left, right = (members.select(F.col("_node").alias(node), F.col("_id").alias(name)) for node, name in (("_a", "_x"), ("_b", "_y")))
-    apart = near.join(left, "_a").join(right, "_b").select("_x", "_y", "_s")
-    same = left.join(right, F.col("_a") == F.col("_b")).where("_x < _y").select("_x", "_y", F.lit(1.0).alias("_s"))
-    every = apart.unionByName(same).where("_x <> _y").groupBy(F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b"))
-    return every.agg(F.max("_s").alias("jaccard"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 500_000, **options) -> DataFrame:
     """The rows, with all their columns, but of each group of similar documents
     (connected by pairs) only the one with the least id."""
-    groups = components(join(docs, id_col, text_col, **options), "doc_a", "doc_b")
+    near, reps, others = _linked(docs, id_col, text_col, n, threshold, coordinates, limit, target_recall, band, max_depth, max_broadcast, connect=True)
+    left, right = (reps.select(F.col("_node").alias(node), F.col("_rep").alias(name)) for node, name in (("_a", "_x"), ("_b", "_y")))
+    edges = near.join(left, "_a").join(right, "_b").select("_x", "_y").unionByName(others.select(F.col("_rep").alias("_x"), F.col("_id").alias("_y")))
     name = free_name(docs, "_gone")
-    gone = groups.select(F.col("node").alias(name))
+    gone = components(edges, "_x", "_y").select(F.col("node").alias(name))
     gone = F.broadcast(gone) if gone.count() <= max_broadcast else gone
     return docs.join(gone, quoted(id_col) == F.col(name), "left_anti")

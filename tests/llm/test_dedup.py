@@ -37,32 +37,55 @@ def corpus():
     return {k: t for k, t in enumerate(texts)}
 
 
-def test_join_recall_and_precision(spark, corpus):
-    df = spark.createDataFrame([(k, " ".join(t)) for k, t in corpus.items()], "doc_id bigint, text string")
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.join(df).collect()}
-    want = {(a, b): j for a in corpus for b in corpus if a < b and (j := jaccard(corpus[a], corpus[b])) >= 0.5}
-    assert all(a < b for a, b in got) and not set(got) - set(want)
-    cold = {p for p in want if p[0] < 160}
-    assert len(cold & set(got)) >= 0.95 * len(cold)
-    roots = {r["node"]: r["root"] for r in components.components(ngram_join.join(df), "doc_a", "doc_b").collect()}
-    assert sum(roots.get(a, a) == roots.get(b, b) for a, b in want) >= 0.99 * len(want)
-    assert {a for a, b in got if b >= 161} == {160} or len(got) < len(want)  # the hot group is a star, not all pairs
-
-
-def test_all_pairs_of_large_groups(spark, corpus):
+def pairs_of(df):
+    """{(a, b): jaccard} of the links, those between copies implied, and their number as rows."""
+    rows = df.collect()
+    ids = {}
+    for r in rows:
+        if r["copy"]:
+            ids.setdefault(r["doc_a"], {r["doc_a"]}).add(r["doc_b"])
+    out = {}
+    for r in rows:
+        for a in [r["doc_a"]] if r["copy"] else ids.get(r["doc_a"], {r["doc_a"]}):
+            for b in ids.get(r["doc_b"], {r["doc_b"]}):
+                out[min(a, b), max(a, b)] = r["jaccard"]
+    for group in ids.values():
+        out |= {(a, b): 1.0 for a in group for b in group if a < b}
+    return out, len(rows)
+
+
+@pytest.mark.parametrize("limit", [512, 20])
+def test_all_pairs_against_brute_force(spark, corpus, limit):
+    """Every pair counts, those of the hot groups too, and all similarities are exact."""
     copy = words(random.Random(6), 70)
     docs = corpus | {1000 + k: copy for k in range(100)} | {2000: [], 2001: []}
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id bigint, text string")
     df = df.union(df.where("doc_id < 5 or doc_id = 1000"))
-    rows = [tuple(r) for r in ngram_join.all_pairs(df).collect()]
-    got = {(a, b) for a, b, _ in rows}
-    want = {(a, b) for a in corpus for b in corpus if a < b and jaccard(corpus[a], corpus[b]) >= 0.5}
-    want |= {(1000 + a, 1000 + b) for a in range(100) for b in range(a + 1, 100)}
-    assert len(rows) == len(got) and not got - want and len(got) >= 0.98 * len(want)
-    assert {p for p in want if p[0] >= 1000} <= got
-
-
-def test_recall_near_the_threshold_in_oversized_buckets(spark):
+    got, n_rows = pairs_of(ngram_join.all_pairs(df, limit=limit))
+    want = {(a, b): j for a in corpus for b in corpus if a < b and (j := jaccard(corpus[a], corpus[b])) >= 0.5}
+    want |= {(1000 + a, 1000 + b): 1.0 for a in range(100) for b in range(a + 1, 100)}
+    assert not set(got) - set(want) and len(got) >= 0.98 * len(want)
+    assert all(j == pytest.approx(want[p]) for p, j in got.items())
+    assert n_rows <= len(want) - 100 * 99 / 2 + 99  # copies aren't expanded
+    kept = {r[0] for r in ngram_join.keep_one(df, limit=limit).select("doc_id").collect()}
+    root = {}
+    for a, b in sorted(want):  # components by the least id
+        x, y = (next(iter([v for v in [root.get(v, v)]])) for v in (a, b))
+        for k in [k for k in docs if root.get(k, k) in (x, y)]:
+            root[k] = min(x, y)
+    assert len(kept ^ {k for k in docs if root.get(k, k) == k}) <= 2
+
+
+def test_links_of_texts_that_share_an_id(spark):
+    """Ids 5 and 7 are linked by texts that both have 1 as their least id."""
+    x = [f"w{k}" for k in range(40)]
+    rows = [(1, x), (5, x), (1, [*x, "end"]), (7, [*x, "end"]), (9, [*x[:5]])]
+    got, _ = pairs_of(ngram_join.all_pairs(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")))
+    assert set(got) >= {(1, 5), (1, 7)} and all(9 not in p for p in got)
+
+
+@pytest.mark.parametrize("limit", [512, 32])
+def test_recall_near_the_threshold_in_oversized_buckets(spark, limit):
     """Pairs just above the threshold, of words that many dissimilar documents have."""
     rng = random.Random(12)
     texts = []
@@ -70,19 +93,18 @@ def test_recall_near_the_threshold_in_oversized_buckets(spark):
         drawn = rng.sample(range(160), 53)
         texts += [drawn[:40], drawn[13:]]  # 27 of 53 words in common
     df = spark.createDataFrame([(k, " ".join(f"w{w}" for w in t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
-    got = {(r[0], r[1]) for r in ngram_join.all_pairs(df, n=1).collect()}
+    got = {(r[0], r[1]) for r in ngram_join.all_pairs(df, n=1, limit=limit).collect()}
     assert len({(k, k + 1) for k in range(0, 3000, 2)} & got) >= 0.95 * 1500
 
 
-def test_join_small_thresholds_and_limits(spark, corpus):
+def test_a_lower_threshold(spark, corpus):
     few = {k: corpus[k] for k in list(corpus)[:120]}
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in few.items()], "doc_id bigint, text string")
     want = {(a, b) for a in few for b in few if a < b and jaccard(few[a], few[b]) >= 0.3}
-    for presplit in (1, 2):
-        got = {(r[0], r[1]) for r in ngram_join.join(df, threshold=0.3, limit=8, presplit=presplit).collect()}
-        assert not got - want and len(got & want) >= 0.9 * len(want)
+    got = set(pairs_of(ngram_join.all_pairs(df, threshold=0.3))[0])
+    assert not got - want and len(got) >= 0.95 * len(want)
     with pytest.raises(ValueError):
-        ngram_join.join(df, threshold=0)
+        ngram_join.all_pairs(df, threshold=0)
 
 
 def test_runs_reach_the_recall():
@@ -93,11 +115,11 @@ def test_runs_reach_the_recall():
 
 
 def test_join_odd_rows(odd, empty):
-    got = {(r[0], r[1]) for r in ngram_join.join(odd).collect()}
+    got = {(r[0], r[1]) for r in ngram_join.all_pairs(clash(odd)).collect()}
     assert got == {(1, 6)}
     kept = ngram_join.keep_one(clash(odd))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "3", "4", "5", "7", "None"] and kept.columns == clash(odd).columns
-    assert ngram_join.join(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
+    assert ngram_join.all_pairs(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
 def test_components_against_union_find(spark):
