@@ -19,11 +19,16 @@ measured on their whole n-gram sets.  For that, texts are placed by their least
 partner, so that a group of near copies meets in one task; beyond ``group_size``
 texts a group is cut in blocks, too.
 
+``links``: ``doc_id, group_id, copy_of, n_links`` of every document that has a
+link: the least id of all that links connect, the least id with the same text,
+and the number of other (id, text) linked to it, copies included.  Every pair is
+measured and counted; what leaves a task is a number and a tree edge a text.
+
 ``all_pairs``: ``doc_a < doc_b, jaccard, copy``.  Every link between different
 texts, as a pair of representatives with the exact similarity (``copy`` false),
 and every further id of a text with its representative (``copy`` true,
-similarity 1); links between copies are implied.  Nothing depends on the size of
-a group.
+similarity 1); links between copies are implied.  Its rows grow with the square
+of a group of near copies.
 
 ``keep_one`` needs connections only: in each bucket, pairs surely above the
 threshold give a star a connected part, and other pairs are measured only
@@ -49,6 +54,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm._text import as_array, inside, mix, pieces, row_of, window_hashes, word_codes
 from plinth.llm._util import checkpoint, free_name, quoted, shuffle_partitions
+from plinth.llm.blocks import release
 from plinth.llm.components import components
 
 CHUNK = 1 << 16
@@ -283,8 +289,8 @@ def candidates(sketches: DataFrame, threshold: float, coordinates: int, limit: i
     return found.groupBy("_a", "_b").agg(F.bool_or("_sure").alias("_sure"))
 
 
-def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, max_broadcast: int, group_size: int = 2000) -> DataFrame:
-    """``_a, _b, _s`` with the exact Jaccard similarity of the n-gram sets of two nodes."""
+def place_sets(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, max_broadcast: int, group_size: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """``_p, _a, _b``: pairs by place, and ``_q, _node, _set``: the n-gram sets that each place needs."""
     both = pairs.select(F.col("_a").alias("_node"), F.col("_b").alias("_m")).union(pairs.select("_b", "_a"))
     label = checkpoint(both.groupBy("_node").agg(F.min("_m").alias("_m")).select("_node", F.least("_node", "_m").alias("_label")))
     cut = label.groupBy("_label").agg(F.ceil(F.count("*") / group_size).alias("_cut"))
@@ -308,30 +314,92 @@ def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, max_broad
     wanted = placed.select(F.col("_p").alias("_q"), F.explode(F.array("_a", "_b")).alias("_node")).distinct()
     sent = wanted.join(each.dropDuplicates(["_node"]), "_node").select("_q", "_node", "_set")
 
+    return placed, sent
+
+
+def jaccards(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, x, y, similarity) of the pairs ``_a, _b``; x and y number the sorted nodes."""
+    left = left.sort_by([("_a", "ascending"), ("_b", "ascending")])
+    a, b = left.column("_a").to_numpy(), left.column("_b").to_numpy()
+    nodes = right.column("_node").to_numpy()
+    order = np.argsort(nodes)
+    blobs = right.column("_set").to_pylist()
+    held = [np.frombuffer(blobs[k], np.uint64) for k in order.tolist()]
+    nodes, size = nodes[order], np.array([len(x) for x in held], np.int64)
+    x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    common = np.zeros(len(a), np.int64)
+    heads = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+    for lo, hi in zip(heads[:-1], heads[1:], strict=True):
+        mine = held[x[lo]]
+        for at in range(lo, hi, 512):
+            others = y[at : min(hi, at + 512)]
+            flat = np.concatenate([held[k] for k in others])
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            common[at : at + len(others)] = np.add.reduceat(hit, np.cumsum(size[others]) - size[others], dtype=np.int64)
+    return nodes, x, y, common / np.maximum(1, size[x] + size[y] - common)
+
+
+def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, max_broadcast: int) -> DataFrame:
+    """``_a, _b, _s`` with the exact Jaccard similarity of the n-gram sets of two nodes."""
+
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by([("_a", "ascending"), ("_b", "ascending")])
-        a, b = left.column("_a").to_numpy(), left.column("_b").to_numpy()
-        nodes = right.column("_node").to_numpy()
-        order = np.argsort(nodes)
-        blobs = right.column("_set").to_pylist()
-        held = [np.frombuffer(blobs[k], np.uint64) for k in order.tolist()]
-        size = np.array([len(x) for x in held], np.int64)
-        x, y = np.searchsorted(nodes[order], a), np.searchsorted(nodes[order], b)
-        common = np.zeros(len(a), np.int64)
-        heads = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
-        for lo, hi in zip(heads[:-1], heads[1:], strict=True):
-            mine = held[x[lo]]
-            for at in range(lo, hi, 512):
-                others = y[at : min(hi, at + 512)]
-                flat = np.concatenate([held[k] for k in others])
-                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-                common[at : at + len(others)] = np.add.reduceat(hit, np.cumsum(size[others]) - size[others], dtype=np.int64)
-        s = common / np.maximum(1, size[x] + size[y] - common)
-        return pa.table({"_a": a, "_b": b, "_s": pa.array(s, pa.float64())})
+        nodes, x, y, s = jaccards(left, right)
+        return pa.table({"_a": nodes[x], "_b": nodes[y], "_s": pa.array(s, pa.float64())})
 
+    placed, sent = place_sets(pairs, rows, reps, n, max_broadcast)
     return placed.groupBy("_p").cogroup(sent.groupBy("_q")).applyInArrow(measure, "_a bigint, _b bigint, _s double")
 
 
+def links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 3,
+    threshold: float = 0.5,
+    coordinates: int = 128,
+    limit: int = 512,
+    target_recall: float = 0.97,
+    band: float = 4.0,
+    max_depth: int = 4,
+    max_broadcast: int = 200_000,
+) -> DataFrame:
+    """``id, group_id, copy_of, n_links`` of every document that has a link."""
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError("0 < threshold <= 1 and n >= 1")
+    spark, rows = docs.sparkSession, texts_of(docs, id_col, text_col)
+    sketches = classes(rows, n, coordinates)
+    ids = checkpoint(rows.select("_node", "_id").distinct())
+    release(spark)
+    pairs = checkpoint(candidates(sketches, threshold, coordinates, limit, target_recall, band, max_depth, connect=False))
+    release(spark)
+    placed, sent = place_sets(pairs, rows, sketches.select("_node", "_rep"), n, max_broadcast)
+    size = ids.groupBy("_node").agg(F.count("*").alias("_n"))
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes, x, y, s = jaccards(left, right)
+        x, y = x[s >= threshold], y[s >= threshold]
+        number = right.column("_n").to_numpy()[np.argsort(right.column("_node").to_numpy())]
+        linked = (np.bincount(x, number[y], len(nodes)) + np.bincount(y, number[x], len(nodes))).astype(np.int64)
+        up, down, _ = connections(len(nodes), x, y, np.ones(len(x)), 1.0)
+        root = np.arange(len(nodes))
+        root[down] = up
+        some = np.flatnonzero(linked)
+        return pa.table({"_node": nodes[some], "_root": nodes[root[some]], "_links": linked[some]})
+
+    counted = placed.groupBy("_p").cogroup(sent.join(size, "_node").select("_q", "_node", "_set", "_n").groupBy("_q"))
+    counted = checkpoint(counted.applyInArrow(count, "_node bigint, _root bigint, _links bigint"))
+    release(spark)
+    own = sketches.select("_node", "_rep").join(size, "_node").join(counted.groupBy("_node").agg(F.sum("_links").alias("_l")), "_node", "left")
+    own = checkpoint(own.select("_node", "_rep", (F.coalesce("_l", F.lit(0)) + F.col("_n") - 1).alias("_links")).where("_links > 0"))
+    reps = own.select("_node", "_rep")
+    a, b = (reps.select(F.col("_node").alias(x), F.col("_rep").alias(y)) for x, y in (("_node", "_x"), ("_root", "_y")))
+    members = checkpoint(ids.join(own, "_node").select("_id", "_rep", "_links"))
+    edges = counted.join(a, "_node").join(b, "_root").select("_x", "_y").unionByName(members.select(F.col("_id").alias("_x"), F.col("_rep").alias("_y")))
+    group = components(edges, "_x", "_y").select(F.col("node").alias("_id"), F.col("root").alias("_group"))
+    each = members.groupBy("_id").agg(F.min("_rep").alias("copy_of"), F.sum("_links").alias("n_links")).join(group, "_id", "left")
+    return each.select(F.col("_id").alias(id_col), F.coalesce("_group", "_id").alias("group_id"), "copy_of", "n_links")
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, coordinates: int, limit: int, target_recall: float, band: float, max_depth: int, max_broadcast: int, connect: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Near pairs of nodes ``_a, _b, _s``, nodes with their least id, and ``_node, _id`` of all other ids."""
     if not 0 < threshold <= 1 or n < 1:
@@ -339,7 +407,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     rows = texts_of(docs, id_col, text_col)
     sketches = classes(rows, n, coordinates)
     reps = sketches.select("_node", "_rep")
+    release(docs.sparkSession)
     pairs = checkpoint(candidates(sketches, threshold, coordinates, limit, target_recall, band, max_depth, connect))
+    release(docs.sparkSession)
     near = verify(pairs.where("not _sure"), rows, reps, n, max_broadcast).where(F.col("_s") >= threshold)
     if connect:
         near = near.unionByName(pairs.where("_sure").select("_a", "_b", F.lit(1.0).alias("_s")))

@@ -36,8 +36,8 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents with a 3-gram Jaccard similarity of at least 0.5."""
-    return ngram_join.all_pairs(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
+    """Groups and numbers of links of documents with a 3-gram Jaccard similarity of at least 0.5."""
+    return ngram_join.links(table(spark, sf_dir, "documents"), n=3, threshold=0.5)
 
 
 def rendered_images(embeddings: DataFrame) -> DataFrame:

@@ -67,13 +67,22 @@ def test_all_pairs_against_brute_force(spark, corpus, limit):
     assert not set(got) - set(want) and len(got) >= 0.98 * len(want)
     assert all(j == pytest.approx(want[p]) for p, j in got.items())
     assert n_rows <= len(want) - 100 * 99 / 2 + 99  # copies aren't expanded
+    rows = ngram_join.links(df, limit=limit).collect()
+    degree = dict.fromkeys((v for p in got for v in p), 0)
+    for p in got:
+        for v in p:
+            degree[v] += 1
+    assert {r["doc_id"]: r["n_links"] for r in rows} == degree and len(rows) == len(degree)
+    assert {r["doc_id"]: r["copy_of"] for r in rows} == {v: 1000 if 1000 <= v < 1100 else min([u for u in docs if docs[u] == docs[v]]) for v in degree}
     kept = {r[0] for r in ngram_join.keep_one(df, limit=limit).select("doc_id").collect()}
     root = {}
     for a, b in sorted(want):  # components by the least id
         x, y = (next(iter([v for v in [root.get(v, v)]])) for v in (a, b))
         for k in [k for k in docs if root.get(k, k) in (x, y)]:
             root[k] = min(x, y)
-    assert len(kept ^ {k for k in docs if root.get(k, k) == k}) <= 2
+    least = {k: root.get(k, k) for k in docs}
+    assert len(kept ^ {k for k in docs if least[k] == k}) <= 2
+    assert sum(r["group_id"] != least[r["doc_id"]] for r in rows) <= 0.01 * len(rows)
 
 
 def test_links_of_texts_that_share_an_id(spark):
@@ -116,10 +125,10 @@ def test_runs_reach_the_recall():
 
 def test_join_odd_rows(odd, empty):
     got = {(r[0], r[1]) for r in ngram_join.all_pairs(clash(odd)).collect()}
-    assert got == {(1, 6)}
+    assert got == {(1, 6)} and sorted(tuple(r) for r in ngram_join.links(clash(odd)).collect()) == [(1, 1, 1, 1), (6, 1, 1, 1)]
     kept = ngram_join.keep_one(clash(odd))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "3", "4", "5", "7", "None"] and kept.columns == clash(odd).columns
-    assert ngram_join.all_pairs(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
+    assert ngram_join.all_pairs(empty).count() == ngram_join.links(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
 def test_components_against_union_find(spark):
