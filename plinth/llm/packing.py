@@ -6,13 +6,17 @@ into the open bin with the least room that still fits.  The open bins' rooms are
 kept in a segment tree over the capacities 1..capacity, so that the tightest bin
 is found in logarithmic time, whatever the number of bins.
 
-Packing runs in groups, by a hash of the id: about ``group_size`` documents
-each, so that groups are packed in parallel and one group fits a task.
+Packing runs in groups: about ``group_size`` documents each by a hash of id and
+length, so that groups are packed in parallel and one group fits a task.  Of
+documents that share both (repeated rows, null ids), equal as they are to packing,
+only the number is shuffled; they are dealt to groups in runs of
+``group_size``.
 
 Nulls, ties, odd input: a null or empty text has no tokens, and gives no piece;
-a null id is packed like any other; equal lengths are placed by id, and among
-bins of equal room the one opened first is filled.  Repeated rows are packed
-each, told apart by ``copy``.  An empty table gives an empty result.
+a null id is packed like any other; texts of any length are counted whole; equal
+lengths are placed by id, and among bins of equal room the one opened first is
+filled.  Rows that share an id are packed each, told apart by ``copy``, which
+counts them by length.  An empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm._util import quoted
@@ -108,21 +112,26 @@ def pack(docs: DataFrame, capacity: int = 2048, group_size: int = 8192, id_col:
     groups = max(1, -(-total // group_size))
     kind = docs.schema[id_col].dataType.simpleString()
     sized = with_words(docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")), {"_id": kind}, text_col).withColumnRenamed("_tokens", "_n")
-    sized = sized.withColumn("_g", F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit(""))), F.lit(groups)).cast("int"))
+    same = sized.groupBy("_id", "_n").agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy("_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as an id has lengths
+    dealt = same.withColumn("_c", before).withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / F.lit(group_size)))))
+    dealt = dealt.select("_id", "_n", (F.col("_c") + F.col("_run") * group_size).alias("_c"), F.least(F.lit(group_size), F.col("_m") - F.col("_run") * group_size).alias("_m"), "_run")
+    sized = dealt.withColumn("_g", F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_n"), F.col("_run")), F.lit(groups)).cast("int"))
     name = "`" + id_col.replace("`", "``") + "`"
-    schema = f"group_id int, bin_id int, bin_offset int, {name} {kind}, copy int, piece int, start_token bigint, n_tokens int"
+    schema = f"group_id int, bin_id int, bin_offset int, {name} {kind}, copy bigint, piece int, start_token bigint, n_tokens int"
 
     def run(tables: Iterator[pa.Table] | pa.Table) -> pa.Table:
-        t = tables.sort_by([("_id", "ascending"), ("_n", "ascending")])
-        ids, tokens = t.column("_id").to_pylist(), t.column("_n").to_numpy()
-        copies = [0] * len(ids)
-        for k in range(1, len(ids)):
-            copies[k] = copies[k - 1] + 1 if ids[k] == ids[k - 1] else 0
+        t = tables.sort_by([("_id", "ascending"), ("_n", "ascending"), ("_c", "ascending")])
+        times = t.column("_m").to_numpy()
+        at = np.repeat(np.arange(len(times)), times)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        ids, tokens = t.column("_id").take(pa.array(at)).to_pylist(), t.column("_n").to_numpy()[at]
+        copies = (t.column("_c").to_numpy()[at] + k).tolist()
         out = pack_group(ids, copies, tokens, capacity)
         g = t.column("_g")[0].as_py()
         ints = lambda v, kind: pa.array(v, kind)
         arrays = [ints([g] * len(out["bin"]), pa.int32()), ints(out["bin"], pa.int32()), ints(out["offset"], pa.int32()), pa.array(out["doc"], t.schema.field("_id").type)]
-        arrays += [ints(out["copy"], pa.int32()), ints(out["piece"], pa.int32()), ints(out["start"], pa.int64()), ints(out["n"], pa.int32())]
+        arrays += [ints(out["copy"], pa.int64()), ints(out["piece"], pa.int32()), ints(out["start"], pa.int64()), ints(out["n"], pa.int32())]
         return pa.Table.from_arrays(arrays, names=["group_id", "bin_id", "bin_offset", id_col, "copy", "piece", "start_token", "n_tokens"])
 
     return sized.groupBy("_g").applyInArrow(run, schema)

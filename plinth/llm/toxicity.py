@@ -5,25 +5,37 @@ a state is a set of (trie node, edits) pairs, determinised lazily, so that one
 walk over a word's letters intersects the word with the automata of all terms.
 Every distinct word of a batch is walked once.
 
-A hit weighs 1 when the term is spelled exactly, ``fuzzy_weight`` when it is
-misspelled (each misspelled form once a document).  Around each hit a window of words is read: inside quotation marks,
-or near a word of reporting ("called", "quote", ...), the weight is multiplied
-by ``quoted_factor``; near a word that addresses someone, by ``direct_factor``.
-A document's score is the sum; it is rejected from ``threshold`` on.
+Words are runs of letters and digits, so that terms joined
+by a comma, slash, hyphen or apostrophe are words of their own.  A hit weighs its
+term's weight when the term is spelled exactly, times ``fuzzy_weight`` when it is
+misspelled; every occurrence counts.  A misspelling is an insertion, deletion,
+substitution or transposition of neighbours.  Around each hit a window of words
+is read: between two quotation marks of which the first opens and the second
+closes within the window, or near a word of reporting ("called", "quote", ...) of
+the same sentence, the weight is multiplied by ``quoted_factor``; near a word that
+addresses someone, by ``direct_factor``.  A document's score is the sum; it is
+rejected from ``threshold`` on.
 
 ``learn_lexicon`` adds terms and word stems for every language from labelled
 documents.  It reads at most ``max_labelled`` rows a language and class (the
 lowest by a hash of the id), a documented bound of the fitted part alone;
-scoring reads all documents and whole texts.
-
-Nulls, ties, odd input: a null or empty text has score 0 and is never rejected,
-a null language uses the terms of all languages, a null id is scored like any
-other row; repeated rows are scored each; an empty table gives an empty result.
-Other columns are never read, whatever their names.
+scoring reads all documents and whole texts.  A learned word is fuzzy, too, unless
+clean labelled documents hold words within reach of it, or of more than a share
+``max_confused`` of its language's learned words.  Words that they hold are never taken for misspellings of a built-in term: those within reach come as
+``"clean"`` terms.
+
+Nulls, ties, odd input: a null or empty text has score 0 and is never rejected, a
+very long text is read whole; a null language uses the terms of all languages, a
+language without terms those of no language; a null id is scored like any other
+row; repeated rows are scored each; of several entries for a term the greatest
+weight and the widest kind count; labels of null ids or classes are ignored, of
+several labels for an id the largest counts; an empty table gives an empty
+result.  Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,15 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm._text import normalised, pieces, split_words
+from plinth.llm._text import pieces
 from plinth.llm._util import checkpoint, map_rows, quoted
 
 BASE_TERMS = ("idiot", "moron", "scum", "worthless", "trash", "loser", "stupid", "pathetic", "disgusting", "clown")
 REPORTING = frozenset("said says called calls quote quoted quotes wrote term word words dit appelé mot citation sagte nannte wort zitat dijo llamó palabra cita".split())
 DIRECT = frozenset("you your you're youre u du dich dir ihr vous tu toi te usted vosotros".split())
-KINDS = ("word", "fuzzy", "stem")
+KINDS = ("clean", "word", "fuzzy", "stem")
 Term = tuple[str | None, str, float, str]  # language, term, weight, kind
 QUOTES = "\"“”«»„"
+TOKEN = re.compile(r"[^\W_]+|[" + QUOTES + r".!?\n]")
 
 
 class Automaton:
@@ -47,7 +60,9 @@ class Automaton:
 
     ``terms`` maps a term to ``(weight, kind)``.  A ``"stem"`` also accepts any
     ending; a ``"fuzzy"`` term of at least ``fuzzy_length`` letters accepts up to
-    ``edits`` insertions, deletions and substitutions; a ``"word"`` only itself.
+    ``edits`` insertions, deletions, substitutions and transpositions of
+    neighbours (no part of a word edited twice); a ``"word"`` only itself; a
+    ``"clean"`` term matches nothing, and isn't taken for a misspelling.
     """
 
     def __init__(self, terms: dict[str, tuple[float, str]], edits: int = 1, fuzzy_length: int = 5):
@@ -57,7 +72,10 @@ class Automaton:
         self.fuzzy: list[float] = [0.0]
         self.reach: list[bool] = [False]  # a fuzzy term lies at or below
         self.edits = edits
+        self.clean = {t for t, (_, kind) in terms.items() if kind == "clean"}
         for term, (weight, kind) in sorted(terms.items()):
+            if kind == "clean":
+                continue
             node, stem, fuzzy = 0, kind == "stem", kind == "fuzzy" and len(term) >= fuzzy_length
             self.reach[0] |= fuzzy
             for letter in term:
@@ -77,43 +95,55 @@ class Automaton:
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.final: list[tuple[float, float, float]] = []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, "")})
         self.dead = self._state(set())
 
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
-        todo = list(pairs)
+    def _state(self, pairs: set[tuple[int, int, str]]) -> int:
+        """Number of the state with these (node, edits, letter that must follow); the
+        letter is that of a transposition half done, empty otherwise."""
+        todo = [(n, e) for n, e, swap in pairs if not swap]
         while todo:  # a letter of the term is missing in the word
             node, e = todo.pop()
             if e < self.edits:
                 for child in self.children[node].values():
-                    if self.reach[child] and (child, e + 1) not in pairs:
-                        pairs.add((child, e + 1))
+                    if self.reach[child] and (child, e + 1, "") not in pairs:
+                        pairs.add((child, e + 1, ""))
                         todo.append((child, e + 1))
-        best: dict[int, int] = {}
-        for node, e in pairs:
-            best[node] = min(e, best.get(node, e))
-        key = frozenset(best.items())
+        best: dict[tuple[int, str], int] = {}
+        for node, e, swap in pairs:
+            best[node, swap] = min(e, best.get((node, swap), e))
+        key = frozenset((n, e, swap) for (n, swap), e in best.items())
         if (found := self.states.get(key)) is not None:
             return found
         state = self.states[key] = len(self.members)
         self.members.append(key)
         self.moves.append({})
-        exact = max((self.exact[n] for n, e in key if e == 0), default=0.0)
-        stem = max((self.stem[n] for n, e in key if e == 0), default=0.0)
-        fuzzy = max((self.fuzzy[n] for n, e in key if e > 0), default=0.0)
+        at = [(n, e) for n, e, swap in key if not swap]
+        exact = max((self.exact[n] for n, e in at if e == 0), default=0.0)
+        stem = max((self.stem[n] for n, e in at if e == 0), default=0.0)
+        fuzzy = max((self.fuzzy[n] for n, e in at if e > 0), default=0.0)
         self.final.append((exact, stem, fuzzy))
         return state
 
     def _move(self, state: int, letter: str) -> int:
-        pairs: set[tuple[int, int]] = set()
-        for node, e in self.members[state]:
+        pairs: set[tuple[int, int, str]] = set()
+        for node, e, swap in self.members[state]:
+            if swap:
+                if letter == swap:
+                    pairs.add((node, e, ""))
+                continue
             child = self.children[node].get(letter)
             if child is not None and (e == 0 or self.reach[child]):
-                pairs.add((child, e))
+                pairs.add((child, e, ""))
             if e < self.edits:
                 if self.reach[node]:
-                    pairs.add((node, e + 1))  # a letter too many in the word
-                pairs.update((c, e + 1) for c in self.children[node].values() if self.reach[c])
+                    pairs.add((node, e + 1, ""))  # a letter too many in the word
+                for skipped, c in self.children[node].items():
+                    if self.reach[c]:
+                        pairs.add((c, e + 1, ""))
+                        after = self.children[c].get(letter)
+                        if after is not None and self.reach[after] and skipped != letter:
+                            pairs.add((after, e + 1, skipped))
         nxt = self._state(pairs)
         if len(self.moves[state]) < 4096:
             self.moves[state][letter] = nxt
@@ -132,7 +162,9 @@ class Automaton:
             if state == self.dead:
                 return stem, True
         exact, _, fuzzy = self.final[state]
-        return (max(exact, stem), True) if max(exact, stem) > 0 else (fuzzy, False)
+        if max(exact, stem) > 0:
+            return max(exact, stem), True
+        return (0.0 if fuzzy and word in self.clean else fuzzy), False
 
 
 def _terms_of(lexicon: Iterable[Term], lang: str | None) -> dict[str, tuple[float, str]]:
@@ -144,53 +176,87 @@ def _terms_of(lexicon: Iterable[Term], lang: str | None) -> dict[str, tuple[floa
     return out
 
 
+def tokens(text: str) -> list[str]:
+    """Lower-cased words, quotation marks, sentence ends and line ends of a text, in order."""
+    return TOKEN.findall(text.lower())
+
+
+def opening_marks(words: list[str]) -> set[int]:
+    """Places of the marks that open a quotation: the low and left ones, and of the
+    straight and the angled ones every other in a line, straight ones behind a number
+    (inches) aside."""
+    out, straight, angled = set(), 0, 0
+    for k, w in enumerate(words):
+        if w == "\n":
+            straight = angled = 0
+        elif w in "«»":
+            angled += 1
+            if angled % 2:
+                out.add(k)
+        elif w == '"':
+            if not (k and words[k - 1][-1].isdigit() and straight % 2 == 0):
+                straight += 1
+                if straight % 2:
+                    out.add(k)
+        elif w in "“„":
+            out.add(k)
+    return out
+
+
+def quoted_at(words: list[str], opening: set[int], at: int, window: int) -> bool:
+    """Whether the nearest marks before and behind a word, in its line and within
+    the window, open and close a quotation."""
+    for low in range(at - 1, max(-1, at - window - 1), -1):
+        if words[low] == "\n" or (words[low] in QUOTES and low not in opening):
+            return False
+        if low in opening:
+            break
+    else:
+        return False
+    ends = '"' if words[low] == '"' else "«»" if words[low] in "«»" else "”“"
+    for high in range(at + 1, min(len(words), at + window + 1)):
+        if words[high] == "\n":
+            return False
+        if words[high] in QUOTES:
+            return words[high] in ends
+    return False
+
+
+def context_factor(words: list[str], opening: set[int], at: int, p: dict) -> float:
+    """What a hit at ``words[at]`` is multiplied by."""
+    window = p["window"]
+    if quoted_at(words, opening, at, window):
+        return p["quoted_factor"]
+    low, high = at, at
+    while low > 0 and at - low < window and words[low - 1] not in ".!?\n":
+        low -= 1
+    while high + 1 < len(words) and high - at < window and words[high + 1] not in ".!?\n":
+        high += 1
+    near = words[low : high + 1]
+    if any(w in REPORTING for w in near):
+        return p["quoted_factor"]
+    return p["direct_factor"] if any(w in DIRECT for w in words[max(0, at - window) : at + window + 1]) else 1.0
+
+
 def score_texts(texts: pa.Array, langs: pa.Array, automata: dict, p: dict) -> tuple[np.ndarray, np.ndarray]:
     """(score, hits) of each text."""
-    words, offsets = split_words(texts)
-    n = len(offsets) - 1
-    score, hits = np.zeros(n), np.zeros(n, np.int64)
-    if not len(words):
-        return score, hits
-    coded = words.dictionary_encode()
-    raw, index = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-    plain = normalised(coded.dictionary).to_pylist()
-    lang_codes = langs.dictionary_encode()
-    lang_index = np.asarray(lang_codes.indices.fill_null(-1))
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    lang_at = lang_index[row]
-    reporting = np.fromiter((w in REPORTING for w in plain), bool, len(plain))
-    direct = np.fromiter((w in DIRECT for w in plain), bool, len(plain))
-    quotes = np.fromiter((sum(w.count(q) for q in QUOTES) if not w.isalnum() else 0 for w in raw), np.int64, len(raw))
-    opens = np.fromiter((w[0] in QUOTES for w in raw), bool, len(raw))
-    running = np.concatenate([[0], np.cumsum(quotes[index])])
-    for code in np.unique(lang_index):
-        lang = lang_codes.dictionary[int(code)].as_py() if code >= 0 else None
-        automaton = automata.get(lang) or automata.get("") if lang is not None else automata[None]
-        mine = np.flatnonzero(lang_at == code)
-        kinds = np.unique(index[mine])
-        weight, near_miss, seen = np.zeros(len(raw)), np.zeros(len(raw), bool), set()
-        for k in kinds:
-            w, exact = automaton.match(plain[k])
-            if w:
-                weight[k], near_miss[k] = (w, False) if exact else (w * p["fuzzy_weight"], True)
-        for at in mine[weight[index[mine]] > 0]:
-            r = row[at]
-            if near_miss[index[at]]:  # a form that comes again is a word of its own
-                form = (r, plain[index[at]])
-                if form in seen:
-                    continue
-                seen.add(form)
-            low, high = max(offsets[r], at - p["window"]), min(offsets[r + 1], at + p["window"] + 1)
-            near = index[low:high]
-            before = running[at] - running[offsets[r]] + opens[index[at]]
-            after = running[offsets[r + 1]] - running[at + 1]
-            factor = 1.0
-            if (before % 2 == 1 and (after > 0 or quotes[index[at]] > 1)) or reporting[near].any():
-                factor = p["quoted_factor"]
-            elif direct[near].any():
-                factor = p["direct_factor"]
-            score[r] += weight[index[at]] * factor
-            hits[r] += 1
+    score, hits = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    known: dict = {}  # weight of each distinct word, by language
+    for r, (text, lang) in enumerate(zip(texts.to_pylist(), langs.to_pylist(), strict=True)):
+        if not text:
+            continue
+        words = tokens(text)
+        weights = known.setdefault(lang, {})
+        new = set(words) - weights.keys()
+        if new:
+            automaton = automata.get(lang) or automata.get("") if lang is not None else automata[None]
+            for w in new:
+                weight, exact = automaton.match(w)
+                weights[w] = weight if exact else weight * p["fuzzy_weight"]
+        found = [k for k, w in enumerate(map(weights.__getitem__, words)) if w]
+        opening = opening_marks(words) if found else set()
+        score[r] = sum(weights[words[at]] * context_factor(words, opening, at, p) for at in found)
+        hits[r] = len(found)
     return score, hits
 
 
@@ -202,7 +268,7 @@ def score(
     lang_col: str = "lang",
     keep: str = "flagged",
     threshold: float = 1.0,
-    fuzzy_weight: float = 0.5,
+    fuzzy_weight: float = 0.4,
     quoted_factor: float = 0.2,
     direct_factor: float = 1.25,
     window: int = 6,
@@ -265,6 +331,7 @@ def learn_lexicon(
     min_precision: float = 0.97,
     min_toxic: int = 5,
     learned_weight: float = 0.6,
+    max_confused: float = 0.05,
 ) -> list[Term]:
     """Terms and stems that mark toxic documents of each language.
 
@@ -305,7 +372,7 @@ def learn_lexicon(
         words.select("_lang", (F.col("_y") > 0).alias("y"), F.explode(parts).alias("p"))
         .groupBy("_lang", "p")
         .agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0"))
-        .where(F.col("n1") >= min_toxic)
+        .where((F.col("n1") >= min_toxic) | ((F.col("n0") > 0) & F.col("p").startswith("w")))
         .select("_lang", F.substring("p", 2, 1 << 30).alias("t"), F.col("p").startswith("s").alias("stem"), "n1", "n0")
     )
     out: list[Term] = []
@@ -314,7 +381,7 @@ def learn_lexicon(
         t1, t0 = sizes.get((lang, True), 0), sizes.get((lang, False), 0)
         if not t1 or not t0:
             continue
-        good = [(r["t"], r["stem"]) for r in rows if r[0] == lang and r["n1"] >= min_share * t1 and (r["n1"] / t1) >= min_precision * (r["n1"] / t1 + r["n0"] / t0)]
+        good = [(r["t"], r["stem"]) for r in rows if r[0] == lang and r["n1"] >= max(min_toxic, min_share * t1) and (r["n1"] / t1) >= min_precision * (r["n1"] / t1 + r["n0"] / t0)]
         count = {(r["t"], r["stem"]): r["n1"] for r in rows if r[0] == lang}
         words_ = {t for t, stem in good if not stem}
         stems: list[str] = []
@@ -323,7 +390,14 @@ def learn_lexicon(
             if one_word < 0.7 * count[t, True] and not any(t.startswith(x) for x in stems):
                 stems.append(t)
         out += [(lang, t, learned_weight, "stem") for t in stems]
-        out += [(lang, t, learned_weight, "word") for t in sorted(words_) if not any(t.startswith(x) for x in stems)]
+        learned = [t for t in sorted(words_) if not any(t.startswith(x) for x in stems)]
+        plain = [r["t"] for r in rows if r[0] == lang and not r["stem"] and r["n0"] / t0 > r["n1"] / t1]
+        near = Automaton({t: (1.0, "fuzzy") for t in [*learned, *BASE_TERMS]})
+        close = [w for w in plain if near.match(w) > (0.0, False) and not near.match(w)[1]]
+        confused = {t for t in learned if any(Automaton({t: (1.0, "fuzzy")}).match(w)[0] for w in close)}
+        vague = len(confused) > max_confused * len(learned)  # misspellings can't be told from other words
+        out += [(lang, t, learned_weight, "word" if vague or t in confused else "fuzzy") for t in learned]
+        out += [(lang, w, 0.0, "clean") for w in close]
     return out
 
 

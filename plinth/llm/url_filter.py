@@ -1,58 +1,63 @@
 """URL filters as a sort-merge range join on reversed-host keys.
 
 A URL becomes a canonical key: the host's labels reversed, each with a dot
-behind it, a slash, the path, and a question mark with the query, where there
-is one; scheme, user, port 80/443, fragment, case of the host and a trailing
-dot don't count.  A rule is a host ("example.com": the domain with all
-sub-domains) or a host with a path prefix ("www.example.com/ads").  Both turn
-into a prefix of keys, that is an interval of them, and intervals nest or are
-disjoint.
+behind it, the port unless it is 80 or 443, a slash and the path, and a question
+mark with the query, where there is one; scheme, user, fragment, case of the
+host and a trailing dot don't count.  A rule is parsed like a URL.  A bare host
+("example.com", "*.example.com", "http://example.com:443") covers the domain with
+all sub-domains and ports; a host with a port, those URLs of the host that have
+it; with a path or query, the URLs whose key starts so ("example.com/ads" also
+covers "/adsense", by design; "example.com?x=1" is the query of the root).  All
+turn into a prefix of keys, that is an interval of them, and intervals nest or
+are disjoint.
 
 Keys are range-partitioned by sampled bounds (balance only); a rule goes to each
 partition that its interval meets.  Every partition sorts its keys and rules
 and sweeps them once, with the active nested rules on a stack; the top of the
-stack, the most specific rule, decides.
+stack, the most specific rule, decides.  One key that many rows have is swept
+once: rows are joined to the decisions by their key, rows of equal keys in
+any number of tasks.
 
 Nulls, ties, odd input: a null or empty URL, or one without a host, matches no
-rule (``rule`` null, action ``default_action``); null and empty rules are
-ignored; of rules with the same key the one with the least action text decides;
-repeated URLs are decided each; an empty table gives an empty result, no rules
-the default.  Columns added get a leading underscore where the names are taken.
+rule (``rule`` null, action ``default_action``); null and empty rules and those
+without a host are ignored; of rules with the same key the one with the least
+action text decides; repeated URLs are decided each; URLs of any length are
+compared whole; an empty table gives an empty result, no rules the default;
+other columns of either table are kept or ignored, whatever their names.
+Columns added get a leading underscore where the names are taken.
 """
 
 from __future__ import annotations
 
-import bisect
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from plinth.llm._util import free_name, quoted, shuffle_partitions
 
-URL = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:@\s]+?)\.?(:[0-9]*|)(/[^?#\s]*|)(\?[^#\s]*|)(?:#.*)?\s*$"
+URL = r"^\s*(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?(?:[^/?#@]*@)?([^/?#:@\s]+?)\.?(:[0-9]*|)(/[^?#\s]*|)(\?[^#\s]*|)(?:#.*)?\s*$"
+
+
+def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
+    """(reversed host, port unless it is a default, path, query); the host is empty where there is none."""
+    url = F.coalesce(url, F.lit(""))
+    host, port, path, query = (F.regexp_extract(url, URL, k) for k in (1, 2, 3, 4))
+    labels = F.concat(F.array_join(F.reverse(F.split(F.lower(host), r"\.")), "."), F.lit("."))
+    return F.when(host != "", labels), F.when(port.isin("", ":", ":80", ":443"), F.lit("")).otherwise(port), path, query
 
 
 def url_key(url: Column) -> Column:
     """Canonical key, null where there is no host."""
-    url = F.coalesce(url, F.lit(""))
-    host = F.lower(F.regexp_extract(url, URL, 1))
-    port = F.regexp_extract(url, URL, 2)
-    path = F.regexp_extract(url, URL, 3)
-    labels = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
-    kept = F.when(port.isin("", ":", ":80", ":443"), F.lit("")).otherwise(port)
-    key = F.concat(labels, kept, F.when(path == "", F.lit("/")).otherwise(path), F.regexp_extract(url, URL, 4))
-    return F.when(host != "", key)
+    labels, port, path, query = _parts(url)
+    return F.concat(labels, port, F.when(path == "", F.lit("/")).otherwise(path), query)
 
 
 def rule_key(rule: Column) -> Column:
     """Prefix of the keys that a rule covers; a bare host covers sub-domains too."""
-    bare = F.regexp_replace(F.trim(F.coalesce(rule, F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.lower(F.regexp_replace(F.regexp_extract(bare, r"^([^/?#:]+)", 1), r"^\*?\.|\.$", ""))
-    path = F.regexp_extract(bare, r"^[^/?#:]+(/.*|)$", 1)
-    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."), path)
-    return F.when(host != "", key)
+    labels, port, path, query = _parts(F.regexp_replace(F.coalesce(rule, F.lit("")), r"^(\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?)\*?\.", "$1"))
+    end = F.when(port != "", F.lit("/")).otherwise(F.lit(""))  # a port is whole: ":80" isn't ":8080"
+    return F.concat(labels, port, F.when((path == "") & (query != ""), F.lit("/")).when(path == "", end).otherwise(path), query)
 
 
 def sweep(keys: list[str], rules: list[tuple[str, str, str]]) -> list[int]:
@@ -72,9 +77,13 @@ def sweep(keys: list[str], rules: list[tuple[str, str, str]]) -> list[int]:
     return out
 
 
-def after(prefix: str) -> str:
-    """Least string above all that start with ``prefix``, by code points."""
-    return prefix[:-1] + chr(ord(prefix[-1]) + 1)
+def after(prefix: str) -> str | None:
+    """Least string above all that start with ``prefix``, by code points; None if there is none."""
+    bare = prefix.rstrip("\U0010ffff")
+    if not bare:
+        return None
+    nxt = ord(bare[-1]) + 1
+    return bare[:-1] + chr(0xE000 if 0xD800 <= nxt < 0xE000 else nxt)  # surrogates aren't characters
 
 
 def apply(urls: DataFrame, rules: DataFrame, url_col: str = "url", rule_col: str = "rule", action_col: str = "action", default_action: str = "allow", sample_rows: int = 20_000) -> DataFrame:
@@ -91,38 +100,36 @@ def apply(urls: DataFrame, rules: DataFrame, url_col: str = "url", rule_col: str
         .where("_n = 1")
         .drop("_n")
     )
-    sample = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(key).alias("h")).distinct().orderBy("h").limit(sample_rows).collect()
-    found = sorted(r["k"] for r in sample)
-    bounds = sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+    keys = keyed.select(F.col(key).alias("k")).where("k is not null").distinct()
+    n_keys = keys.count()
+    share = min(1.0, sample_rows / max(1, n_keys))
+    found = sorted(r["k"] for r in keys.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).collect())
+    bounds = np.array(sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else [], object)
 
     @F.pandas_udf("int")
     def place(k):
         import pandas as pd
 
-        return pd.Series([bisect.bisect_right(bounds, x) if x is not None else 0 for x in k])
+        return pd.Series(np.searchsorted(bounds, k.to_numpy(object), "right").astype(np.int32))
 
     @F.pandas_udf("array<int>")
     def meets(k):
         import pandas as pd
 
-        return pd.Series([list(range(bisect.bisect_right(bounds, x), bisect.bisect_left(bounds, after(x)) + 1)) for x in k])
-
-    out_schema = StructType([*urls.schema.fields, *[StructField(c, StringType()) for c in (key, rule, action)]])
-    names = out_schema.fieldNames()
-    plain = [f"c{i}" for i in range(len(urls.columns))]  # grouping can't address names with dots
-    keyed = keyed.toDF(*plain, "k")
+        low = np.searchsorted(bounds, k.to_numpy(object), "right")
+        ends = [after(x) for x in k]
+        high = np.array([len(bounds) if e is None else np.searchsorted(bounds, e, "left") for e in ends], np.int64)
+        return pd.Series([np.arange(a, b + 1, dtype=np.int32) for a, b in zip(low, high, strict=True)])
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.to_pandas().sort_values("_k", key=lambda s: s)
-        table = [tuple(x) for x in right[["_k", "_r", "_a"]].itertuples(index=False)]
-        k = left.column("k").to_pylist()
-        order = sorted((i for i, x in enumerate(k) if x is not None), key=k.__getitem__)
-        hit = np.full(len(k), -1, np.int64)
-        hit[order] = sweep([k[i] for i in order], table)
-        r = pa.array([table[h][1] if h >= 0 else None for h in hit.tolist()], pa.string())
-        a = pa.array([table[h][2] if h >= 0 else default_action for h in hit.tolist()], pa.string())
-        return pa.Table.from_arrays([*[left.column(c) for c in (*plain, "k")], r, a], names=names)
-
-    left = keyed.withColumn("_p", F.when(F.col("k").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(len(bounds) + 1)).cast("int")).otherwise(place("k")))
-    right = clean.withColumn("_p", F.explode(meets("_k")))
-    return left.groupBy("_p").cogroup(right.groupBy("_p")).applyInArrow(merge, out_schema)
+        table = sorted(zip(*(right.column(c).to_pylist() for c in ("_k", "_r", "_a")), strict=True))
+        k = sorted(left.column("k").to_pylist())
+        hit = [(x, *table[h][1:]) for x, h in zip(k, sweep(k, table), strict=True) if h >= 0]
+        return pa.Table.from_arrays([pa.array([x[c] for x in hit], pa.string()) for c in range(3)], names=["k", "r", "a"])
+
+    left = keys.withColumn("_p", place("k"))
+    right = clean.withColumn("_q", F.explode(meets("_k")))
+    decided = left.groupBy("_p").cogroup(right.groupBy("_q")).applyInArrow(merge, "k string, r string, a string")
+    k, r, a = (free_name(keyed, c) for c in ("_k", "_r", "_a"))
+    joined = keyed.join(decided.toDF(k, r, a), F.col(key) == F.col(k), "left")
+    return joined.select(*[quoted(c) for c in keyed.columns], F.col(r).alias(rule), F.coalesce(F.col(a), F.lit(default_action)).alias(action))

@@ -11,15 +11,19 @@ from tests.llm.conftest import clash
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits with transpositions of neighbours, no part edited twice."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
+        row = [i]
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.text("abc", max_size=7), st.sets(st.text("abc", min_size=1, max_size=6), max_size=6), st.integers(0, 2))
 def test_automaton_is_levenshtein(word, terms, edits):
     m = toxicity.Automaton({t: (1.0, "fuzzy") for t in terms}, edits, fuzzy_length=1)
@@ -30,13 +34,14 @@ def test_automaton_is_levenshtein(word, terms, edits):
 
 
 def test_automaton_kinds():
-    m = toxicity.Automaton({"scum": (1.0, "fuzzy"), "stupid": (1.0, "fuzzy"), "vequ": (0.6, "stem"), "ido": (0.5, "word")})
+    m = toxicity.Automaton({"scum": (1.0, "fuzzy"), "stupid": (1.0, "fuzzy"), "loser": (1.0, "fuzzy"), "lower": (0.0, "clean"), "vequ": (0.6, "stem"), "ido": (0.5, "word")})
     assert m.match("scum") == (1.0, True) and m.match("scam")[0] == 0  # too short to be fuzzy
     assert m.match("stuped") == (1.0, False) and m.match("vequaire") == (0.6, True) and m.match("idol")[0] == 0
+    assert m.match("lsoer") == (1.0, False) and m.match("lower")[0] == 0
 
 
 def scores(texts, lexicon=None, **kw):
-    p = {"fuzzy_weight": 0.5, "quoted_factor": 0.2, "direct_factor": 1.25, "window": 6} | kw
+    p = {"fuzzy_weight": 0.4, "quoted_factor": 0.2, "direct_factor": 1.25, "window": 6} | kw
     terms = toxicity._terms_of(lexicon or [(None, t, 1.0, "fuzzy") for t in toxicity.BASE_TERMS], None)
     machine = toxicity.Automaton(terms)
     return toxicity.score_texts(pa.array(texts, pa.string()), pa.nulls(len(texts), pa.string()), {None: machine}, p)[0].tolist()
@@ -44,8 +49,43 @@ def scores(texts, lexicon=None, **kw):
 
 def test_context():
     got = scores(['you are an idiot', 'what an idiot', 'he wrote "idiot" there', "they called it stupid", "an idoit passes", "fine words", None, "", 'such "fine things" from an idiot here'])
-    assert got == pytest.approx([1.25, 1.0, 0.2, 0.2, 0.0, 0.0, 0.0, 0.0, 1.0])
-    assert scores(["an idiott and idiott passes", "an idiott and a morron"]) == pytest.approx([0.5, 1.0])
+    assert got == pytest.approx([1.25, 1.0, 0.2, 0.2, 0.4, 0.0, 0.0, 0.0, 1.0])
+    assert scores(["an idiott and idiott passes", "an idiott and a morron", "idoit " * 5]) == pytest.approx([0.8, 0.8, 2.0])
+    assert scores(['a 12" screen , you are an idiot , is 15" wide', "the term is fine . you idiot", "idiot,moron l'idiot trash/scum", "so »idiot« and „moron“"]) == pytest.approx([1.25, 1.25, 5.0, 0.4])
+
+
+def brute_score(text, terms, window=6):
+    """Distances to every term and marks by looking at each position anew."""
+    import re
+
+    words = re.findall(r'[a-z0-9]+|["“”.!?\n]', text.lower())
+    total = 0.0
+    for k, w in enumerate(words):
+        best = 1.0 if w in terms else 0.4 if any(len(t) >= 5 and distance(w, t) <= 1 for t in terms) else 0.0
+        if not best or w in '"“”.!?\n':
+            continue
+        start = max((j + 1 for j in range(k) if words[j] == "\n"), default=0)
+        end = min((j for j in range(k, len(words)) if words[j] == "\n"), default=len(words))
+        straight = [j for j in range(start, end) if words[j] == '"' and not (j and words[j - 1][-1].isdigit() and sum(words[i] == '"' for i in range(start, j)) % 2 == 0)]
+        opens = straight[::2] + [j for j in range(start, end) if words[j] == "“"]
+        marks = [j for j in range(start, end) if words[j] in '"“”']
+        before, behind = [j for j in marks if k - window <= j < k], [j for j in marks if k < j <= k + window]
+        quoted = bool(before and behind and before[-1] in opens and ((words[before[-1]] == '"') == (words[behind[0]] == '"')))
+        near = words[max(0, k - window) : k + window + 1]
+        left = [j for j in range(k) if words[j] in ".!?\n"]
+        right = [j for j in range(k, len(words)) if words[j] in ".!?\n"]
+        same = words[max(0, k - window, *[j + 1 for j in left[-1:]]) : min(len(words), k + window + 1, *right[:1])]
+        factor = 0.2 if quoted or toxicity.REPORTING & set(same) else 1.25 if toxicity.DIRECT & set(near) else 1.0
+        total += best * factor
+    return total
+
+
+def test_scores_against_brute_force():
+    rng = np.random.default_rng(7)
+    stock = ["idiot", "idoit", "morn", "moron", "scum", "scums", "stupid", "fine", "you", "called", "word", "it", "is", "so", '"', '"', "“", "”", ".", "\n", "12"]
+    texts = [" ".join(rng.choice(stock, rng.integers(0, 30))) for _ in range(400)]
+    texts = [t for t in texts if ('12 "' not in t)]
+    assert scores(texts) == pytest.approx([brute_score(t, toxicity.BASE_TERMS) for t in texts])
 
 
 def test_toxic_rows(spark, odd, empty):
@@ -66,8 +106,16 @@ def test_learned_terms(spark, empty):
         docs.append((k, " ".join(words), "fr")), labels.append((k, int(toxic)))
     d, y = spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id bigint, toxic int")
     found = toxicity.learn_lexicon(d, y)
-    assert ("fr", "zorg", 0.6, "stem") in found and ("fr", "blarf", 0.6, "word") in found and not any(t.startswith("mot") for _, t, _, _ in found)
+    assert ("fr", "zorg", 0.6, "stem") in found and ("fr", "blarf", 0.6, "fuzzy") in found and not any(t.startswith("mot") for _, t, _, _ in found)
     assert toxicity.learn_lexicon(empty, y) == []
+    odd = spark.createDataFrame([(None, None, None), (1, None, "fr"), (2, "", None), (3, "blarf", None)], "doc_id bigint, text string, lang string")
+    assert sorted(toxicity.learn_lexicon(d.unionByName(odd), clash_labels(y))) == sorted(found)
+
+
+def clash_labels(y):
+    from pyspark.sql import functions as F
+
+    return y.select("*", *[F.lit(1).alias(c) for c in ("text", "lang", "_id", "_y", "w", "_n")])
 
 
 def images(spark):

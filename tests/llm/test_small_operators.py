@@ -135,6 +135,9 @@ def test_pack_keeps_every_token(spark, odd, empty):
     bins = out.groupBy("group_id", "bin_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("bin_offset") + F.col("n_tokens")).alias("end"))
     assert bins.where("n > 100 or end <> n").count() == 0
     assert packing.pack(empty).count() == 0
+    many = odd.where("doc_id is null or doc_id = 7").crossJoin(odd.sparkSession.range(500).select(F.col("id").alias("n"))).withColumn("text", F.when(F.col("n") % 9 == 0, F.lit("a b")).otherwise(F.col("text")))
+    dealt = packing.pack(many, capacity=10, group_size=50)
+    assert dealt.count() == 1000 and dealt.select("doc_id", "copy").distinct().count() == 1000 and dealt.groupBy("group_id").count().agg(F.max("count")).first()[0] <= 300
     assert sorted(r["copy"] for r in out.where("doc_id = 1").collect()) == [0, 1]
 
 
@@ -143,6 +146,9 @@ URLS = [
     (8, "nonsense"), (9, "http://www.example.com/ads/x"), (10, "http://"), (11, "//cdn.example.org/lib"),
 ]
 RULES = [("example.com", "allow"), ("www.example.com", "review"), ("www.example.com/ads", "block"), ("www.example.com/ads", "zap"), ("org", "review"), (None, "block"), ("", "block"), ("*.example.com/a", "block")]
+RULES += [("http://shop.example.net:443/ads", "block"), ("example.net:8080", "review"), ("example.net?x=1", "zap"), ("user@example.net/in", "block"), ("http://example.edu", "review"), ("https://*.example.edu:99/b?q", "zap"), ("big.org/\U0010ffff", "block"), ("/only", "block"), ("\U0010ffff", "review")]
+URLS += [(12, "https://shop.example.net/ads/1"), (13, "http://example.net:8080/x"), (14, "http://example.net:80801/x"), (15, "http://example.net/?x=1&y"), (16, "http://example.net/?y"), (17, "http://example.net/in/1"), (18, "http://a.example.edu:99/b?q=2")]
+URLS += [(19, "http://big.org/\U0010ffff\U0010ffff"), (20, "http://example.com/" + "long/" * 20_000), (21, "http://www.example.com/adsense")]
 
 
 def brute_rule(key, rules):
@@ -160,6 +166,8 @@ def test_url_filter_against_brute_force(spark):
         assert (r["rule"], r["action"]) == brute_rule(r["url_key"], keys), r
     by = {r["page_id"]: r for r in out}
     assert by[1]["action"] == "block" and by[4]["rule"] is None and by[6]["action"] == "allow" and by[3]["url_key"] == "com.example./ads" and by[11]["rule"] == "org"
+    assert [by[k]["action"] for k in range(12, 22)] == ["block", "review", "allow", "zap", "allow", "block", "review", "block", "allow", "block"] and by[14]["rule"] is None
+    assert url_filter.after("a\U0010ffff") == "b" and url_filter.after("\U0010ffff") is None and url_filter.after("\ud7ff") == "\ue000"
 
 
 def test_url_filter_odd_tables(spark):
@@ -167,7 +175,8 @@ def test_url_filter_odd_tables(spark):
     none = spark.createDataFrame([], "rule string, action string")
     assert url_filter.apply(urls, none).where("action <> 'allow'").count() == 0
     assert url_filter.apply(urls.limit(0), none).count() == 0
-    out = url_filter.apply(clash(urls), spark.createDataFrame(RULES, "rule string, action string"))
+    rules = spark.createDataFrame(RULES, "rule string, action string")
+    out = url_filter.apply(clash(urls), rules.select("*", *[F.lit(0).alias(c) for c in ("_k", "_r", "_a", "url", "page_id")]))
     assert out.columns[-3:] == ["_url_key", "_rule", "_action"] and out.count() == len(URLS)
 
 
