@@ -6,8 +6,9 @@ probability of the pair's Jaccard similarity.  A run splits the documents on
 ``branches`` = ceil(1 / threshold) sampled coordinates.  A bucket of more than
 ``limit`` members is split again on coordinates sampled from its path, by the
 next shuffle, down to ``max_depth`` splits; small buckets are compared pair by
-pair.  What is still large then (texts that all resemble each other) is cut in
-blocks by a hash, and each pair of blocks compared in a task of its own.  Runs
+pair.  What is still large then, or keeps most members when it is split (texts
+that all resemble each other), is cut in blocks by a hash, and each pair of
+blocks compared on its own, so that no bucket falls to one task.  Runs
 are repeated: with survival probability q of a pair at the threshold through all
 ``max_depth`` splits, ``runs`` is the least number with
 1 - (1 - q)**runs >= target recall.
@@ -218,25 +219,40 @@ def candidates(sketches: DataFrame, threshold: float, coordinates: int, limit: i
                 for key in children(path, mins, branches):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("_node"), sketch], names=["_key", "_node", "_sketch"])
 
+    def split_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key in children(batch.column("_key").to_numpy().view(np.uint64), fixed(batch.column("_mins"), "<u2"), branches):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("_of")], names=["_key", "_of"])
+
     entry = "_key bigint, _node bigint, _sketch binary"
     entries, settled = sketches.select("_node", "_mins").mapInArrow(split, entry), []
+    sized = entries.select("_key", F.lit(0).cast("bigint").alias("_of"))
+
+    def cut_in_blocks(entries: DataFrame, hot: DataFrame) -> DataFrame:
+        cut = entries.join(hot, "_key").withColumn("_cut", F.ceil(F.col("count") / limit).cast("int"))
+        cut = cut.withColumn("_own", F.pmod(F.xxhash64("_node"), "_cut").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)))
+        return cut.select(F.xxhash64("_key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_key"), "_node", "_sketch", (F.col("_own") > F.col("_other")).cast("int").alias("_side"))
+
     for depth in range(1, max_depth + 1):
-        hot = checkpoint(entries.groupBy("_key").count().where(F.col("count") > limit))
+        counts = sized.groupBy("_key").agg(F.count("*").alias("count"), F.max("_of").alias("_of")).where(F.col("count") > limit)
+        whole = F.lit(True) if depth == max_depth else F.col("count") > 0.7 * F.col("_of")  # another split wouldn't part its members
+        hot = checkpoint(counts.select("_key", "count", (whole & (F.col("_of") > 0) | F.lit(depth == max_depth)).alias("_whole")))
         n_hot = hot.count()
+        few = lambda t: F.broadcast(t) if n_hot <= 500_000 else t  # noqa: B023, E731
+        settled.append((entries.join(few(hot.select("_key")), "_key", "left_anti") if n_hot else entries).withColumn("_side", F.lit(0)))
         if not n_hot:
             break
-        hot = F.broadcast(hot) if n_hot <= 500_000 else hot
-        settled.append(entries.join(hot, "_key", "left_anti"))
-        if depth < max_depth:
-            large = entries.select("_key", "_node").join(hot.select("_key"), "_key", "left_semi")
-            entries = checkpoint(large).join(sketches.select("_node", "_mins"), "_node").select("_key", "_node", "_mins").mapInArrow(split, entry)
-        else:
-            cut = entries.join(hot, "_key").withColumn("_cut", F.ceil(F.col("count") / limit).cast("int"))
-            cut = cut.withColumn("_own", F.pmod(F.xxhash64("_node"), "_cut").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)))
-            entries = cut.select(F.xxhash64("_key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_key"), "_node", "_sketch", (F.col("_own") > F.col("_other")).cast("int").alias("_side"))
-    every = entries if "_side" in entries.columns else entries.withColumn("_side", F.lit(0))
-    for part in settled:
-        every = every.unionByName(part.withColumn("_side", F.lit(0)))
+        settled.append(cut_in_blocks(entries, few(hot.where("_whole").select("_key", "count"))))
+        parents = few(hot.where("not _whole").select("_key", F.col("count").alias("_of")))
+        large = checkpoint(entries.select("_key", "_node").join(parents, "_key"))
+        if large.isEmpty():
+            break
+        inner = large.join(sketches.select("_node", "_mins"), "_node").select("_key", "_node", "_mins", "_of")
+        entries = inner.mapInArrow(split, entry)
+        sized = inner.mapInArrow(split_sizes, "_key bigint, _of bigint")
+    every = settled[0]
+    for part in settled[1:]:
+        every = every.unionByName(part)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -357,7 +373,7 @@ def links(
     n: int = 3,
     threshold: float = 0.5,
     coordinates: int = 128,
-    limit: int = 512,
+    limit: int = 2048,
     target_recall: float = 0.97,
     band: float = 4.0,
     max_depth: int = 4,
@@ -424,7 +440,7 @@ def all_pairs(
     n: int = 3,
     threshold: float = 0.5,
     coordinates: int = 128,
-    limit: int = 512,
+    limit: int = 2048,
     target_recall: float = 0.97,
     band: float = 4.0,
     max_depth: int = 4,
@@ -452,7 +468,7 @@ def keep_one(
     n: int = 3,
     threshold: float = 0.5,
     coordinates: int = 128,
-    limit: int = 512,
+    limit: int = 2048,
     target_recall: float = 0.97,
     band: float = 4.0,
     max_depth: int = 4,

@@ -54,7 +54,7 @@ def pairs_of(df):
     return out, len(rows)
 
 
-@pytest.mark.parametrize("limit", [512, 20])
+@pytest.mark.parametrize("limit", [2048, 20])
 def test_all_pairs_against_brute_force(spark, corpus, limit):
     """Every pair counts, those of the hot groups too, and all similarities are exact."""
     copy = words(random.Random(6), 70)
@@ -93,7 +93,7 @@ def test_links_of_texts_that_share_an_id(spark):
     assert set(got) >= {(1, 5), (1, 7)} and all(9 not in p for p in got)
 
 
-@pytest.mark.parametrize("limit", [512, 32])
+@pytest.mark.parametrize("limit", [32])
 def test_recall_near_the_threshold_in_oversized_buckets(spark, limit):
     """Pairs just above the threshold, of words that many dissimilar documents have."""
     rng = random.Random(12)
