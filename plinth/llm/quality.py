@@ -1,13 +1,15 @@
 """Quality rules by robust multivariate outliers.
 
 Each document is a vector of transformed text statistics (``FEATURES``).  For
-every language and source a minimum-covariance-determinant estimate is made:
-from coordinate-wise medians and median deviations, concentration steps keep the
-share ``support`` of least Mahalanobis distance and re-estimate mean and
-covariance on it; a last step reweighs by the chi-square quantile.  Distances
-are scaled so that a group's median is the chi-square median, and a document
-beyond the ``cutoff`` quantile times ``inflation`` (tails of texts are heavier than
-normal ones) is rejected.
+every language and source a minimum-covariance-determinant estimate is made from
+several starts: coordinate-wise medians and median deviations, and ``starts - 1``
+small subsets of documents chosen by hash.  From each, concentration steps keep
+the share ``support`` of least Mahalanobis distance and re-estimate mean and
+covariance on it, which never raises the covariance's determinant; of the starts
+the one with the least determinant is kept.  A last step reweighs by the chi-square
+quantile.  Distances are scaled so that a group's median is the chi-square median,
+and a document beyond the ``cutoff`` quantile times ``inflation`` (tails of texts
+are heavier than normal ones) is rejected.
 
 All sums and quantiles are distributed aggregates over all documents; what is
 joined back is one row a group, broadcast up to ``max_broadcast`` groups.  The
@@ -16,11 +18,12 @@ statistics are in units of what counts as a trifle, and the covariance gets
 reject for less.
 
 Nulls, ties, odd input: a null or empty text has the statistics of an empty
-text; a null language or source is a value of its own; groups of fewer than
+text, a very long one is read whole; a null language or source is a value of its own; groups of fewer than
 ``min_group`` documents use their language's estimate, languages of fewer the
 one of all documents, and if all are fewer nothing is rejected (distance null);
-repeated rows count each.  An empty table gives an empty result.  Result: id,
-language, source, ``distance`` (squared), ``keep``.
+repeated rows count each, starts of equal determinant go by number.  An empty
+table gives an empty result; other columns are never read, whatever their names.
+Result: id, language, source, ``distance`` (squared), ``keep``.
 """
 
 from __future__ import annotations
@@ -161,6 +164,90 @@ def _estimate(weighed: DataFrame, ridge: float) -> DataFrame:
 
 
 ARROW = pa.schema([("_group", pa.string()), ("_m", pa.list_(pa.float64())), ("_p", pa.list_(pa.float64()))])
+PRODUCTS = [(i, j) for i in range(D) for j in range(i, D)]
+SUMS = ["n", *[f"s{j}" for j in range(D)], *[f"q{i}_{j}" for i, j in PRODUCTS]]
+
+
+def _inverted(totals: DataFrame, ridge: float) -> DataFrame:
+    """``_group, _start, _m, _p, _logdet`` from sums of the rows of each start."""
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = {"_m": [], "_p": [], "_logdet": []}
+            for r in b.to_pylist():
+                m, cov = np.array([r[f"s{j}"] for j in range(D)]) / r["n"], np.empty((D, D))
+                for i, j in PRODUCTS:
+                    cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / r["n"] - m[i] * m[j]
+                cov += ridge**2 * np.eye(D)
+                out["_m"].append(m.tolist()), out["_p"].append(np.linalg.inv(cov).ravel().tolist()), out["_logdet"].append(float(np.linalg.slogdet(cov)[1]))
+            numbers = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("_group"), b.column("_start"), pa.array(out["_m"], numbers), pa.array(out["_p"], numbers), pa.array(out["_logdet"], pa.float64())], names=["_group", "_start", *out])
+
+    summed = totals.groupBy("_group", "_start").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return checkpoint(summed.mapInArrow(invert, "_group string, _start int, _m array<double>, _p array<double>, _logdet double"))
+
+
+def _concentrated(v: DataFrame, params: DataFrame, starts: int, support: float, ridge: float, most: int) -> DataFrame:
+    """One concentration step of every group and start."""
+    each = params.groupBy("_group").agg(F.sort_array(F.collect_list(F.struct("_start", "_m", "_p"))).alias("_e"))  # ``starts`` entries
+    flat = checkpoint(each.select("_group", F.flatten("_e._m").alias("_m"), F.flatten("_e._p").alias("_p")))
+    ds = [f"_d{k}" for k in range(starts)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in XS])
+                c = x[:, None] - np.asarray(b.column("_m").flatten()).reshape(-1, starts, D)
+                p = np.asarray(b.column("_p").flatten()).reshape(-1, starts, D, D)
+                d = ((c[:, :, None, :] @ p)[:, :, 0] * c).sum(2)
+                yield pa.RecordBatch.from_arrays([b.column("_group"), *[b.column(k) for k in XS], *[pa.array(np.ascontiguousarray(d[:, k])) for k in range(starts)]], names=["_group", *XS, *ds])
+
+    joined = v.select("_group", *XS).join(_hint(flat, most), "_group").select("_group", *XS, "_m", "_p")
+    measured = joined.mapInArrow(measure, "_group string, " + ", ".join(f"{c} double" for c in [*XS, *ds]))
+    limits = checkpoint(measured.groupBy("_group").agg(*[F.percentile_approx(d, support, 10_000).alias(f"_l{d}") for d in ds]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}  # groups are few: languages by sources
+        for b in batches:
+            if not len(b):
+                continue
+            coded = b.column("_group").dictionary_encode()
+            code, n = np.asarray(coded.indices), len(coded.dictionary)
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in XS])
+            terms = np.column_stack([np.ones(len(x)), x, *[x[:, i] * x[:, j] for i, j in PRODUCTS]])
+            for k, d in enumerate(ds):
+                near = b.column(d).to_numpy(zero_copy_only=False) <= b.column(f"_l{d}").to_numpy(zero_copy_only=False)
+                sums = np.stack([np.bincount(code[near], terms[near, t], n) for t in range(terms.shape[1])], 1)
+                for g, name in enumerate(coded.dictionary.to_pylist()):
+                    total.setdefault(name, np.zeros((starts, terms.shape[1])))[k] += sums[g]
+        names = list(total)
+        values = np.concatenate([total[g] for g in names]) if names else np.empty((0, len(SUMS)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, object), starts), pa.string()), pa.array(list(range(starts)) * len(names), pa.int32()), *[pa.array(np.ascontiguousarray(values[:, t]), pa.float64()) for t in range(len(SUMS))]], names=["_group", "_start", *SUMS])
+
+    totals = measured.join(_hint(limits, most), "_group").mapInArrow(add, "_group string, _start int, " + ", ".join(f"{c} double" for c in SUMS))
+    return _inverted(totals.where("n > 0"), ridge)
+
+
+def mcd(v: DataFrame, starts: int, steps: int, support: float, ridge: float, most: int) -> DataFrame:
+    """``_group, _m, _p, _logdet``: mean, inverse covariance and its log-determinant
+    on the best found share ``support`` of each group."""
+    near = F.percentile_approx
+    middle = v.groupBy("_group").agg(F.count("*").alias("_size"), *[near(x, 0.5, 10_000).alias(f"m{j}") for j, x in enumerate(XS)])
+    middle = checkpoint(middle)
+    with_middle = v.join(_hint(middle, most), "_group")
+    spread = with_middle.groupBy("_group").agg(*[F.first(f"m{j}").alias(f"m{j}") for j in range(D)], *[near(F.abs(F.col(x) - F.col(f"m{j}")), 0.5, 10_000).alias(f"a{j}") for j, x in enumerate(XS)])
+    diagonal = [F.lit(0.0) if i != j else 1 / (F.pow(1.4826 * F.col(f"a{i}"), 2) + ridge**2) for i in range(D) for j in range(D)]
+    first = checkpoint(spread.select("_group", F.array(*[f"m{j}" for j in range(D)]).alias("_m"), F.array(*diagonal).alias("_p")))
+    chance = F.pmod(F.xxhash64("_id", "_start"), F.lit(1 << 40)) < F.lit(1 << 40) * F.lit(8.0 * D) / F.col("_size")  # about 8 * D documents a subset
+    few = with_middle.withColumn("_start", F.explode(F.array(*[F.lit(k) for k in range(1, starts)]))).where(chance) if starts > 1 else with_middle.withColumn("_start", F.lit(1)).limit(0)
+    sums = [F.lit(1.0).alias("n"), *[F.col(x).alias(f"s{j}") for j, x in enumerate(XS)], *[(F.col(XS[i]) * F.col(XS[j])).alias(f"q{i}_{j}") for i, j in PRODUCTS]]
+    drawn = _inverted(few.select("_group", "_start", *sums), ridge).select("_group", "_start", F.col("_m").alias("_dm"), F.col("_p").alias("_dp"))
+    every = first.withColumn("_start", F.explode(F.array(*[F.lit(k) for k in range(starts)]))).join(drawn, ["_group", "_start"], "left")
+    params = checkpoint(every.select("_group", "_start", F.coalesce("_dm", "_m").alias("_m"), F.coalesce("_dp", "_p").alias("_p")))
+    for _ in range(steps):
+        params = _concentrated(v, params, starts, support, ridge, most)
+    best = params.groupBy("_group").agg(F.min_by(F.struct("_m", "_p", "_logdet"), F.struct("_logdet", "_start")).alias("_b"))
+    return checkpoint(best.select("_group", "_b._m", "_b._p", "_b._logdet"))
 
 
 def outliers(
@@ -170,6 +257,7 @@ def outliers(
     lang_col: str = "lang",
     source_col: str = "source",
     support: float = 0.75,
+    starts: int = 4,
     steps: int = 4,
     cutoff: float = 0.999,
     inflation: float = 2.5,
@@ -182,16 +270,7 @@ def outliers(
     every = checkpoint(with_groups(vectors(docs, id_col, text_col, lang_col, source_col), min_group))
     v = every.where("_group is not null")
     near = F.percentile_approx
-    middle = v.groupBy("_group").agg(*[near(x, 0.5, 10_000).alias(f"m{j}") for j, x in enumerate(XS)])
-    spread = v.join(_hint(checkpoint(middle), max_broadcast), "_group").groupBy("_group").agg(
-        *[F.first(f"m{j}").alias(f"m{j}") for j in range(D)], *[near(F.abs(F.col(x) - F.col(f"m{j}")), 0.5, 10_000).alias(f"a{j}") for j, x in enumerate(XS)]
-    )
-    diagonal = [F.lit(0.0) if i != j else 1 / (F.pow(1.4826 * F.col(f"a{i}"), 2) + ridge**2) for i in range(D) for j in range(D)]
-    params = checkpoint(spread.select("_group", F.array(*[f"m{j}" for j in range(D)]).alias("_m"), F.array(*diagonal).alias("_p")))
-    for _ in range(steps):
-        d = _distances(v, params, max_broadcast, kind)
-        limit = checkpoint(d.groupBy("_group").agg(near("_d", support, 10_000).alias("_limit")))
-        params = _estimate(d.join(_hint(limit, max_broadcast), "_group").where("_d <= _limit"), ridge)
+    params = mcd(v, starts, steps, support, ridge, max_broadcast).drop("_logdet")
     scale = checkpoint(_distances(v, params, max_broadcast, kind).groupBy("_group").agg(near("_d", 0.5, 10_000).alias("_median")))
     half, most = chi2_quantile(0.5, D), chi2_quantile(0.975, D)
     d = _distances(v, params, max_broadcast, kind).join(_hint(scale, max_broadcast), "_group")

@@ -218,11 +218,42 @@ def test_outliers(spark, odd, empty):
     assert quality.outliers(odd, min_group=2).count() == 9 and quality.outliers(empty).count() == 0
 
 
-def test_mcd_resists_contamination():
-    """The chi-square quantiles against known values."""
+def test_chi_square_quantiles():
     assert quality.chi2_quantile(0.5, 7) == pytest.approx(6.346, rel=0.01) and quality.chi2_quantile(0.999, 7) == pytest.approx(24.32, rel=0.01)
 
 
+def brute_mcd(x, support, ridge, rng):
+    """Least log-determinant over many random starts, each concentrated to the end."""
+    h, best = int(np.ceil(support * len(x))), (np.inf, None)
+    for _ in range(60):
+        some = x[rng.choice(len(x), 16, False)]
+        for _ in range(15):
+            m, c = some.mean(0), np.cov(some.T, bias=True) + ridge**2 * np.eye(x.shape[1])
+            d = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+            some = x[np.argsort(d)[:h]]
+        det = np.linalg.slogdet(np.cov(some.T, bias=True) + ridge**2 * np.eye(x.shape[1]))[1]
+        best = min(best, (det, some.mean(0).tolist()))
+    return best
+
+
+def test_mcd_resists_contamination(spark):
+    rng = np.random.default_rng(6)
+    rows, parts = [], {}
+    for g in ("a", "b"):
+        mixing = rng.normal(size=(7, 7))
+        x = rng.normal(size=(400, 7)) @ mixing
+        x[:80] = 25 + 0.3 * rng.normal(size=(80, 7))  # a fifth of the group, in one place
+        parts[g] = x
+        rows += [(k, g, *map(float, v)) for k, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "_id bigint, _group string, " + ", ".join(f"_x{j} double" for j in range(7)))
+    found = {r["_group"]: r for r in quality.mcd(v, 4, 6, 0.75, 0.1, 100).collect()}
+    for g, x in parts.items():
+        det, mean = brute_mcd(x, 0.75, 0.1, rng)
+        assert found[g]["_logdet"] <= det + 0.3
+        clean = x[80:].mean(0)
+        assert np.abs(np.array(found[g]["_m"]) - clean).max() < 1.5 and np.abs(np.array(mean) - clean).max() < 1.5 and np.abs(x.mean(0) - clean).max() > 3
+
+
 def naive_likelihood(model, symbols):
     alpha = model.start * model.emit[symbols[0]]
     for s in symbols[1:]:
