@@ -55,11 +55,16 @@ def churn_by_key_filtered(spark, d):
     return relational.churn(table(spark, d, "events"), "event_type", exclude="view")
 
 
-@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS avg_complexity, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 6) AS avg_complexity, count(*) AS n FROM events GROUP BY 1""")
 def avg_complexity_timeline(spark, d):
-    e = table(spark, d, "events")
-    v = F.col("value").cast("decimal(18,4)")
-    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.sum(v).cast("double") / F.count("value")).alias("avg_complexity"), F.count("*").alias("n"))
+    """Days as commits, event values as the complexities of their files."""
+    from plinth.operators import history
+
+    day = F.date_format("ts", "yyyy-MM-dd")
+    e = table(spark, d, "events").select(day.alias("commit"), F.col("value").cast("decimal(18,4)").alias("cyclomatic"))
+    commits = e.groupBy(F.col("commit").alias("hash")).agg(F.count("*").alias("n")).withColumn("ord", F.lit(0)).withColumn("timestamp", F.to_timestamp("hash"))
+    averages = history.average_complexity(commits, e)
+    return averages.join(commits.select("hash", "n"), "hash").select(F.col("hash").alias("day"), F.round(F.col("avg_complexity").cast("double"), 6).alias("avg_complexity"), "n")
 
 
 TREND_SQL = """
@@ -345,22 +350,33 @@ def heatmap(spark, d):
     return relational.cross_tab(n.select(F.col("n_nationkey").alias("c_nationkey")), n.select(F.col("n_nationkey").alias("s_nationkey")), facts, "c_nationkey", "s_nationkey")
 
 
+def documents_as_definitions(spark, d) -> DataFrame:
+    """English documents as functions, German ones as classes, others as methods; a
+    label stands for a docstring, the length for the complexity."""
+    category = F.when(F.col("lang") == "en", "function").when(F.col("lang") == "de", "class").otherwise("method")
+    x = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    return x.select(
+        F.col("source").alias("path"), F.col("doc_id").cast("string").alias("name"), category.alias("category"), F.col("doc_id").alias("start_line"),
+        F.when(F.col("quality").isNotNull(), F.lit("labelled")).alias("docstring"), F.struct(F.col("n_chars").alias("cyclomatic")).alias("metrics"),
+    )
+
+
 @query("""
-SELECT count(*) AS files, count(*) FILTER (lang = 'en') AS functions, count(*) FILTER (lang = 'de') AS classes, sum(n_chars)::DOUBLE / count(*) AS avg_complexity,
-  count(quality)::DOUBLE / count(*) AS documented_share FROM documents LEFT JOIN labels USING (doc_id)
+SELECT count(*) AS files, count(*) FILTER (lang = 'en') AS functions, count(*) FILTER (lang = 'de') AS classes, count(*) FILTER (lang NOT IN ('en', 'de')) AS methods, avg(n_chars) AS avg_complexity,
+  count(quality)::DOUBLE / count(*) AS documented_share, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS orphans, 0 AS variants FROM documents LEFT JOIN labels USING (doc_id)
 """)
 def dashboard_metrics(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
-    return x.agg(
-        F.count("*").alias("files"), F.count_if(F.col("lang") == "en").alias("functions"), F.count_if(F.col("lang") == "de").alias("classes"),
-        (F.sum("n_chars").cast("double") / F.count("*")).alias("avg_complexity"), (F.count("quality").cast("double") / F.count("*")).alias("documented_share"),
-    )
+    from plinth.operators import dashboard
+
+    docs = table(spark, d, "documents").select("doc_id")
+    return dashboard.metrics(docs, documents_as_definitions(spark, d), relational.orphans(docs, table(spark, d, "labels"), "doc_id"))
 
 
 @query("SELECT count(quality) AS documented, count(*) - count(quality) AS undocumented FROM documents LEFT JOIN labels USING (doc_id)")
 def doc_coverage(spark, d):
-    x = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return x.agg(F.count("quality").alias("documented"), F.count_if(F.col("quality").isNull()).alias("undocumented"))
+    from plinth.operators import dashboard
+
+    return dashboard.documentation(documents_as_definitions(spark, d))
 
 
 @query("SELECT doc_id, n_chars AS complexity, 5 + n_chars / 5.0::DOUBLE AS radius FROM documents WHERE n_chars > 10 ORDER BY n_chars DESC, doc_id LIMIT 10")
@@ -369,10 +385,14 @@ def high_complexity_topk(spark, d):
     return relational.top_k(x.withColumn("radius", scalar.bubble_radius("complexity")), "complexity", 10, "doc_id")
 
 
-@query("SELECT source, doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL ORDER BY source, doc_id LIMIT 20")
+@query("""
+SELECT source AS path, doc_id::VARCHAR AS name, CASE lang WHEN 'en' THEN 'function' WHEN 'de' THEN 'class' ELSE 'method' END AS category, doc_id AS start_line
+FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL ORDER BY source, doc_id LIMIT 20
+""")
 def undocumented_topk(spark, d):
-    x = relational.orphans(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id")
-    return x.select("source", "doc_id").orderBy("source", "doc_id").limit(20)
+    from plinth.operators import dashboard
+
+    return dashboard.undocumented(documents_as_definitions(spark, d), 20)
 
 
 @query("SELECT doc_id, coalesce(toxic * 20 > 10, false) OR coalesce(quality * 100 < 65 AND quality * 100 <> 0, false) OR FALSE AS risk_flag FROM documents LEFT JOIN labels USING (doc_id)")
