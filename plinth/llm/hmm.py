@@ -1,21 +1,26 @@
 """Hidden Markov language model: distributed Baum-Welch, exact scaled forward scores.
 
-A document is the sequence of its normalised words, each a symbol: the leading
-``symbol_bits`` bits of the word's hash (every word counts, rare ones share
-symbols).  Training cuts documents into segments of ``segment`` words, all of
-which are used.  Each round, every partition runs the scaled forward-backward
-recursion on its segments and sends its expected counts, as blocks by symbol
-range; they are summed on the executors, and one table of fixed size
-(states x symbols) comes to the driver, which re-estimates the parameters.
-The amount gathered follows the number of input partitions.
-
-Scoring runs the scaled forward recursion over each whole document, so that the
-likelihood is that of the whole sequence, exactly.
+A document is the sequence of its normalised words, each known by its whole 64-bit
+hash.  Documents are put in chunks of about ``CHUNK`` words, each with its own
+vocabulary.  The emission table has a row a distinct word of the corpus and is
+never in one place: each chunk sends the expected counts of its words to the
+parts of a hash range, where they are summed and sent back to the chunks that hold the
+word, so that what is gathered and kept grows with the corpus and its vocabulary.  The
+number of parts follows the vocabularies' size.  Only the sums of a fixed number
+of columns (starts, moves, occupancy of states, log-likelihood) reach the driver.
+
+Training cuts documents into segments of ``segment`` words, all of which are used, and
+stops after ``rounds`` re-estimations, or before where the log-likelihood gains
+less than ``tolerance`` of itself.  A re-estimated emission is the expected count with
+``smoothing`` of the words' own frequencies, so that each state's row sums to 1 over
+the words of the corpus.  Scoring runs the scaled forward recursion over each whole
+document, so that the likelihood is that of the whole sequence, exactly.
 
 Nulls, ties, odd input: a null or empty text has no words, log-likelihood 0 and
 a null ``per_word``; a null id is scored like any other; repeated rows count and
-are scored each; other columns are never read.  An empty table gives an empty
-result (and, for training, the starting model).
+are scored each; a text longer than a chunk is a chunk of its own, trained on in
+slices; other columns are never read.  An empty table, or one without words, gives
+no model to train and an empty result, or zeros.
 """
 
 from __future__ import annotations
@@ -24,15 +29,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from plinth.llm._text import pieces, word_codes
+from plinth.llm._text import BASE, mix, pieces, word_codes
 from plinth.llm._util import checkpoint, quoted, shuffle_partitions
-from plinth.llm.blocks import SCHEMA, gather, grouped, scatter
 
-PIECE = 24 << 20
+CHUNK = 1 << 21  # words
+SLICE = 1 << 20  # words of a chunk in one forward-backward recursion
+PART = 1 << 20  # rows of chunk vocabularies in a part
 
 
 @dataclass
@@ -42,13 +50,29 @@ class Model:
     emit: np.ndarray  # [symbols, states]; each column sums to 1
 
 
-def initial(states: int, symbols: int, unigram: np.ndarray, seed: int = 11) -> Model:
-    """Symbol frequencies, tilted at random for each state."""
-    rng = np.random.default_rng(seed)
-    base = (unigram + 1.0) / (unigram.sum() + symbols)
-    emit = base[:, None] * rng.uniform(0.5, 1.5, (symbols, states))
-    move = rng.uniform(0.5, 1.5, (states, states))
-    return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0, keepdims=True))
+@dataclass
+class Estimate:
+    """What turns summed counts of a word into its emissions; of fixed size."""
+
+    start: np.ndarray
+    move: np.ndarray
+    total: float  # words of the corpus
+    norm: np.ndarray  # [states]: sum of the emission counts over all words
+    mass: float | None  # words' worth of the words' own frequencies; None: frequencies tilted at random
+
+
+def tilt(words: np.ndarray, states: int) -> np.ndarray:
+    """A number from 0.5 to 1.5 for each word and state, the same wherever the word is."""
+    seeds = (np.arange(1, states + 1, dtype=np.uint64) * BASE)[None]
+    return 0.5 + (mix(mix(words[:, None] ^ seeds)) >> np.uint64(11)) * 2.0**-53
+
+
+def emissions(e: Estimate, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Emissions of words from their summed ``[occurrences, expected by state ...]``."""
+    share = counts[:, :1] / max(e.total, 1.0)
+    if e.mass is None:
+        return share * tilt(words, len(e.start)) / e.norm
+    return (counts[:, 1:] + e.mass * share) / (e.norm + e.mass)
 
 
 def time_major(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,122 +153,181 @@ def segments(offsets: np.ndarray, length: int) -> np.ndarray:
     return np.append(offsets[:-1][row] + k * length, offsets[-1])
 
 
-def encode(docs: DataFrame, id_col: str, text_col: str, symbol_bits: int) -> DataFrame:
-    """``_id, _symbols``: two bytes a word."""
+def _binary(values: np.ndarray) -> pa.Array:
+    return pa.array([values.tobytes()], pa.binary())
+
+
+def chunks(docs: DataFrame, id_col: str, text_col: str, words: int = CHUNK) -> DataFrame:
+    """``_c, _n, _ids, _ends, _symbols, _vocab``: a row a chunk, the symbols being places in its vocabulary."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def close() -> pa.RecordBatch:
+            symbols, vocab = pd.factorize(np.concatenate([c for _, c, _ in held]))
+            ids = pa.chunked_array([i for i, _, _ in held]).combine_chunks()
+            ends = np.cumsum(np.concatenate([n for _, _, n in held]))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            columns = [pa.array([number]), pa.array([len(vocab)], pa.int64()), lists, _binary(ends.astype("<i8")), _binary(symbols.astype("<u4")), _binary(vocab.astype("<u8"))]
+            return pa.RecordBatch.from_arrays(columns, names=["_c", "_n", "_ids", "_ends", "_symbols", "_vocab"])
+
         for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
             codes, offsets = word_codes(batch.column("_text"))
-            s = (codes >> np.uint64(64 - symbol_bits)).astype("<u2")
-            blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer((offsets * 2).astype(np.int64)), pa.py_buffer(s.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), blob.cast(pa.binary())], names=["_id", "_symbols"])
-
-    return docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).mapInArrow(run, f"_id {kind}, _symbols binary")
-
-
-def decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return np.frombuffer(data.tobytes(), "<u2").astype(np.int64), (offsets - offsets[0]) // 2
-
-
-def large_pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
-    """Tables of about ``limit`` bytes of symbols, over batch ends, so that a step
-    of the recursion has many rows."""
-    held, size = [], 0
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column("_symbols")).to_numpy(zero_copy_only=False), dtype=np.int64)
-        lo = 0
-        while lo < len(batch):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
-            held.append(batch.slice(lo, hi - lo))
-            size += int(ends[hi - 1] - (ends[lo - 1] if lo else 0))
-            lo = hi
-            if size >= limit:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _round(encoded: DataFrame, states: int, n_symbols: int, model: Model | None, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts over all partitions; without a model only symbol counts."""
-    width = 1 if model is None else states
-    parts = min(shuffle_partitions(encoded.sparkSession), 64)
-    record = np.dtype([("symbol", "<i4"), ("n", "<f4", (width,))])
-    head = states + states * states + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extra, emit = np.zeros(head), np.zeros((n_symbols, width))
-        for table in large_pieces(batches, 1 << 21):
-            symbols, offsets = decode(table.column("_symbols").combine_chunks())
-            if model is None:
-                emit[:, 0] += np.bincount(symbols, minlength=n_symbols)
-                continue
-            start, move, e, likelihood = expected(model, symbols, segments(offsets, segment), n_symbols)
-            emit += e
-            extra += np.concatenate([start, move.ravel(), [likelihood]])
-        some = np.flatnonzero(emit.any(1))
-        r = np.empty(len(some), record)
-        r["symbol"], r["n"] = some, emit[some].reshape(len(some), width)
-        yield scatter(some % parts, r)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([extra.tobytes()], pa.binary())], names=["_p", "_d"])
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + words - size, "right")) - 1)
+                held.append((batch.column("_id").slice(lo, hi - lo), codes[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1])))
+                size += int(offsets[hi] - offsets[lo])
+                lo = hi
+                if size >= words or lo < len(batch):
+                    yield close()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield close()
+
+    made = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("string").alias("_text")).mapInArrow(
+        run, f"_c bigint, _n bigint, _ids array<{kind}>, _ends binary, _symbols binary, _vocab binary"
+    )
+    return made.repartition(shuffle_partitions(docs.sparkSession), "_c").sortWithinPartitions("_c")  # later cogroups find them in place
+
+
+UP = "_p int, _c bigint, _d binary, _h array<double>"
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, offsets and vocabulary of a chunk."""
+    get = lambda name, kind: np.frombuffer(table.column(name)[0].as_buffer(), kind)
+    return get("_symbols", "<u4").astype(np.int64), np.concatenate([[0], get("_ends", "<i8")]), get("_vocab", "<u8")
+
+
+def _record(states: int, word: bool) -> np.dtype:
+    return np.dtype([("word", "<u8")] * word + [("at", "<u4"), ("n", "<f4", (1 + states,))])
+
+
+def _send(chunk: int, vocab: np.ndarray, counts: np.ndarray, head: np.ndarray, parts: int) -> pa.Table:
+    """The counts of a chunk's words, a block a part, and its sums as part -1."""
+    r = np.empty(len(vocab), _record(counts.shape[1] - 1, True))
+    r["word"], r["at"], r["n"] = vocab, np.arange(len(vocab)), counts
+    part = (mix(vocab) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, r = part[order], r[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+    blocks = [None, *(r[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+    heads = [head.tolist()] + [None] * (len(blocks) - 1)
+    to = np.concatenate([[-1], part[cuts[:-1]]]).astype(np.int32)
+    return pa.table({"_p": to, "_c": np.full(len(to), chunk), "_d": pa.array(blocks, pa.binary()), "_h": pa.array(heads, pa.list_(pa.float64()))})
+
+
+def _sums(up: DataFrame, width: int) -> np.ndarray:
+    row = up.where("_p = -1").agg(*[F.sum(F.col("_h")[k]).alias(f"h{k}") for k in range(width)]).first()
+    return np.array([x or 0.0 for x in row])
+
+
+def _back(up: DataFrame, states: int) -> DataFrame:
+    """``_c, _d``: to each chunk the counts of its words, summed over all chunks."""
+    sent, returned = _record(states, True), _record(states, False)
 
     def add(table: pa.Table) -> pa.Table:
-        p = table.column("_p")[0].as_py()
-        if p < 0:
-            blob = sum(np.frombuffer(x.as_py()) for x in table.column("_d")).tobytes()
-        else:
-            r = gather(table, record)
-            symbols, back = np.unique(r["symbol"], return_inverse=True)
-            out = np.empty(len(symbols), np.dtype([("symbol", "<i4"), ("n", "<f8", (width,))]))
-            out["symbol"] = symbols
-            n = r["n"].reshape(len(r), width)
-            for k in range(width):
-                out["n"].reshape(len(out), width)[:, k] = np.bincount(back, n[:, k], len(symbols))
-            blob = out.tobytes()
-        return pa.table({"_p": pa.array([p], pa.int32()), "_d": pa.array([blob], pa.binary())})
-
-    emit, extra = np.zeros((n_symbols, width)), np.zeros(head)
-    for row in grouped(encoded.select("_symbols").mapInArrow(count, SCHEMA), add).collect():  # states x symbols numbers, whatever the input
-        if row["_p"] < 0:
-            extra = np.frombuffer(bytes(row["_d"]))
-        else:
-            r = np.frombuffer(bytes(row["_d"]), np.dtype([("symbol", "<i4"), ("n", "<f8", (width,))]))
-            emit[r["symbol"]] = r["n"].reshape(len(r), width)
-    return extra[:states], extra[states:-1].reshape(states, states), emit, float(extra[-1])
-
-
-def train(encoded: DataFrame, states: int = 6, symbol_bits: int = 16, rounds: int = 3, segment: int = 256, smoothing: float = 0.1) -> tuple[Model, list[float]]:
-    """The model and the log-likelihood before each re-estimation."""
-    n_symbols = 1 << symbol_bits
-    unigram = _round(encoded, states, n_symbols, None, segment)[2][:, 0]
-    model, trace = initial(states, n_symbols, unigram), []
-    base = (unigram + 1.0) / (unigram.sum() + n_symbols)
-    for _ in range(rounds):
-        start, move, emit, likelihood = _round(encoded, states, n_symbols, model, segment)
-        trace.append(likelihood)
-        emit = emit + smoothing * n_symbols / states * base[:, None]
-        move, start = move + 1.0, start + 1.0
-        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0, keepdims=True))
-    return model, trace
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 6, symbol_bits: int = 16, rounds: int = 3, segment: int = 256) -> DataFrame:
+        blocks = [np.frombuffer(x.as_buffer(), sent) for chunk in table.column("_d").chunks for x in chunk]
+        r = np.concatenate(blocks)
+        back, words = pd.factorize(r["word"])
+        total = np.stack([np.bincount(back, r["n"][:, k], len(words)) for k in range(1 + states)], 1)
+        out = np.empty(len(r), returned)
+        out["at"], out["n"] = r["at"], total[back]
+        ends = np.cumsum([len(b) for b in blocks])
+        return pa.table({"_c": table.column("_c"), "_d": pa.array([out[b - len(x) : b].tobytes() for x, b in zip(blocks, ends, strict=True)], pa.binary())})
+
+    return up.where("_p >= 0").select("_p", "_c", "_d").groupBy("_p").applyInArrow(add, "_c bigint, _d binary")
+
+
+def _counts(table: pa.Table, n: int, states: int) -> np.ndarray:
+    out = np.zeros((n, 1 + states))
+    for chunk in table.column("_d").chunks:
+        for x in chunk:
+            r = np.frombuffer(x.as_buffer(), _record(states, False))
+            out[r["at"]] = r["n"]
+    return out
+
+
+def count_words(chunked: DataFrame, states: int, parts: int) -> DataFrame:
+    """The first message of each chunk: occurrences of its words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        symbols, _, vocab = _unpack(table)
+        counts = np.zeros((len(vocab), 1 + states))
+        counts[:, 0] = np.bincount(symbols, minlength=len(vocab))
+        head = np.append(counts[:, 0] @ tilt(vocab, states), len(symbols))
+        return _send(table.column("_c")[0].as_py(), vocab, counts, head, parts)
+
+    return chunked.select("_c", "_ends", "_symbols", "_vocab").groupBy("_c").applyInArrow(run, UP)
+
+
+def chunk_counts(model: Model, symbols: np.ndarray, offsets: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected emissions of a chunk, and its sums: starts, moves, occupancy, log-likelihood."""
+    cut = segments(offsets, segment)
+    emit, states, lo = np.zeros_like(model.emit), len(model.start), 0
+    head = np.zeros(2 * states + states * states + 1)
+    while lo < len(cut) - 1:
+        hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + SLICE, "right")) - 1)
+        start, move, e, likelihood = expected(model, symbols[cut[lo] : cut[hi]], cut[lo : hi + 1] - cut[lo], len(emit))
+        emit += e
+        head += np.concatenate([start, move.ravel(), e.sum(0), [likelihood]])
+        lo = hi
+    return emit, head
+
+
+def expect(chunked: DataFrame, back: DataFrame, e: Estimate, segment: int, parts: int) -> DataFrame:
+    """One round: the next message of each chunk."""
+    states = len(e.start)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        symbols, offsets, vocab = _unpack(left)
+        emit = emissions(e, vocab, _counts(right, len(vocab), states))
+        counts, head = chunk_counts(Model(e.start, e.move, emit), symbols, offsets, segment)
+        counts = np.column_stack([np.bincount(symbols, minlength=len(vocab)), counts])
+        return _send(left.column("_c")[0].as_py(), vocab, counts, head, parts)
+
+    used = chunked.select("_c", "_ends", "_symbols", "_vocab")
+    return used.groupBy("_c").cogroup(back.groupBy("_c")).applyInArrow(run, UP)
+
+
+def train(chunked: DataFrame, states: int = 6, rounds: int = 3, segment: int = 256, smoothing: float = 0.01, tolerance: float = 1e-4) -> tuple[Estimate, DataFrame, list[float]]:
+    """The estimate, the summed counts sent to each chunk (with it the
+    model) and the log-likelihood before each re-estimation."""
+    vocabularies = chunked.agg(F.sum("_n")).first()[0] or 0
+    parts = -(-vocabularies // PART) or 1
+    up = checkpoint(count_words(chunked, states, parts))
+    sums = _sums(up, states + 1)
+    rng = np.random.default_rng(11)
+    move, total = rng.uniform(0.5, 1.5, (states, states)), float(sums[-1])
+    e = Estimate(np.full(states, 1 / states), move / move.sum(1, keepdims=True), total, sums[:-1] / total if total else np.ones(states), None)
+    trace: list[float] = []
+    for _ in range(rounds if total else 0):
+        up = checkpoint(expect(chunked, _back(up, states), e, segment, parts))
+        sums = _sums(up, 2 * states + states * states + 1)
+        start, move, norm = sums[:states] + 1.0, sums[states : states + states * states].reshape(states, states) + 1.0, sums[-1 - states : -1]
+        e = Estimate(start / start.sum(), move / move.sum(1, keepdims=True), total, norm, smoothing * total / states)
+        trace.append(float(sums[-1]))
+        if len(trace) > 1 and trace[-1] - trace[-2] < tolerance * abs(trace[-2]):
+            break
+    return e, _back(up, states), trace
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 6, rounds: int = 3, segment: int = 256, smoothing: float = 0.01, tolerance: float = 1e-4) -> DataFrame:
     """Train on all documents and score each: ``id, n_words, log_likelihood, per_word``."""
-    if not 1 <= symbol_bits <= 16 or states < 1:
-        raise ValueError("1 <= symbol_bits <= 16 and states >= 1")
-    encoded = checkpoint(encode(docs, id_col, text_col, symbol_bits))
-    model, _ = train(encoded, states, symbol_bits, rounds, segment)
+    if states < 1 or rounds < 0 or smoothing < 0:
+        raise ValueError("states >= 1, rounds >= 0 and smoothing >= 0")
+    chunked = checkpoint(chunks(docs, id_col, text_col))
+    e, back, _ = train(chunked, states, rounds, segment, smoothing, tolerance)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in large_pieces(batches, PIECE):
-            symbols, offsets = decode(table.column("_symbols").combine_chunks())
-            n, likelihood = np.diff(offsets), forward(model, symbols, offsets)
-            mean = pa.array(likelihood / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([table.column("_id").combine_chunks(), pa.array(n), pa.array(likelihood), mean], names=["_id", "n_words", "log_likelihood", "per_word"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        symbols, offsets, vocab = _unpack(left)
+        model = Model(e.start, e.move, emissions(e, vocab, _counts(right, len(vocab), states)))
+        n, likelihood = np.diff(offsets), forward(model, symbols, offsets)
+        mean = pa.array(likelihood / np.maximum(n, 1), mask=n == 0)
+        return pa.table({"_id": left.column("_ids").combine_chunks().flatten(), "n_words": n, "log_likelihood": likelihood, "per_word": mean})
 
-    return encoded.mapInArrow(run, f"_id {kind}, n_words bigint, log_likelihood double, per_word double").withColumnRenamed("_id", id_col)
+    scored = chunked.drop("_n").groupBy("_c").cogroup(back.groupBy("_c")).applyInArrow(run, f"_id {kind}, n_words bigint, log_likelihood double, per_word double")
+    return scored.withColumnRenamed("_id", id_col)

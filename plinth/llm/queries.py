@@ -102,7 +102,7 @@ def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every document under a model trained on all of them."""
-    return hmm.score(table(spark, sf_dir, "documents"), states=6, symbol_bits=16, rounds=3)
+    return hmm.score(table(spark, sf_dir, "documents"), states=6, rounds=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

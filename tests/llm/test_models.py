@@ -282,7 +282,8 @@ def all_paths(model, symbols):
 
 def test_forward_and_counts_are_exact():
     rng = np.random.default_rng(4)
-    model = hmm.initial(3, 8, rng.integers(1, 9, 8).astype(float))
+    e = hmm.Estimate(np.full(3, 1 / 3), np.array([[0.5, 0.3, 0.2], [0.1, 0.6, 0.3], [0.3, 0.3, 0.4]]), 40.0, np.ones(3), None)
+    model = hmm.Model(e.start, e.move, hmm.emissions(e, np.arange(8, dtype=np.uint64), np.column_stack([rng.integers(1, 9, 8), np.zeros((8, 3))])))
     rows = [rng.integers(0, 8, n) for n in (5, 0, 1, 7, 3)]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     flat = np.concatenate(rows)
@@ -295,18 +296,59 @@ def test_forward_and_counts_are_exact():
     assert hmm.segments(np.array([0, 5, 5, 6]), 2).tolist() == [0, 2, 4, 5, 6]
 
 
+def serial(texts, states, rounds, segment, smoothing):
+    """The same model by one table in one place, segment by segment: log-likelihoods and trace."""
+    codes, offsets = hmm.word_codes(pa.array(texts, pa.string()))
+    words, symbols = np.unique(codes, return_inverse=True)
+    counts = np.bincount(symbols, minlength=len(words)).astype(float)
+    emit = counts[:, None] * hmm.tilt(words, states)
+    move = np.random.default_rng(11).uniform(0.5, 1.5, (states, states))
+    model, trace = hmm.Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0)), []
+    for _ in range(rounds):
+        start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros((len(words), states)), 0.0
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            for lo in range(a, b, segment):
+                part = symbols[lo : min(lo + segment, b)]
+                got = hmm.expected(model, part, np.array([0, len(part)]), len(words))
+                start, move, emit, total = start + got[0], move + got[1], emit + got[2], total + got[3]
+        trace.append(total)
+        emit = emit + smoothing * len(codes) / states * (counts / len(codes))[:, None]
+        start, move = start + 1, move + 1
+        model = hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    return [naive_likelihood(model, symbols[a:b]) if b > a else 0.0 for a, b in zip(offsets[:-1], offsets[1:], strict=True)], trace
+
+
+def switching(seed=2, n=60):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"{'ab'[t // 5 % 2]}{rng.integers(9)}" for t in range(k)) for k in rng.integers(0, 90, n)]
+
+
+def test_distributed_training_equals_serial(spark, odd):
+    texts = switching()
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], odd.schema).repartition(3)
+    want, likelihoods = serial(texts, 3, 4, 16, 0.01)
+    for words in (1, 100, 1 << 21):  # chunks of a document, of a few, of a partition
+        chunked = hmm.checkpoint(hmm.chunks(docs, "doc_id", "text", words))
+        assert (chunked.count() > 40) == (words == 1)
+        assert hmm.train(chunked, 3, 4, 16, 0.01, 0.0)[2] == pytest.approx(likelihoods, rel=1e-5)
+    got = {r["doc_id"]: r["log_likelihood"] for r in hmm.score(docs, states=3, rounds=4, segment=16, tolerance=0.0).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-4)
+
+
 def test_training_raises_the_likelihood(spark, odd):
-    rng = np.random.default_rng(2)
-    rows = [(k, " ".join(f"{'ab'[t // 5 % 2]}{rng.integers(9)}" for t in range(60)), None, None, 0) for k in range(60)]
-    docs = spark.createDataFrame(rows, odd.schema)
-    encoded = hmm.encode(docs, "doc_id", "text", 10)
-    model, trace = hmm.train(encoded, states=3, symbol_bits=10, rounds=5, smoothing=0.0)
-    assert all(b > a for a, b in zip(trace, trace[1:], strict=False))
-    assert model.move.sum(1) == pytest.approx(1) and model.emit.sum(0) == pytest.approx(1)
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(switching())], odd.schema)
+    chunked = hmm.checkpoint(hmm.chunks(docs, "doc_id", "text"))
+    estimate, back, trace = hmm.train(chunked, states=3, rounds=6, smoothing=0.0, tolerance=0.0)
+    assert all(b > a for a, b in zip(trace, trace[1:], strict=False)) and estimate.move.sum(1) == pytest.approx(1)
+    assert len(hmm.train(chunked, states=3, rounds=50, tolerance=0.5)[2]) == 2  # stops where little is gained
+    words = np.frombuffer(chunked.first()["_vocab"], "<u8")
+    counts = hmm._counts(pa.table({"_d": pa.array([bytes(r["_d"]) for r in back.collect()], pa.binary())}), len(words), 3)
+    assert hmm.emissions(estimate, words, counts).sum(0) == pytest.approx(1, abs=1e-5)
 
 
 def test_scores_odd_rows(odd, empty):
-    out = {(r["doc_id"], r["n_words"]): r for r in hmm.score(clash(odd), states=2, symbol_bits=8, rounds=1).collect()}
+    out = {(r["doc_id"], r["n_words"]): r for r in hmm.score(clash(odd), states=2, rounds=1).collect()}
     assert out[(2, 0)]["log_likelihood"] == 0 and out[(2, 0)]["per_word"] is None and out[(3, 0)]["per_word"] is None
     assert out[(1, 6)]["log_likelihood"] == pytest.approx(out[(6, 6)]["log_likelihood"]) and out[(5, 30000)]["log_likelihood"] < -30000
-    assert hmm.score(empty, states=2, symbol_bits=8, rounds=1).count() == 0
+    assert hmm.score(empty, states=2, rounds=1).count() == 0
+    assert [r["log_likelihood"] for r in hmm.score(odd.where("doc_id in (2, 3)"), states=2, rounds=1).collect()] == [0.0] * odd.where("doc_id in (2, 3)").count()
