@@ -350,9 +350,10 @@ def learn_lexicon(
     chosen = ranked.where(F.col("_n") <= max_labelled).select("_id", "_y")
     text = F.lower(quoted(text_col).cast("string"))
     words = (
-        docs.select(quoted(id_col).alias("_id"), quoted(lang_col).alias("_lang"), F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-        .join(F.broadcast(chosen), "_id")  # at most 2 * max_labelled rows a language
+        docs.select(quoted(id_col).alias("_id"), quoted(lang_col).alias("_lang"), text.alias("_text"))
         .where("_lang is not null")
+        .join(F.broadcast(chosen), "_id")  # at most 2 * max_labelled rows a language
+        .select("_id", "_lang", "_y", F.array_distinct(F.regexp_extract_all("_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
     )
 
     def stems_of(k: int):
