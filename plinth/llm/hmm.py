@@ -25,6 +25,7 @@ no model to train and an empty result, or zeros.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +33,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm._text import BASE, mix, pieces, word_codes
-from plinth.llm._util import checkpoint, quoted, shuffle_partitions
+from plinth.llm._util import checkpoint, ensure_checkpoint_dir, quoted, shuffle_partitions
+from plinth.llm.blocks import release
 
 CHUNK = 1 << 21  # words
 SLICE = 1 << 20  # words of a chunk in one forward-backward recursion
@@ -169,7 +171,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, words: int = CHUNK) -> D
             ids = pa.chunked_array([i for i, _, _ in held]).combine_chunks()
             ends = np.cumsum(np.concatenate([n for _, _, n in held]))
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            columns = [pa.array([number]), pa.array([len(vocab)], pa.int64()), lists, _binary(ends.astype("<i8")), _binary(symbols.astype("<u4")), _binary(vocab.astype("<u8"))]
+            columns = [pa.array([number]), pa.array([len(vocab)], pa.int64()), lists, _binary(ends.astype("<i8")), _binary(symbols.astype("<u2" if len(vocab) <= 1 << 16 else "<u4")), _binary(vocab.astype("<u8"))]
             return pa.RecordBatch.from_arrays(columns, names=["_c", "_n", "_ids", "_ends", "_symbols", "_vocab"])
 
         for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
@@ -192,13 +194,41 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, words: int = CHUNK) -> D
     return made.repartition(shuffle_partitions(docs.sparkSession), "_c").sortWithinPartitions("_c")  # later cogroups find them in place
 
 
+def settled(chunked: DataFrame) -> DataFrame:
+    """Checkpoint of the chunks that keeps their partitioning and order, which that of an
+    adaptive plan doesn't, so that no round shuffles them again."""
+    conf = chunked.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpoint(chunked)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
+class Rounds:
+    """The messages of each round, written in the shared folder in place of those before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{ensure_checkpoint_dir(spark)}/hmm-{uuid.uuid4().hex}", 0
+
+    def write(self, up: DataFrame) -> DataFrame:
+        self.n += 1
+        up.write.parquet(f"{self.folder}/{self.n}", compression="zstd")
+        old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.n - 1}")
+        old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        release(self.spark)
+        return self.spark.read.schema(UP).parquet(f"{self.folder}/{self.n}")
+
+
 UP = "_p int, _c bigint, _d binary, _h array<double>"
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, offsets and vocabulary of a chunk."""
     get = lambda name, kind: np.frombuffer(table.column(name)[0].as_buffer(), kind)
-    return get("_symbols", "<u4").astype(np.int64), np.concatenate([[0], get("_ends", "<i8")]), get("_vocab", "<u8")
+    vocab = get("_vocab", "<u8")
+    return get("_symbols", "<u2" if len(vocab) <= 1 << 16 else "<u4").astype(np.int64), np.concatenate([[0], get("_ends", "<i8")]), vocab
 
 
 def _record(states: int, word: bool) -> np.dtype:
@@ -297,14 +327,15 @@ def train(chunked: DataFrame, states: int = 6, rounds: int = 3, segment: int = 2
     model) and the log-likelihood before each re-estimation."""
     vocabularies = chunked.agg(F.sum("_n")).first()[0] or 0
     parts = -(-vocabularies // PART) or 1
-    up = checkpoint(count_words(chunked, states, parts))
+    messages = Rounds(chunked.sparkSession)
+    up = messages.write(count_words(chunked, states, parts))
     sums = _sums(up, states + 1)
     rng = np.random.default_rng(11)
     move, total = rng.uniform(0.5, 1.5, (states, states)), float(sums[-1])
     e = Estimate(np.full(states, 1 / states), move / move.sum(1, keepdims=True), total, sums[:-1] / total if total else np.ones(states), None)
     trace: list[float] = []
     for _ in range(rounds if total else 0):
-        up = checkpoint(expect(chunked, _back(up, states), e, segment, parts))
+        up = messages.write(expect(chunked, _back(up, states), e, segment, parts))
         sums = _sums(up, 2 * states + states * states + 1)
         start, move, norm = sums[:states] + 1.0, sums[states : states + states * states].reshape(states, states) + 1.0, sums[-1 - states : -1]
         e = Estimate(start / start.sum(), move / move.sum(1, keepdims=True), total, norm, smoothing * total / states)
@@ -318,7 +349,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     """Train on all documents and score each: ``id, n_words, log_likelihood, per_word``."""
     if states < 1 or rounds < 0 or smoothing < 0:
         raise ValueError("states >= 1, rounds >= 0 and smoothing >= 0")
-    chunked = checkpoint(chunks(docs, id_col, text_col))
+    chunked = settled(chunks(docs, id_col, text_col))
     e, back, _ = train(chunked, states, rounds, segment, smoothing, tolerance)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -328,10 +328,12 @@ def test_distributed_training_equals_serial(spark, odd):
     docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], odd.schema).repartition(3)
     want, likelihoods = serial(texts, 3, 4, 16, 0.01)
     for words in (1, 100, 1 << 21):  # chunks of a document, of a few, of a partition
-        chunked = hmm.checkpoint(hmm.chunks(docs, "doc_id", "text", words))
+        chunked = hmm.settled(hmm.chunks(docs, "doc_id", "text", words))
         assert (chunked.count() > 40) == (words == 1)
         assert hmm.train(chunked, 3, 4, 16, 0.01, 0.0)[2] == pytest.approx(likelihoods, rel=1e-5)
-    got = {r["doc_id"]: r["log_likelihood"] for r in hmm.score(docs, states=3, rounds=4, segment=16, tolerance=0.0).collect()}
+    scored = hmm.score(docs, states=3, rounds=4, segment=16, tolerance=0.0)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(_c") == 1  # chunks stay in place
+    got = {r["doc_id"]: r["log_likelihood"] for r in scored.collect()}
     assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-4)
 
 
