@@ -6,15 +6,18 @@ maxima of the Harris response above a share of the largest; each gets an
 orientation (the direction of the intensity centroid) and 128 intensity
 comparisons in the patch turned to it.
 
-The Hamming join has tables of ``key_bits`` sampled bits each: corners that agree
-on a table's bits are compared, and match if they differ in at most
+The images, in order of their ids, are put in blocks of about 512 * ``hot_word``
+corners, kept in the shared folder.  Each pair of blocks is compared on its own, so
+that all matches of two images meet in one task: only copies leave it, and nothing
+is shuffled between blocks.  Corners take the room of the input; the comparisons,
+like the matches by chance, grow with the square of the corners.
+
+In a pair of blocks there are tables of ``key_bits`` sampled bits each: corners that
+agree on a table's bits are compared, and match if they differ in at most
 ``max_distance`` of all bits.  There are as many tables as find a pair that differs
 in just ``max_distance`` bits, wherever they are, with probability ``recall``.
-Each match comes from the first table in which its corners meet.  Keys that more
-than 16 * ``hot_word`` corners have (common patterns, many copies of one image)
-are cut in blocks of about that size by a hash of the corner, and each pair of
-blocks is compared on its own, so that no key falls to one task.  Matches by
-chance are part of the join and grow with the square of the corners.
+Each match comes from the first table in which its corners meet.  Common keys are
+compared in pieces of at most ``CHUNK`` pairs, whole.
 
 Every match of an image pair proposes a similarity transform (turn, scale,
 shift); the pair is a copy when at least ``min_inliers`` matches at distinct
@@ -35,14 +38,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm._text import as_array
 from plinth.llm._util import checkpoint, quoted, shuffle_partitions
 
 RADIUS, BITS, TURNS = 11, 128, 36
-CHUNK = 1 << 20
+CHUNK = 1 << 16  # corner pairs compared at once
+PART = 1 << 16  # corners of a block compared at once with all of another
+MATCHES = 1 << 22  # held at once
 
 
 def _png(data: bytes) -> np.ndarray | None:
@@ -237,21 +242,120 @@ def table_bits(tables: int, key_bits: int) -> np.ndarray:
     return np.array(out)
 
 
-def near(h: np.ndarray, low: np.ndarray, earlier: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows, first < second, at most ``max_distance`` apart that differ within each mask of ``earlier``."""
-    n = len(h)
-    step = max(1, CHUNK // n)
-    for lo in range(0, n - 1, step):
-        hi = min(n, lo + step)
-        apart = np.bitwise_count(h[lo:hi, None] ^ h[lo:]) + np.bitwise_count(low[lo:hi, None] ^ low[lo:])
-        i, j = np.nonzero(apart <= max_distance)
-        i, j = i[i < j] + lo, j[i < j] + lo
-        x, y = h[i] ^ h[j], low[i] ^ low[j]
-        new = np.ones(len(i), bool)
-        for a, b in earlier:
-            new &= (x & a | y & b) != 0
-        if new.any():
-            yield i[new], j[new]
+def near(ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the one side and of the other at most ``max_distance`` bits apart."""
+    step = max(1, CHUNK // len(hb))
+    for lo in range(0, len(ha), step):
+        apart = np.bitwise_count(ha[lo : lo + step, None] ^ hb)
+        apart += np.bitwise_count(la[lo : lo + step, None] ^ lb)
+        hit = np.flatnonzero(apart <= max_distance)
+        yield hit // len(hb) + lo, hit % len(hb)
+
+
+def table_keys(c: np.ndarray, chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table the corners in the order of their keys, and where each key begins."""
+    single = np.unpackbits(np.stack([c["h"], c["l"]], 1).view(np.uint8), axis=1)
+    out, bits = [], chosen.shape[1]
+    for at in chosen:
+        key = np.zeros(len(c), np.int32)
+        for k, bit in enumerate(at):
+            key |= single[:, bit].astype(np.int32) << k
+        order = np.argsort(key, kind="stable")
+        out.append((order.astype(np.int32), np.searchsorted(key[order], np.arange((1 << bits) + 1))))
+    return out
+
+
+def matches(a: np.ndarray, b: np.ndarray, b_keys: list, chosen: np.ndarray, masks: np.ndarray, max_distance: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places in ``a`` and ``b`` of the corners that agree on a table and are near, each
+    pair once; None where there are more than ``limit``."""
+    found_a, found_b, n, held = [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0, 0
+    for t, ((order_a, start_a), (order_b, start_b)) in enumerate(zip(table_keys(a, chosen), b_keys, strict=True)):
+        ha, la, hb, lb = a["h"][order_a], a["l"][order_a], b["h"][order_b], b["l"][order_b]
+        for key in np.flatnonzero((np.diff(start_a) > 0) & (np.diff(start_b) > 0)):
+            x, y = slice(start_a[key], start_a[key + 1]), slice(start_b[key], start_b[key + 1])
+            for i, j in near(ha[x], la[x], hb[y], lb[y], max_distance):
+                if len(i):
+                    found_a.append(order_a[i + x.start]), found_b.append(order_b[j + y.start])
+                    n += len(i)
+                    if limit is not None and n > limit:
+                        return None
+        # those of this table that an earlier one found are left out at once
+        i, j = np.concatenate(found_a[1:]) if len(found_a) > 1 else found_a[0], np.concatenate(found_b[1:]) if len(found_b) > 1 else found_b[0]
+        if t == 0:
+            all_a, all_b = [i], [j]
+        else:
+            x, y = a["h"][i] ^ b["h"][j], a["l"][i] ^ b["l"][j]
+            new = np.ones(len(i), bool)
+            for one, two in masks[:t]:
+                new &= (x & one | y & two) != 0
+            all_a.append(i[new]), all_b.append(j[new])
+        held += len(all_a[-1])
+        found_a, found_b, n = found_a[:1], found_b[:1], held
+    return np.concatenate(all_a), np.concatenate(all_b)
+
+
+def promising(ms: np.ndarray, first: np.ndarray, sizes: np.ndarray, min_inliers: int, tolerance: float) -> np.ndarray:
+    """Of groups of matches those of which one's transform fits at least ``min_inliers``,
+    distinct or not; no group with that many at distinct places is left out."""
+    out = np.zeros(len(first), bool)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        step = max(1, (CHUNK >> 2) // int(n * n))
+        for lo in range(0, len(at), step):
+            rows = at[lo : lo + step]
+            m = ms[(first[rows, None] + np.arange(n)).ravel()].reshape(len(rows), n, 8)
+            a, s = m[:, :, 7] - m[:, :, 3], m[:, :, 6] / m[:, :, 2]
+            ca, sa = np.cos(a) * s, np.sin(a) * s
+            dy, dx = m[:, :, 4] - (ca * m[:, :, 0] + sa * m[:, :, 1]), m[:, :, 5] - (ca * m[:, :, 1] - sa * m[:, :, 0])
+            y, x = m[:, None, :, 0], m[:, None, :, 1]
+            py = ca[:, :, None] * y + sa[:, :, None] * x + dy[:, :, None]
+            px = ca[:, :, None] * x - sa[:, :, None] * y + dx[:, :, None]
+            fits = (py - m[:, None, :, 4]) ** 2 + (px - m[:, None, :, 5]) ** 2 <= (tolerance * np.maximum(1, m[:, None, :, 6])) ** 2
+            out[rows] = fits.sum(2).max(1) >= min_inliers
+    return out
+
+
+CORNER = np.dtype([("place", "<i8"), ("h", "<u8"), ("l", "<u8")])
+
+
+def block_copies(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, same: bool, chosen: np.ndarray, masks: np.ndarray, max_distance: int, min_inliers: int, tolerance: float) -> Iterator[tuple]:
+    """(image of a, image of b, inliers, scale, turn, dy, dx) of the copies of two blocks
+    of whole images, or of one (``same``), each pair of its images once."""
+    image_b = np.repeat(np.arange(len(ends_b)), np.diff(ends_b, prepend=0))
+    b_keys = table_keys(b, chosen)
+    lo, part = 0, PART
+    while lo < len(ends_a):  # some images at a time, fewer where copies are many, so that the matches of few are held
+        begin = ends_a[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends_a, begin + part, "right")))
+        own = a[begin : ends_a[hi - 1]]
+        image_a = np.repeat(np.arange(lo, hi), np.diff(ends_a[lo:hi], prepend=begin))
+        both = matches(own, b, b_keys, chosen, masks, max_distance, MATCHES if hi - lo > 1 else None)
+        if both is None:
+            part = max(1, (ends_a[hi - 1] - begin) // 4)
+            continue
+        i, j = both
+        pair = (image_a[i] - lo) * len(ends_b) + image_b[j]
+        often = np.bincount(pair, minlength=(hi - lo) * len(ends_b)) >= min_inliers
+        if same:
+            often &= (np.arange(lo, hi)[:, None] < np.arange(len(ends_b))).ravel()
+        kept = np.flatnonzero(often[pair])
+        kept = kept[np.argsort(pair[kept], kind="stable")]
+        i, j, pair = i[kept], j[kept], pair[kept]
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        sizes = np.diff(np.append(first, len(pair)))
+        places = np.stack([own["place"][i], b["place"][j]], 1)
+        at = 0
+        while at < len(first):  # about PART << 2 matches at once
+            to = max(at + 1, int(np.searchsorted(first, first[at] + (PART << 2), "left")))
+            x = slice(first[at], first[to] if to < len(first) else len(pair))
+            ms = np.hstack([unpack_places(places[x, 0]), unpack_places(places[x, 1])])
+            for k in np.flatnonzero(promising(ms, first[at:to] - first[at], sizes[at:to], min_inliers, tolerance)) + at:
+                both = np.unique(places[first[k] : first[k] + sizes[k]], axis=0)
+                best = consensus(np.hstack([unpack_places(both[:, 0]), unpack_places(both[:, 1])]), tolerance)
+                if best[0] >= min_inliers:
+                    yield int(pair[first[k]] // len(ends_b) + lo), int(pair[first[k]] % len(ends_b)), *best
+            at = to
+        lo = hi
 
 
 def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", min_inliers: int = 6, max_distance: int = 16, tolerance: float = 4.0, hot_word: int = 256, key_bits: int = 12, recall: float = 0.9) -> DataFrame:
@@ -265,83 +369,58 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, bits, n = batch.column("_id"), [], [], []
+            found = []
             for data in batch.column("_image"):
                 image = decode(data.as_py())
                 p, b = descriptors(image) if image is not None else (np.empty((0, 4)), np.empty((0, 16), np.uint8))
-                places.append(p), bits.append(b), n.append(len(p))
-            if not sum(n):
-                continue
-            p, b = np.concatenate(places), np.ascontiguousarray(np.concatenate(bits))
-            owner, packed = ids.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(pack_places(p))
-            h, low = (pa.array(np.ascontiguousarray(b.view("<i8")[:, k])) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([owner, packed, h, low], names=["_id", "_place", "_h", "_l"])
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = np.stack([batch.column(c).to_numpy() for c in ("_h", "_l")], 1).astype("<i8").view(np.uint8)
-            single = np.unpackbits(b, axis=1)
-            for t, at in enumerate(chosen):
-                word = single[:, at].astype(np.int64) @ (1 << np.arange(key_bits)) | t << key_bits
-                yield pa.RecordBatch.from_arrays([pa.array(word), *batch.columns], names=["_key", *batch.schema.names])
+                c = np.empty(len(p), CORNER)
+                c["place"], (c["h"], c["l"]) = pack_places(p), np.ascontiguousarray(b).view("<u8").T
+                found.append(c.tobytes() or None)
+            out = pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary())], names=["_id", "_c"])
+            yield out.filter(out.column("_c").is_valid())
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, held, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def close() -> pa.RecordBatch:
+            ends = np.cumsum([sum(map(len, versions)) for versions in held])
+            values = pa.array(ids, batch.schema.field("_id").type)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), values)
+            data = b"".join(c.tobytes() for versions in held for c in versions)
+            return pa.RecordBatch.from_arrays([pa.array([number]), lists, pa.array([ends.astype("<i8").tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["_b", "_ids", "_ends", "_c"])
+
+        for batch in batches:  # in order of the ids
+            for k, data in zip(batch.column("_id").to_pylist(), batch.column("_c"), strict=True):
+                c = np.frombuffer(data.as_buffer(), CORNER)
+                if ids and ids[-1] == k:
+                    held[-1].append(c)
+                else:
+                    if size >= 512 * hot_word:
+                        yield close()
+                        number, ids, held, size = number + 1, [], [], 0
+                    ids.append(k), held.append([c])
+                size += len(c)
+        if ids:
+            yield close()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys, (h, low) = table.column("_key").to_numpy(), (table.column(c).to_numpy().view(np.uint64) for c in ("_h", "_l"))
-            ids, places = as_array(table.column("_id")), as_array(table.column("_place"))
-            blocks = table.column("_block").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo < 2:
-                    continue
-                apart = keys[lo] >> 15 & 0x7FFF != keys[lo] & 0x7FFF  # two blocks of a hot key
-                for i, j in near(h[lo:hi], low[lo:hi], masks[: keys[lo] >> 30 >> key_bits], max_distance):
-                    i, j = i + lo, j + lo
-                    if apart:
-                        i, j = i[blocks[i] != blocks[j]], j[blocks[i] != blocks[j]]
-                    i, j = pa.array(i), pa.array(j)
-                    yield pa.RecordBatch.from_arrays([ids.take(i), ids.take(j), places.take(i), places.take(j)], names=["_id_a", "_id_b", "_place_a", "_place_b"])
-
-        for batch in batches:  # sorted by key; the last key of a batch may go on in the next
-            keys = batch.column("_key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if cut:
-                yield from solve(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            if len(keys):
-                held.append(batch.slice(cut))
-        if held:
-            yield from solve(pa.Table.from_batches(held))
+        for batch in batches:
+            for r in range(len(batch)):
+                ids_a, ids_b = batch.column("_ids")[r].values, batch.column("_ids_b")[r].values
+                (ends_a, ends_b), (a, b) = ([np.frombuffer(batch.column(f"{name}{side}")[r].as_buffer(), dtype) for side in ("", "_b")] for name, dtype in (("_ends", "<i8"), ("_c", CORNER)))
+                same = batch.column("_b")[r] == batch.column("_b_b")[r]
+                found = list(block_copies(a, b, ends_a, ends_b, same, chosen, masks, max_distance, min_inliers, tolerance))
+                if found:
+                    i, j, n, *rest = (list(c) for c in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([ids_a.take(pa.array(i)), ids_b.take(pa.array(j)), pa.array(n, pa.int32()), *[pa.array(v, pa.float64()) for v in rest]], names=["image_a", "image_b", "inliers", "scale", "turn", "dy", "dx"])
 
     entries = images.select(quoted(id_col).alias("_id"), quoted(image_col).alias("_image")).where("_id is not null and _image is not null")
-    corners = checkpoint(entries.mapInArrow(describe, f"_id {kind}, _place bigint, _h bigint, _l bigint"))
-    entries = corners.mapInArrow(key, f"_key bigint, _id {kind}, _place bigint, _h bigint, _l bigint")
-    size = 16 * hot_word
-    hot = entries.groupBy(F.col("_key").alias("_hot")).count().where(F.col("count") > size)
-    hot = F.broadcast(checkpoint(hot.select("_hot", F.least(F.lit(1 << 15), F.ceil(F.col("count") / size)).cast("int").alias("_cut"))))  # 2**key_bits a table at most
-    entries = entries.join(hot, F.col("_key") == F.col("_hot"), "left").withColumn("_cut", F.coalesce("_cut", F.lit(1)))
-    entries = entries.withColumn("_block", F.pmod(F.xxhash64("_id", "_place"), "_cut").cast("int"))
-    entries = entries.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)))
-    word = F.shiftleft("_key", 30) + F.least("_block", "_other") * F.lit(1 << 15) + F.greatest("_block", "_other")
-    entries = entries.select(word.alias("_key"), "_block", "_id", "_place", "_h", "_l")
-    sorted_ = entries.repartition(shuffle_partitions(images.sparkSession), "_key").sortWithinPartitions("_key", "_id")
-    met = sorted_.mapInArrow(compare, f"_id_a {kind}, _id_b {kind}, _place_a bigint, _place_b bigint").where("_id_a <> _id_b")
-    found = met.groupBy("_id_a", "_id_b").agg(F.collect_set(F.struct("_place_a", "_place_b")).alias("_ms"))
-    pairs = found.where(F.size("_ms") >= min_inliers).select("_id_a", "_id_b", F.col("_ms._place_a").alias("_pa"), F.col("_ms._place_b").alias("_pb"))
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for x, y in zip(batch.column("_pa").to_pylist(), batch.column("_pb").to_pylist(), strict=True):
-                both = np.array(sorted(zip(x, y, strict=True)), np.int64)
-                found.append(consensus(np.hstack([unpack_places(both[:, 0]), unpack_places(both[:, 1])]), tolerance))
-            n, s, t, dy, dx = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [], [])
-            out = pa.RecordBatch.from_arrays([batch.column("_id_a"), batch.column("_id_b"), pa.array(n, pa.int32()), *[pa.array(v, pa.float64()) for v in (s, t, dy, dx)]], names=["image_a", "image_b", "inliers", "scale", "turn", "dy", "dx"])
-            yield out.filter(pa.array([x >= min_inliers for x in n], pa.bool_()))
-
-    return pairs.mapInArrow(agree, f"image_a {kind}, image_b {kind}, inliers int, scale double, turn double, dy double, dx double")
+    corners = checkpoint(entries.mapInArrow(describe, f"_id {kind}, _c binary"))
+    ordered = corners.repartitionByRange(shuffle_partitions(images.sparkSession), "_id").sortWithinPartitions("_id")
+    blocks = checkpoint(ordered.mapInArrow(gather, f"_b bigint, _ids array<{kind}>, _ends binary, _c binary"))
+    others = blocks.toDF(*[f"{c}_b" for c in blocks.columns])
+    pairs = blocks.hint("shuffle_replicate_nl").join(others, F.col("_b") <= F.col("_b_b"))  # each task reads blocks from the shared folder; nothing is shuffled
+    return pairs.mapInArrow(compare, f"image_a {kind}, image_b {kind}, inliers int, scale double, turn double, dy double, dx double")
 
 
 def draw(vector: np.ndarray, side: int = 96) -> np.ndarray:

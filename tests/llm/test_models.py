@@ -175,6 +175,32 @@ def test_group_of_many_copies(spark):
     assert sorted(media.find_copies(few, hot_word=2).collect()) == sorted(media.find_copies(few).collect())
 
 
+def test_matches_of_images_never_leave_their_task(spark):
+    out = media.find_copies(images(spark))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and "CartesianProduct" in plan
+
+
+def test_blocks_with_many_matches_are_compared_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    picture = media.draw(rng.normal(size=64), 64)
+    corners = []
+    for _ in range(12):
+        p, b = media.descriptors(picture + rng.normal(0, 2, picture.shape))
+        c = np.empty(len(p), media.CORNER)
+        c["place"], (c["h"], c["l"]) = media.pack_places(p), np.ascontiguousarray(b).view("<u8").T
+        corners.append(c)
+    ends, both = np.cumsum([len(c) for c in corners]), np.concatenate(corners)
+    chosen = media.table_bits(media.tables_needed(12, 16, 0.9), 12)
+    masks = np.zeros((len(chosen), 128), np.uint8)
+    np.put_along_axis(masks, chosen, 1, 1)
+    args = (both, both, ends, ends, True, chosen, np.packbits(masks, axis=1).view("<u8"), 16, 6, 4.0)
+    whole = list(media.block_copies(*args))
+    assert {(a, b) for a, b, *_ in whole} == {(a, b) for b in range(12) for a in range(b)}
+    monkeypatch.setattr(media, "MATCHES", 40)
+    assert sorted(media.block_copies(*args)) == sorted(whole)
+
+
 def test_png_round_trip():
     import zlib
 
