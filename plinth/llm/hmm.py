@@ -6,7 +6,9 @@ vocabulary.  The emission table has a row a distinct word of the corpus and is
 never in one place: each chunk sends the expected counts of its words to the
 parts of a hash range, where they are summed and sent back to the chunks that hold the
 word, so that what is gathered and kept grows with the corpus and its vocabulary.  The
-number of parts follows the vocabularies' size.  Only the sums of a fixed number
+number of parts follows the vocabularies' size.  Symbols and messages travel by byte planes,
+compressed; each step's messages replace those before, so that the disk holds the chunks
+and those of two steps.  Only the sums of a fixed number
 of columns (starts, moves, occupancy of states, log-likelihood) reach the driver.
 
 Training cuts documents into segments of ``segment`` words, all of which are used, and
@@ -159,6 +161,25 @@ def _binary(values: np.ndarray) -> pa.Array:
     return pa.array([values.tobytes()], pa.binary())
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as compressed byte planes: the high bytes of small numbers,
+    and the exponents of floats, take little room."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in map(np.ascontiguousarray, columns)]
+    return len(columns[0]).to_bytes(8, "little") + pa.Codec("zstd").compress(b"".join(planes), asbytes=True)
+
+
+def unpack(data: pa.Buffer, *kinds: str) -> list[np.ndarray]:
+    """The columns of ``pack``, given their types."""
+    n, sizes = int.from_bytes(data[:8].to_pybytes(), "little"), [np.dtype(k).itemsize for k in kinds]
+    if not n:
+        return [np.empty(0, k) for k in kinds]
+    flat, out, at = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * sum(sizes)), np.uint8), [], 0
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.ascontiguousarray(flat[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str, words: int = CHUNK) -> DataFrame:
     """``_c, _n, _ids, _ends, _symbols, _vocab``: a row a chunk, the symbols being places in its vocabulary."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -171,7 +192,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, words: int = CHUNK) -> D
             ids = pa.chunked_array([i for i, _, _ in held]).combine_chunks()
             ends = np.cumsum(np.concatenate([n for _, _, n in held]))
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            columns = [pa.array([number]), pa.array([len(vocab)], pa.int64()), lists, _binary(ends.astype("<i8")), _binary(symbols.astype("<u2" if len(vocab) <= 1 << 16 else "<u4")), _binary(vocab.astype("<u8"))]
+            columns = [pa.array([number]), pa.array([len(vocab)], pa.int64()), lists, _binary(ends.astype("<i8")), pa.array([pack(symbols.astype("<u4"))], pa.binary()), _binary(vocab.astype("<u8"))]
             return pa.RecordBatch.from_arrays(columns, names=["_c", "_n", "_ids", "_ends", "_symbols", "_vocab"])
 
         for batch in (piece for whole in batches for piece in pieces(whole, "_text")):
@@ -207,18 +228,18 @@ def settled(chunked: DataFrame) -> DataFrame:
 
 
 class Rounds:
-    """The messages of each round, written in the shared folder in place of those before."""
+    """The messages of each step, written in the shared folder in place of those before."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, f"{ensure_checkpoint_dir(spark)}/hmm-{uuid.uuid4().hex}", 0
 
-    def write(self, up: DataFrame) -> DataFrame:
+    def write(self, messages: DataFrame) -> DataFrame:
         self.n += 1
-        up.write.parquet(f"{self.folder}/{self.n}", compression="zstd")
+        messages.write.parquet(f"{self.folder}/{self.n}", compression="uncompressed")  # the blocks are compressed
         old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.n - 1}")
         old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         release(self.spark)
-        return self.spark.read.schema(UP).parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(messages.schema).parquet(f"{self.folder}/{self.n}")
 
 
 UP = "_p int, _c bigint, _d binary, _h array<double>"
@@ -228,22 +249,19 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, offsets and vocabulary of a chunk."""
     get = lambda name, kind: np.frombuffer(table.column(name)[0].as_buffer(), kind)
     vocab = get("_vocab", "<u8")
-    return get("_symbols", "<u2" if len(vocab) <= 1 << 16 else "<u4").astype(np.int64), np.concatenate([[0], get("_ends", "<i8")]), vocab
+    return unpack(table.column("_symbols")[0].as_buffer(), "<u4")[0].astype(np.int64), np.concatenate([[0], get("_ends", "<i8")]), vocab
 
 
-def _record(states: int, word: bool) -> np.dtype:
-    return np.dtype([("word", "<u8")] * word + [("at", "<u4"), ("n", "<f4", (1 + states,))])
+UP_KINDS, BACK_KINDS = ("<u8", "<u4", "<u4"), ("<u4", "<u8")  # words, places (as steps) and occurrences; places and occurrences
 
 
 def _send(chunk: int, vocab: np.ndarray, counts: np.ndarray, head: np.ndarray, parts: int) -> pa.Table:
     """The counts of a chunk's words, a block a part, and its sums as part -1."""
-    r = np.empty(len(vocab), _record(counts.shape[1] - 1, True))
-    r["word"], r["at"], r["n"] = vocab, np.arange(len(vocab)), counts
     part = (mix(vocab) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, r = part[order], r[order]
+    order = np.argsort(part, kind="stable")  # within a part by place
+    part, words, occurrences, by_state = part[order], vocab[order], counts[order, 0].astype("<u4"), counts[order, 1:].T.astype("<f4")
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
-    blocks = [None, *(r[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+    blocks = [None, *(pack(words[a:b], np.diff(order[a:b], prepend=0).astype("<u4"), occurrences[a:b], *by_state[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
     heads = [head.tolist()] + [None] * (len(blocks) - 1)
     to = np.concatenate([[-1], part[cuts[:-1]]]).astype(np.int32)
     return pa.table({"_p": to, "_c": np.full(len(to), chunk), "_d": pa.array(blocks, pa.binary()), "_h": pa.array(heads, pa.list_(pa.float64()))})
@@ -256,17 +274,14 @@ def _sums(up: DataFrame, width: int) -> np.ndarray:
 
 def _back(up: DataFrame, states: int) -> DataFrame:
     """``_c, _d``: to each chunk the counts of its words, summed over all chunks."""
-    sent, returned = _record(states, True), _record(states, False)
 
     def add(table: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(x.as_buffer(), sent) for chunk in table.column("_d").chunks for x in chunk]
-        r = np.concatenate(blocks)
-        back, words = pd.factorize(r["word"])
-        total = np.stack([np.bincount(back, r["n"][:, k], len(words)) for k in range(1 + states)], 1)
-        out = np.empty(len(r), returned)
-        out["at"], out["n"] = r["at"], total[back]
-        ends = np.cumsum([len(b) for b in blocks])
-        return pa.table({"_c": table.column("_c"), "_d": pa.array([out[b - len(x) : b].tobytes() for x, b in zip(blocks, ends, strict=True)], pa.binary())})
+        blocks = [unpack(x.as_buffer(), *UP_KINDS, *["<f4"] * states) for chunk in table.column("_d").chunks for x in chunk]
+        back, words = pd.factorize(np.concatenate([b[0] for b in blocks]))
+        total = [np.bincount(back, np.concatenate([b[k] for b in blocks]), len(words)).astype("<u8" if k == 2 else "<f4") for k in range(2, 3 + states)]
+        ends = np.cumsum([len(b[0]) for b in blocks])
+        out = [pack(b[1], *[t[back[end - len(b[0]) : end]] for t in total]) for b, end in zip(blocks, ends, strict=True)]
+        return pa.table({"_c": table.column("_c"), "_d": pa.array(out, pa.binary())})
 
     return up.where("_p >= 0").select("_p", "_c", "_d").groupBy("_p").applyInArrow(add, "_c bigint, _d binary")
 
@@ -275,8 +290,8 @@ def _counts(table: pa.Table, n: int, states: int) -> np.ndarray:
     out = np.zeros((n, 1 + states))
     for chunk in table.column("_d").chunks:
         for x in chunk:
-            r = np.frombuffer(x.as_buffer(), _record(states, False))
-            out[r["at"]] = r["n"]
+            steps, *counts = unpack(x.as_buffer(), *BACK_KINDS, *["<f4"] * states)
+            out[np.cumsum(steps, dtype=np.int64)] = np.stack(counts, 1)
     return out
 
 
@@ -330,19 +345,21 @@ def train(chunked: DataFrame, states: int = 6, rounds: int = 3, segment: int = 2
     messages = Rounds(chunked.sparkSession)
     up = messages.write(count_words(chunked, states, parts))
     sums = _sums(up, states + 1)
+    back = messages.write(_back(up, states))
     rng = np.random.default_rng(11)
     move, total = rng.uniform(0.5, 1.5, (states, states)), float(sums[-1])
     e = Estimate(np.full(states, 1 / states), move / move.sum(1, keepdims=True), total, sums[:-1] / total if total else np.ones(states), None)
     trace: list[float] = []
     for _ in range(rounds if total else 0):
-        up = messages.write(expect(chunked, _back(up, states), e, segment, parts))
+        up = messages.write(expect(chunked, back, e, segment, parts))
         sums = _sums(up, 2 * states + states * states + 1)
+        back = messages.write(_back(up, states))
         start, move, norm = sums[:states] + 1.0, sums[states : states + states * states].reshape(states, states) + 1.0, sums[-1 - states : -1]
         e = Estimate(start / start.sum(), move / move.sum(1, keepdims=True), total, norm, smoothing * total / states)
         trace.append(float(sums[-1]))
         if len(trace) > 1 and trace[-1] - trace[-2] < tolerance * abs(trace[-2]):
             break
-    return e, _back(up, states), trace
+    return e, back, trace
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 6, rounds: int = 3, segment: int = 256, smoothing: float = 0.01, tolerance: float = 1e-4) -> DataFrame:

@@ -374,6 +374,33 @@ def test_training_raises_the_likelihood(spark, odd):
     assert hmm.emissions(estimate, words, counts).sum(0) == pytest.approx(1, abs=1e-5)
 
 
+def test_messages_of_three_rounds_take_little_room(spark, odd, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 400) % 5_000) for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], odd.schema)
+    chunked, states = hmm.settled(hmm.chunks(docs, "doc_id", "text", 4_000)), 6
+    steps, write = [], hmm.Rounds.write
+
+    def counted(self, messages):
+        out = write(self, messages)
+        steps.append(out.where("_d is not null").selectExpr("sum(length(_d))").first()[0])
+        return out
+
+    monkeypatch.setattr(hmm.Rounds, "write", counted)
+    hmm.train(chunked, states, 3, tolerance=0.0)
+    rows = chunked.selectExpr("sum(_n)").first()[0]
+    assert len(steps) == 8 and max(steps) < 36 * rows  # 40 bytes a row up and 32 back uncompressed
+    assert max(steps[1::2]) < 26 * rows
+    assert chunked.selectExpr("sum(length(_symbols))").first()[0] < 1.9 * sum(len(t.split()) for t in texts)  # 2 bytes a word before
+
+
+def test_packed_columns_come_back():
+    for n in (0, 1, 1000):
+        columns = [np.arange(n, dtype="<u8") * 977, np.arange(n, dtype="<u4")[::-1], np.linspace(0, 1, n, dtype="<f4")]
+        got = hmm.unpack(pa.py_buffer(hmm.pack(*columns)), "<u8", "<u4", "<f4")
+        assert all((x == y).all() and x.dtype == y.dtype and len(x) == n for x, y in zip(columns, got, strict=True))
+
+
 def test_scores_odd_rows(odd, empty):
     out = {(r["doc_id"], r["n_words"]): r for r in hmm.score(clash(odd), states=2, rounds=1).collect()}
     assert out[(2, 0)]["log_likelihood"] == 0 and out[(2, 0)]["per_word"] is None and out[(3, 0)]["per_word"] is None
