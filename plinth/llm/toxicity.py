@@ -247,7 +247,7 @@ def score_texts(texts: pa.Array, langs: pa.Array, automata: dict, p: dict) -> tu
             continue
         words = tokens(text)
         weights = known.setdefault(lang, {})
-        new = set(words) - weights.keys()
+        new = set(words).difference(weights)  # ``- weights.keys()`` would walk all known words for each text
         if new:
             automaton = automata.get(lang) or automata.get("") if lang is not None else automata[None]
             for w in new:

@@ -88,6 +88,20 @@ def test_scores_against_brute_force():
     assert scores(texts) == pytest.approx([brute_score(t, toxicity.BASE_TERMS) for t in texts])
 
 
+def test_a_text_costs_its_own_words_alone():
+    from time import process_time
+
+    def seconds(texts):
+        began = process_time()
+        found = scores(texts)
+        return process_time() - began, found
+
+    many = " ".join(f"word{k}" for k in range(200_000))
+    alone, _ = seconds([many])
+    both, found = seconds([many] + ["an idiot here"] * 2_000)
+    assert found[1:] == [1.0] * 2_000 and both < 3 * alone + 1
+
+
 def test_toxic_rows(spark, odd, empty):
     bad = spark.createDataFrame([(8, "you moron , you idiot", "en", "a", 1), (None, "trash and scum", None, None, 2)], odd.schema)
     docs = clash(odd.union(bad))
