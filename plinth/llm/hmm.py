@@ -27,6 +27,7 @@ no model to train and an empty result, or zeros.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -238,7 +239,9 @@ class Rounds:
         messages.write.parquet(f"{self.folder}/{self.n}", compression="uncompressed")  # the blocks are compressed
         old = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.n - 1}")
         old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-        release(self.spark)
+        for _ in range(2):  # a plan that has just ended is still held by its events, and with it its shuffle
+            release(self.spark)
+            time.sleep(0.3)
         return self.spark.read.schema(messages.schema).parquet(f"{self.folder}/{self.n}")
 
 
