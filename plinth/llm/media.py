@@ -6,22 +6,24 @@ maxima of the Harris response above a share of the largest; each gets an
 orientation (the direction of the intensity centroid) and 128 intensity
 comparisons in the patch turned to it.
 
-The images, in order of their ids, are put in blocks of about 512 * ``hot_word``
+The images, in order of their ids, are put in blocks of about 2048 * ``hot_word``
 corners, kept in the shared folder.  Each pair of blocks is compared on its own, so
 that all matches of two images meet in one task: only copies leave it, and nothing
 is shuffled between blocks.  Corners take the room of the input; the comparisons,
 like the matches by chance, grow with the square of the corners.
 
-In a pair of blocks there are tables of ``key_bits`` sampled bits each: corners that
-agree on a table's bits are compared, and match if they differ in at most
-``max_distance`` of all bits.  There are as many tables as find a pair that differs
-in just ``max_distance`` bits, wherever they are, with probability ``recall``.
-Each match comes from the first table in which its corners meet.  Common keys are
-compared in pieces of at most ``CHUNK`` pairs, whole.
+Corners match if they differ in at most ``max_distance`` of all bits.  Every match of
+an image pair proposes a similarity transform (turn, scale, shift); the pair is a
+copy when at least ``min_inliers`` matches at distinct places agree with one.
 
-Every match of an image pair proposes a similarity transform (turn, scale,
-shift); the pair is a copy when at least ``min_inliers`` matches at distinct
-places agree with one.
+Which image pairs are measured so, over all their corners, is chosen by an index: in a
+pair of blocks there are tables of ``key_bits`` sampled bits each, and corners that
+agree on a table's bits are compared.  An image pair is measured if two matches found
+so agree with each other and differ in few bits (1.5 times ``max_distance`` in
+sum), or three agree.  There are as many tables as find two of ``min_inliers`` matches
+that differ in three quarters of ``max_distance`` bits, wherever they are, with
+probability ``recall``.  Common keys are compared in pieces of about
+``CHUNK`` pairs, whole: no key, image or match is left out for being common.
 
 Nulls, ties, odd input: null, empty, undecodable and featureless images match
 nothing; null ids take no part; rows that share an id are versions of one image,
@@ -45,9 +47,11 @@ from pyspark.sql import functions as F
 from plinth.llm._util import checkpoint, quoted, shuffle_partitions
 
 RADIUS, BITS, TURNS = 11, 128, 36
-CHUNK = 1 << 16  # corner pairs compared at once
-PART = 1 << 16  # corners of a block compared at once with all of another
-MATCHES = 1 << 22  # held at once
+CHUNK = 1 << 15  # corner pairs compared at once
+PART = 1 << 20  # corners of a block compared at once with all of another
+MATCHES, HELD = 1 << 26, 1 << 20  # of two blocks by their keys, and of those unpacked at once
+FULL_TURN, TURN_SLACK, SIZE_SLACK = 31416, 17, 1.5  # of matches that agree: 1/5,000 radians, 1/256 turns, sizes
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 def _png(data: bytes) -> np.ndarray | None:
@@ -242,56 +246,141 @@ def table_bits(tables: int, key_bits: int) -> np.ndarray:
     return np.array(out)
 
 
-def near(ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of the one side and of the other at most ``max_distance`` bits apart."""
-    step = max(1, CHUNK // len(hb))
-    for lo in range(0, len(ha), step):
-        apart = np.bitwise_count(ha[lo : lo + step, None] ^ hb)
-        apart += np.bitwise_count(la[lo : lo + step, None] ^ lb)
+def pair_tables(key_bits: int, max_distance: int, min_inliers: int, recall: float) -> int:
+    """Tables that find two of ``min_inliers`` matches that differ in three quarters of
+    ``max_distance`` bits with probability ``recall``."""
+    n, low, high = max(min_inliers, 2), 0.0, 1.0
+    for _ in range(50):  # of a match's own probability
+        q = (low + high) / 2
+        low, high = (low, q) if 1 - (1 - q) ** n - n * q * (1 - q) ** (n - 1) >= recall else (q, high)
+    return tables_needed(key_bits, max_distance * 3 // 4, high)
+
+
+def shared_keys(h: np.ndarray, low: np.ndarray, n_a: int, mask: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Corners before and from ``n_a`` that agree on the bits of ``mask`` and are at most ``max_distance`` bits apart."""
+    bits = len(h).bit_length()
+    key = (h & mask[0]) * MIX[0] + (low & mask[1]) * MIX[1]
+    key ^= key >> np.uint64(29)
+    key *= MIX[2]
+    key >>= np.uint64(bits)
+    key <<= np.uint64(bits)
+    key |= np.arange(len(h), dtype=np.uint64)
+    key.sort()
+    at = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
+    key >>= np.uint64(bits)
+    same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+    at, begins = at[same[1:] | same[:-1]], ~same[:-1][same[1:] | same[:-1]]
+    start = np.flatnonzero(begins)  # of the runs of two and more
+    end = np.append(start[1:], len(at))
+    k = np.add.reduceat(at < n_a, start, dtype=np.int64) if len(at) else start  # in each run those of the one side come first
+    both = (k > 0) & (k < end - start)
+    start, end, k = start[both], end[both], k[both]
+    one = np.arange(k.sum()) + np.repeat(start - (np.cumsum(k) - k), k)
+    other, n = np.repeat(start + k, k), np.repeat(end - start - k, k)
+    total = np.cumsum(n)
+    h, low = h[at], low[at]
+    cut = 0
+    while cut < len(n):
+        base = total[cut - 1] if cut else 0
+        to = max(cut + 1, int(np.searchsorted(total, base + CHUNK, "right")))
+        m, x = n[cut:to], one[cut:to]
+        y = np.arange(base, total[to - 1]) + np.repeat(other[cut:to] - (total[cut:to] - m), m)
+        apart = np.bitwise_count(np.repeat(h[x], m) ^ h[y])
+        apart += np.bitwise_count(np.repeat(low[x], m) ^ low[y])
         hit = np.flatnonzero(apart <= max_distance)
-        yield hit // len(hb) + lo, hit % len(hb)
-
-
-def table_keys(c: np.ndarray, chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each table the corners in the order of their keys, and where each key begins."""
-    single = np.unpackbits(np.stack([c["h"], c["l"]], 1).view(np.uint8), axis=1)
-    out, bits = [], chosen.shape[1]
-    for at in chosen:
-        key = np.zeros(len(c), np.int32)
-        for k, bit in enumerate(at):
-            key |= single[:, bit].astype(np.int32) << k
-        order = np.argsort(key, kind="stable")
-        out.append((order.astype(np.int32), np.searchsorted(key[order], np.arange((1 << bits) + 1))))
-    return out
-
-
-def matches(a: np.ndarray, b: np.ndarray, b_keys: list, chosen: np.ndarray, masks: np.ndarray, max_distance: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Places in ``a`` and ``b`` of the corners that agree on a table and are near, each
-    pair once; None where there are more than ``limit``."""
-    found_a, found_b, n, held = [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0, 0
-    for t, ((order_a, start_a), (order_b, start_b)) in enumerate(zip(table_keys(a, chosen), b_keys, strict=True)):
-        ha, la, hb, lb = a["h"][order_a], a["l"][order_a], b["h"][order_b], b["l"][order_b]
-        for key in np.flatnonzero((np.diff(start_a) > 0) & (np.diff(start_b) > 0)):
-            x, y = slice(start_a[key], start_a[key + 1]), slice(start_b[key], start_b[key + 1])
-            for i, j in near(ha[x], la[x], hb[y], lb[y], max_distance):
-                if len(i):
-                    found_a.append(order_a[i + x.start]), found_b.append(order_b[j + y.start])
-                    n += len(i)
-                    if limit is not None and n > limit:
-                        return None
-        # those of this table that an earlier one found are left out at once
-        i, j = np.concatenate(found_a[1:]) if len(found_a) > 1 else found_a[0], np.concatenate(found_b[1:]) if len(found_b) > 1 else found_b[0]
-        if t == 0:
-            all_a, all_b = [i], [j]
-        else:
-            x, y = a["h"][i] ^ b["h"][j], a["l"][i] ^ b["l"][j]
-            new = np.ones(len(i), bool)
-            for one, two in masks[:t]:
-                new &= (x & one | y & two) != 0
-            all_a.append(i[new]), all_b.append(j[new])
-        held += len(all_a[-1])
-        found_a, found_b, n = found_a[:1], found_b[:1], held
-    return np.concatenate(all_a), np.concatenate(all_b)
+        if len(hit):
+            yield at[x[np.searchsorted(total[cut:to], hit + base, "right")]], at[y[hit]] - n_a
+        cut = to
+
+
+def fits(m: np.ndarray, o: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether the transform of each match of ``m`` takes the place of that of ``o`` to its other one."""
+    a, s = m[:, 7] - m[:, 3], m[:, 6] / m[:, 2]
+    ca, sa, y, x = np.cos(a) * s, np.sin(a) * s, o[:, 0] - m[:, 0], o[:, 1] - m[:, 1]
+    return (m[:, 4] + ca * y + sa * x - o[:, 4]) ** 2 + (m[:, 5] + ca * x - sa * y - o[:, 5]) ** 2 <= (tolerance * np.maximum(1, o[:, 6])) ** 2
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, pair: np.ndarray, max_distance: int, tolerance: float) -> np.ndarray:
+    """Of matches in the order of their pairs of images, the pairs of which two agree that differ
+    in few bits, or three that differ in any number; ``tolerance`` is taken 1.5 times."""
+    turn = ((b["place"] & 0xFFFF) * 256 // FULL_TURN).astype(np.uint8)[j] - ((a["place"] & 0xFFFF) * 256 // FULL_TURN).astype(np.uint8)[i]
+    left = np.append(np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(pair))
+    left = np.repeat(left, np.diff(left, prepend=0)) - np.arange(len(pair))  # matches of its pair from each one on
+    support, done, step = np.zeros(len(pair), np.int32), [np.empty(0, np.int64)], 1
+    x = np.arange(len(pair))
+    while len(x := x[left[x] > step]):  # each with the next of its pair, the one after that, and so on
+        y = x + step
+        alike = np.flatnonzero(np.abs((turn[x] - turn[y]).view(np.int8).astype(np.int16)) <= TURN_SLACK)
+        u, v = x[alike], y[alike]
+        if len(u):
+            m, o = (np.hstack([unpack_places(a["place"][i[k]]), unpack_places(b["place"][j[k]])]) for k in (u, v))
+            apart = m[:, 6] / m[:, 2] / (o[:, 6] / o[:, 2])
+            alike = (apart <= SIZE_SLACK) & (apart >= 1 / SIZE_SLACK) & (i[u] != i[v]) & (j[u] != j[v])
+            one, other = alike & fits(m, o, 1.5 * tolerance), alike & fits(o, m, 1.5 * tolerance)
+            support[u[one]] += 1  # each is there once
+            support[v[other]] += 1
+            either = one | other
+            u, v = u[either], v[either]
+            bits = sum(np.bitwise_count(a[w][i[k]] ^ b[w][j[k]]).astype(np.int32) for w in ("h", "l") for k in (u, v))
+            enough = pair[u[(bits * 2 <= 3 * max_distance) | (support[u] > 1) | (support[v] > 1)]]
+            if len(enough):
+                done.append(enough)
+                x = x[~np.isin(pair[x], enough)]
+        step += 1
+    return np.unique(np.concatenate(done))
+
+
+def hinted(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, after: int | None, masks: np.ndarray, max_distance: int, min_inliers: int, tolerance: float, limit: int | None) -> np.ndarray | None:
+    """Pairs of an image of ``a`` and one of ``b`` (where ``after`` is given, one whose number is
+    larger by more than that) that are worth measuring by the matches that share a table's key, as
+    a's image << b's images.bit_length() | b's; None where there are more than ``limit`` of those."""
+    first_a, first_b = np.append(0, ends_a[:-1]), np.append(0, ends_b[:-1])
+    n_a, n_b = ends_a - first_a, ends_b - first_b
+    image_a, image_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+    in_a, in_b, of_b = (int(x).bit_length() for x in (n_a.max(), n_b.max(), len(n_b)))
+    corners = in_a + in_b
+    packed_a = image_a << of_b + corners | np.arange(len(a)) - first_a[image_a] << in_b  # of a match: its images, then its corners
+    packed_b = image_b << corners | np.arange(len(b)) - first_b[image_b]
+    h, low = np.concatenate([a["h"], b["h"]]), np.concatenate([a["l"], b["l"]])
+    m, held = np.empty(0, np.int64), 0
+    for mask in masks:
+        for i, j in shared_keys(h, low, len(a), mask, max_distance):
+            if after is not None:
+                later = image_a[i] + after < image_b[j]
+                i, j = i[later], j[later]
+            if held + len(i) > len(m):
+                m.resize(held + len(i) + HELD, refcheck=False)
+            m[held : held + len(i)] = packed_a[i] | packed_b[j]
+            held += len(i)
+        if limit is not None and held > limit:
+            return None
+    m = m[:held]
+    m.sort()
+    if min_inliers < 2:
+        return np.unique(m >> corners)
+    out, at = [np.empty(0, np.int64)], 0
+    while at < len(m):  # some at a time, whole pairs
+        to = int(np.searchsorted(m, (m[min(at + HELD, len(m)) - 1] >> corners) + 1 << corners))
+        some, at = m[at:to], to
+        some = some[np.concatenate([[True], some[1:] != some[:-1]])]  # some were found in several tables
+        pair = some >> corners
+        again = np.concatenate([[False], pair[1:] == pair[:-1], [False]])
+        again = again[1:] | again[:-1]
+        some, pair = some[again], pair[again]
+        i = first_a[pair >> of_b] + (some >> in_b & (1 << in_a) - 1)
+        j = first_b[pair & (1 << of_b) - 1] + (some & (1 << in_b) - 1)
+        out.append(agreeing(a, b, i, j, pair, max_distance, tolerance))
+    return np.concatenate(out)
+
+
+def all_matches(a: np.ndarray, b: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the one and of the other of all corners at most ``max_distance`` bits apart."""
+    step, found = max(1, CHUNK // len(b)), []
+    for lo in range(0, len(a), step):
+        apart = np.bitwise_count(a["h"][lo : lo + step, None] ^ b["h"])
+        apart += np.bitwise_count(a["l"][lo : lo + step, None] ^ b["l"])
+        found.append(np.flatnonzero(apart <= max_distance) + lo * len(b))
+    return np.divmod(np.concatenate(found), len(b))
 
 
 def promising(ms: np.ndarray, first: np.ndarray, sizes: np.ndarray, min_inliers: int, tolerance: float) -> np.ndarray:
@@ -321,48 +410,55 @@ CORNER = np.dtype([("place", "<i8"), ("h", "<u8"), ("l", "<u8")])
 def block_copies(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, same: bool, chosen: np.ndarray, masks: np.ndarray, max_distance: int, min_inliers: int, tolerance: float) -> Iterator[tuple]:
     """(image of a, image of b, inliers, scale, turn, dy, dx) of the copies of two blocks
     of whole images, or of one (``same``), each pair of its images once."""
-    image_b = np.repeat(np.arange(len(ends_b)), np.diff(ends_b, prepend=0))
-    b_keys = table_keys(b, chosen)
+    assert len(masks) == len(chosen)
+    first_a, first_b = np.append(0, ends_a[:-1]), np.append(0, ends_b[:-1])
     lo, part = 0, PART
     while lo < len(ends_a):  # some images at a time, fewer where copies are many, so that the matches of few are held
-        begin = ends_a[lo - 1] if lo else 0
+        begin = first_a[lo]
         hi = max(lo + 1, int(np.searchsorted(ends_a, begin + part, "right")))
-        own = a[begin : ends_a[hi - 1]]
-        image_a = np.repeat(np.arange(lo, hi), np.diff(ends_a[lo:hi], prepend=begin))
-        both = matches(own, b, b_keys, chosen, masks, max_distance, MATCHES if hi - lo > 1 else None)
-        if both is None:
+        pairs = hinted(a[begin : ends_a[hi - 1]], b, ends_a[lo:hi] - begin, ends_b, lo if same else None, masks, max_distance, min_inliers, tolerance, MATCHES if hi - lo > 1 else None)
+        if pairs is None:
             part = max(1, (ends_a[hi - 1] - begin) // 4)
             continue
-        i, j = both
-        pair = (image_a[i] - lo) * len(ends_b) + image_b[j]
-        often = np.bincount(pair, minlength=(hi - lo) * len(ends_b)) >= min_inliers
-        if same:
-            often &= (np.arange(lo, hi)[:, None] < np.arange(len(ends_b))).ravel()
-        kept = np.flatnonzero(often[pair])
-        kept = kept[np.argsort(pair[kept], kind="stable")]
-        i, j, pair = i[kept], j[kept], pair[kept]
-        first = np.flatnonzero(np.diff(pair, prepend=-1))
-        sizes = np.diff(np.append(first, len(pair)))
-        places = np.stack([own["place"][i], b["place"][j]], 1)
+        of_b = len(ends_b).bit_length()
+        image_a, image_b = (pairs >> of_b) + lo, pairs & (1 << of_b) - 1
+        cells = np.cumsum((ends_a - first_a)[image_a] * (ends_b - first_b)[image_b])
         at = 0
-        while at < len(first):  # about PART << 2 matches at once
-            to = max(at + 1, int(np.searchsorted(first, first[at] + (PART << 2), "left")))
-            x = slice(first[at], first[to] if to < len(first) else len(pair))
-            ms = np.hstack([unpack_places(places[x, 0]), unpack_places(places[x, 1])])
-            for k in np.flatnonzero(promising(ms, first[at:to] - first[at], sizes[at:to], min_inliers, tolerance)) + at:
-                both = np.unique(places[first[k] : first[k] + sizes[k]], axis=0)
-                best = consensus(np.hstack([unpack_places(both[:, 0]), unpack_places(both[:, 1])]), tolerance)
-                if best[0] >= min_inliers:
-                    yield int(pair[first[k]] // len(ends_b) + lo), int(pair[first[k]] % len(ends_b)), *best
+        while at < len(pairs):  # about PART << 5 pairs of corners at once
+            to = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + (PART << 5), "right")))
+            yield from measured(a, b, first_a, ends_a, first_b, ends_b, image_a[at:to], image_b[at:to], max_distance, min_inliers, tolerance)
             at = to
         lo = hi
 
 
-def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", min_inliers: int = 6, max_distance: int = 16, tolerance: float = 4.0, hot_word: int = 256, key_bits: int = 12, recall: float = 0.9) -> DataFrame:
+def measured(a: np.ndarray, b: np.ndarray, first_a: np.ndarray, ends_a: np.ndarray, first_b: np.ndarray, ends_b: np.ndarray, image_a: np.ndarray, image_b: np.ndarray, max_distance: int, min_inliers: int, tolerance: float) -> Iterator[tuple]:
+    """Those of the pairs of images (in order) that are copies by all matches of theirs."""
+    places, pair = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+    for k in np.split(np.arange(len(image_a)), np.flatnonzero(np.diff(image_a)) + 1):  # with one image of a
+        own, n = a[first_a[image_a[k[0]]] : ends_a[image_a[k[0]]]], (ends_b - first_b)[image_b[k]]
+        others = np.concatenate([b[first_b[x] : ends_b[x]] for x in image_b[k]])
+        i, j = all_matches(own, others, max_distance)
+        of = np.repeat(k, n)[j]
+        order = np.argsort(of, kind="stable")
+        pair.append(of[order]), places.append(np.stack([own["place"][i], others["place"][j]], 1)[order])
+    pair, places = np.concatenate(pair), np.concatenate(places)
+    often = (np.bincount(pair, minlength=len(image_a)) >= min_inliers)[pair]
+    pair, places = pair[often], places[often]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    sizes = np.diff(np.append(first, len(pair)))
+    ms = np.hstack([unpack_places(places[:, 0]), unpack_places(places[:, 1])])
+    for k in np.flatnonzero(promising(ms, first, sizes, min_inliers, tolerance)):
+        both = np.unique(places[first[k] : first[k] + sizes[k]], axis=0)
+        best = consensus(np.hstack([unpack_places(both[:, 0]), unpack_places(both[:, 1])]), tolerance)
+        if best[0] >= min_inliers:
+            yield int(image_a[pair[first[k]]]), int(image_b[pair[first[k]]]), *best
+
+
+def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", min_inliers: int = 6, max_distance: int = 16, tolerance: float = 4.0, hot_word: int = 256, key_bits: int = 32, recall: float = 0.9) -> DataFrame:
     """``image_a < image_b, inliers, scale, turn, dy, dx``: the transform takes
     places of the first image to places of the second."""
     kind = images.schema[id_col].dataType.simpleString()
-    chosen = table_bits(tables_needed(key_bits, max_distance, recall), key_bits)
+    chosen = table_bits(pair_tables(key_bits, max_distance, min_inliers, recall), key_bits)
     masks = np.zeros((len(chosen), BITS), np.uint8)
     np.put_along_axis(masks, chosen, 1, 1)
     masks = np.packbits(masks, axis=1).view("<u8")
@@ -395,7 +491,7 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
                 if ids and ids[-1] == k:
                     held[-1].append(c)
                 else:
-                    if size >= 512 * hot_word:
+                    if size >= 2048 * hot_word:
                         yield close()
                         number, ids, held, size = number + 1, [], [], 0
                     ids.append(k), held.append([c])

@@ -215,6 +215,54 @@ def test_blocks_with_many_matches_are_compared_whole(monkeypatch):
     assert sorted(media.block_copies(*args)) == sorted(whole)
 
 
+def corners_of(image):
+    p, b = media.descriptors(media.decode(media.pgm(image)))
+    c = np.empty(len(p), media.CORNER)
+    c["place"], (c["h"], c["l"]) = media.pack_places(p), np.ascontiguousarray(b).view("<u8").T
+    return c
+
+
+def test_unrelated_images_cost_few_comparisons(monkeypatch):
+    rng = np.random.default_rng(12)
+    corners = [corners_of(media.draw(v)) for v in rng.normal(size=(120, 64))]
+    a, b = np.concatenate(corners[:60]), np.concatenate(corners[60:])
+    ends_a, ends_b = np.cumsum([len(c) for c in corners[:60]]), np.cumsum([len(c) for c in corners[60:]])
+    key_bits = media.find_copies.__defaults__[-2]
+    tables = media.pair_tables(key_bits, 16, 6, 0.9) if hasattr(media, "pair_tables") else media.tables_needed(key_bits, 16, 0.9)
+    chosen = media.table_bits(tables, key_bits)
+    masks = np.zeros((len(chosen), 128), np.uint8)
+    np.put_along_axis(masks, chosen, 1, 1)
+    count, done = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (done.append(x.size), count(x))[1])
+    assert not list(media.block_copies(a, b, ends_a, ends_b, False, chosen, np.packbits(masks, axis=1).view("<u8"), 16, 6, 4.0))
+    assert sum(done) / 2 < 60 * 60 * 60  # about 750 a pair of images by tables of 12 bits, 12,000 by brute force
+
+
+def test_two_of_six_matches_are_found():
+    rng = np.random.default_rng(8)
+    chosen = media.table_bits(media.pair_tables(32, 16, 6, 0.9), 32)
+    flips = np.zeros((12_000, 128), bool)
+    np.put_along_axis(flips, rng.random(flips.shape).argsort(1)[:, :12], True, 1)
+    found = np.logical_or.reduce([~flips[:, bits].any(1) for bits in chosen])
+    assert (found.reshape(-1, 6).sum(1) >= 2).mean() >= 0.88  # 0.9 but for the sample and tables that share bits
+
+
+def test_resized_noisy_copies_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    first = [media.draw(v) for v in rng.normal(size=(45, 64))]
+    pictures = first + [media._resize(x, 77, 77) + (k % 2) * rng.normal(0, 8, (77, 77)) for k, x in enumerate(first[:36])] + [media._resize(x, 58, 58) for x in first[36:]]
+    parts, brute = [corners_of(x) for x in pictures], set()
+    for a in range(90):
+        for b in range(a + 1, 90):
+            x, y = parts[a], parts[b]
+            i, j = np.nonzero(np.bitwise_count(x["h"][:, None] ^ y["h"]) + np.bitwise_count(x["l"][:, None] ^ y["l"]) <= 16)
+            if len(i) >= 6 and media.consensus(np.hstack([media.unpack_places(x["place"][i]), media.unpack_places(y["place"][j])]), 4.0)[0] >= 6:
+                brute.add((a, b))
+    rows = [(k, media.pgm(x)) for k, x in enumerate(pictures)]
+    found = {(r["image_a"], r["image_b"]) for r in media.find_copies(spark.createDataFrame(rows, "image_id bigint, image binary")).collect()}
+    assert len(brute) >= 35 and found <= brute and len(found) >= 0.9 * len(brute)
+
+
 def test_png_round_trip():
     import zlib
 
