@@ -6,7 +6,9 @@ ignored; parallel edges count once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.operators._session import checkpoint
@@ -60,13 +62,114 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the closure didn't settle")
 
 
-def strongly_connected(edges: DataFrame) -> DataFrame:
-    """``node, component, size``: the least node of those it reaches and is reached from."""
-    c = transitive_closure(edges)
-    mutual = c.join(c.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    own = nodes(edges).select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    least = mutual.union(own).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
-    return least.withColumn("size", F.count("*").over(Window.partitionBy("component")))
+def strongly_connected(edges: DataFrame, task_edges: int = 1_000_000) -> DataFrame:
+    """``node, component, size``: the least node of those it reaches and is reached from.
+
+    Edges that can't be on a cycle are trimmed in rounds, and what trimming
+    leaves is split by colours, until ``task_edges`` remain, which one task settles."""
+    core = _components(checkpoint(clean(edges).where("src <> dst")), task_edges)
+    core = core.join(core.groupBy("component").agg(F.count("*").alias("size")), "component")
+    own = nodes(edges).join(core, "node", "left")
+    return own.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
+
+
+def _components(rest: DataFrame, task_edges: int) -> DataFrame:
+    """``node, component`` of the components of more than one node."""
+    found, count = [], rest.count()
+    while count > task_edges:
+        heads, tails = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
+        trimmed = checkpoint(rest.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
+        left = trimmed.count()
+        if left > 0.95 * count:
+            members, trimmed = _colour(trimmed)
+            found.append(members)
+            left = trimmed.count()
+        rest, count = trimmed, left
+    kind = rest.schema["src"].dataType.simpleString()
+    out = rest.groupBy().applyInArrow(_tarjan, f"node {kind}, component {kind}")
+    for members in found:
+        out = out.union(members)
+    return checkpoint(out)
+
+
+def _colour(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node takes the least node that reaches it as its colour.  Those of a
+    colour that reach that node are its component; edges between colours and at settled nodes go."""
+    colour = checkpoint(nodes(edges).withColumn("colour", F.col("node")))
+    fresh = colour
+    while not fresh.isEmpty():
+        offer = edges.join(fresh, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+        both = colour.join(offer, "node", "left")
+        both = checkpoint(both.select("node", F.least("colour", "offer").alias("colour"), F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("changed")))
+        colour, fresh = both.select("node", "colour"), both.where("changed").select("node", "colour")
+    a, b = colour.toDF("src", "colour"), colour.toDF("dst", "cb")
+    inner = checkpoint(edges.join(a, "src").join(b, "dst").where("colour = cb").select("src", "dst", "colour"))
+    members = fresh = checkpoint(colour.where("node = colour"))
+    while not fresh.isEmpty():
+        back = inner.join(fresh.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+        fresh = checkpoint(back.join(members.select("node"), "node", "left_anti"))
+        members = checkpoint(members.union(fresh))
+    settled = members.select("node")
+    rest = inner.join(settled.toDF("src"), "src", "left_anti").join(settled.toDF("dst"), "dst", "left_anti")
+    large = members.join(members.where("node <> colour").select("colour").distinct(), "colour", "left_semi")
+    return checkpoint(large.select("node", F.col("colour").alias("component"))), checkpoint(rest.select("src", "dst"))
+
+
+def _tarjan(table: pa.Table) -> pa.Table:
+    graph = _Adjacency(table)
+    first, targets = graph.first.tolist(), graph.targets.tolist()
+    n = len(first) - 1
+    index, low, at = [0] * n, [0] * n, first[:-1]
+    closed, open_, clock = bytearray(n), [], 0
+    members, sizes = [], []
+    for root in range(n):
+        if index[root]:
+            continue
+        call = [root]
+        while call:
+            v = call[-1]
+            if not index[v]:
+                clock += 1
+                index[v] = low[v] = clock
+                open_.append(v)
+            if at[v] < first[v + 1]:
+                w = targets[at[v]]
+                at[v] += 1
+                if not index[w]:
+                    call.append(w)
+                elif not closed[w]:
+                    low[v] = min(low[v], index[w])
+                continue
+            call.pop()
+            if call:
+                low[call[-1]] = min(low[call[-1]], low[v])
+            if low[v] == index[v]:
+                k = len(open_) - 1
+                while open_[k] != v:
+                    k -= 1
+                for w in open_[k:]:
+                    closed[w] = 1
+                if len(open_) - k > 1:
+                    members += open_[k:]
+                    sizes.append(len(open_) - k)
+                del open_[k:]
+    node = graph.labels.take(pa.array(members, pa.int64()))
+    number = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+    least = pa.table({"node": node, "number": number}).group_by("number").aggregate([("node", "min")]).sort_by("number")
+    return pa.table({"node": node, "component": least["node_min"].combine_chunks().take(number)})
+
+
+class _Adjacency:
+    """Edges with nodes numbered: targets of node ``v`` are ``targets[first[v]:first[v + 1]]``."""
+
+    def __init__(self, edges: pa.Table) -> None:
+        ends = pa.chunked_array(edges["src"].chunks + edges["dst"].chunks, edges.schema.field("src").type).combine_chunks()
+        coded = ends.dictionary_encode()
+        self.labels = coded.dictionary
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        src, dst = number[: edges.num_rows], number[edges.num_rows :]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(self.labels)))])
+        self.targets = dst[np.argsort(src, kind="stable")]
 
 
 def cycles(edges: DataFrame, max_length: int = 64, max_paths: int = 1_000_000) -> DataFrame:

@@ -67,6 +67,26 @@ def test_cycles_are_all_simple_cycles(spark):
         graph.cycles(edges(spark, [(f"m{k}", f"m{(k + 1) % 9}") for k in range(9)]), max_length=3)
 
 
+@pytest.mark.parametrize("task_edges", [0, 3, 1000])
+def test_components_in_rounds(spark, task_edges):
+    rng = random.Random(task_edges)
+    for n, m in ((12, 14), (12, 24), (20, 20)):
+        pairs = sorted({(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(m)})
+        closure = reach(pairs)
+        nodes = {x for p in pairs for x in p}
+        want = {k: min([j for j in nodes if (k, j) in closure and (j, k) in closure] + [k]) for k in nodes}
+        got = graph.strongly_connected(edges(spark, [*pairs, ("zz", None)]), task_edges).collect()
+        assert {r["node"]: r["component"] for r in got} == want | {"zz": "zz"} and len(got) == len(nodes) + 1
+        assert all(r["size"] == list(want.values()).count(r["component"]) for r in got if r["node"] != "zz")
+
+
+def test_components_of_a_long_tail_and_ring(spark):
+    """The closure of this graph has over 200 million pairs."""
+    e = spark.range(20_000).select(F.col("id").alias("src"), F.when(F.col("id") == 19_999, F.lit(17_000)).otherwise(F.col("id") + 1).alias("dst"))
+    got = graph.strongly_connected(e).groupBy("component", "size").count().where("count > 1").collect()
+    assert [tuple(r) for r in got] == [(17_000, 3000, 3000)]
+
+
 def test_degrees_and_centrality(spark):
     d = {r["node"]: (r["dependency_count"], r["dependent_count"]) for r in graph.degrees(edges(spark, GRAPHS["diamond"])).collect()}
     assert d == {"a": (2, 0), "b": (1, 1), "c": (1, 1), "d": (0, 2)}
