@@ -175,30 +175,59 @@ class _Adjacency:
 def cycles(edges: DataFrame, max_length: int = 64, max_paths: int = 1_000_000) -> DataFrame:
     """Every simple cycle once, from its least node: ``cycle, length``.
 
-    Paths grow over larger nodes only, inside strongly connected components.
-    Raises where a cycle of more than ``max_length`` nodes, or more than
-    ``max_paths`` open paths, would have to be followed."""
+    Inside each strongly connected component, runs of nodes with one edge in and
+    one out become single steps (a task a component); paths grow over the nodes
+    where edges part or meet, from the least of them.  Raises where a cycle of more than ``max_length``
+    nodes, or more than ``max_paths`` open paths, would have to be followed."""
     e = clean(edges)
+    kind = e.schema["src"].dataType.simpleString()
     loops = e.where("src = dst").select(F.array("src").alias("cycle"))
-    scc = strongly_connected(e).where("size > 1")
+    scc = checkpoint(strongly_connected(e).where("size > 1"))
     a, b = scc.select(F.col("node").alias("src"), F.col("component").alias("ca")), scc.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
-    core = checkpoint(e.where("src <> dst").join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
-    paths = core.where("dst > src").select(F.array("src", "dst").alias("path"))
-    found = loops
-    for _ in range(max_length):
-        paths = checkpoint(paths)
-        open_ = paths.count()
-        if not open_:
-            break
-        if open_ > max_paths:
-            raise ValueError("too many paths; lower max_length or split the graph")
-        step = paths.join(core, F.element_at("path", -1) == F.col("src"))
-        found = found.union(step.where(F.col("dst") == F.element_at("path", 1)).select(F.col("path").alias("cycle")))
-        paths = step.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-    else:
-        if not paths.isEmpty():
+    core = e.where("src <> dst").join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "ca")
+    steps = checkpoint(core.groupBy("ca").applyInArrow(_runs, f"src {kind}, dst {kind}, run array<{kind}>"))
+    found = []
+    paths = steps.select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("seen"), F.col("run").alias("path"))
+    while True:
+        paths = checkpoint(paths.where("last >= first"))
+        closed, open_ = paths.where("last = first"), paths.where("last > first")
+        n, longest = paths.agg(F.count(F.when(F.col("last") > F.col("first"), 1)), F.max(F.size("path") + (F.col("last") > F.col("first")).cast("int"))).first()
+        if longest is not None and longest > max_length + 1:
             raise ValueError("cycles longer than max_length")
-    return found.select("cycle", F.size("cycle").alias("length"))
+        if n > max_paths:
+            raise ValueError("too many paths; lower max_length or split the graph")
+        found.append(closed.select("path"))
+        if not n:
+            break
+        grown = open_.join(steps, F.col("last") == F.col("src")).where(~F.array_contains("seen", F.col("dst")) | (F.col("dst") == F.col("first")))
+        paths = grown.select("first", F.col("dst").alias("last"), F.concat("seen", F.array("dst")).alias("seen"), F.concat("path", "run").alias("path"))
+    out = found[0]
+    for df in found[1:]:
+        out = out.union(df)
+    least = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", least, F.size("path")), F.slice("path", F.lit(1), least - 1))
+    return loops.union(out.select(turned.alias("cycle"))).select("cycle", F.size("cycle").alias("length"))
+
+
+def _runs(table: pa.Table) -> pa.Table:
+    """``src, dst, run``: a walk from ``src`` to ``dst`` over nodes with one edge in and one out."""
+    graph = _Adjacency(table)
+    first, targets = graph.first.tolist(), graph.targets.tolist()
+    out, into = np.diff(graph.first), np.bincount(graph.targets, minlength=len(first) - 1)
+    between = ((out == 1) & (into == 1)).tolist()
+    ends: tuple[list, list] = [], []
+    walked, sizes = [], [0]
+    for v in [v for v, inner in enumerate(between) if not inner] or [0]:
+        for w in targets[first[v] : first[v + 1]]:
+            walked.append(v)
+            while between[w] and w != v:
+                walked.append(w)
+                w = targets[first[w]]
+            sizes.append(len(walked))
+            ends[0].append(v)
+            ends[1].append(w)
+    src, dst, run = (graph.labels.take(pa.array(x, pa.int64())) for x in (*ends, walked))
+    return pa.table({"src": src, "dst": dst, "run": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), run)})
 
 
 def dependency_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:

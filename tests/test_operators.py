@@ -67,6 +67,20 @@ def test_cycles_are_all_simple_cycles(spark):
         graph.cycles(edges(spark, [(f"m{k}", f"m{(k + 1) % 9}") for k in range(9)]), max_length=3)
 
 
+def brute_cycles(pairs):
+    """Every simple cycle from its least node."""
+    found, todo = set(), [[a] for a in {a for a, _ in pairs}]
+    while todo:
+        path = todo.pop()
+        for a, b in pairs:
+            if a == path[-1]:
+                if b == path[0]:
+                    found.add(tuple(path))
+                elif b > path[0] and b not in path:
+                    todo.append([*path, b])
+    return found
+
+
 @pytest.mark.parametrize("task_edges", [0, 3, 1000])
 def test_components_in_rounds(spark, task_edges):
     rng = random.Random(task_edges)
@@ -87,6 +101,20 @@ def test_components_of_a_long_tail_and_ring(spark):
     assert [tuple(r) for r in got] == [(17_000, 3000, 3000)]
 
 
+def test_long_cycles_take_few_rounds(spark):
+    """A round a node would take 300 rounds."""
+    ring = [(f"a{k:03}", f"a{(k + 1) % 300:03}") for k in range(300)]
+    loop = [("a150", "b0"), *[(f"b{k}", f"b{k + 1}") for k in range(60)], ("b60", "a150"), ("b60", "a151"), ("b5", "b5"), ("tail", "a000")]
+    pairs = ring + loop
+    got = [tuple(r["cycle"]) for r in graph.cycles(edges(spark, pairs), 1000).collect()]
+    assert sorted(got) == sorted(brute_cycles(pairs)) and len(got) == 4
+    rng = random.Random(5)
+    for _ in range(3):
+        pairs = sorted({(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(17)})
+        got = [tuple(r["cycle"]) for r in graph.cycles(edges(spark, pairs)).collect()]
+        assert sorted(got) == sorted(brute_cycles(pairs))
+
+
 def test_degrees_and_centrality(spark):
     d = {r["node"]: (r["dependency_count"], r["dependent_count"]) for r in graph.degrees(edges(spark, GRAPHS["diamond"])).collect()}
     assert d == {"a": (2, 0), "b": (1, 1), "c": (1, 1), "d": (0, 2)}
