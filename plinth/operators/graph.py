@@ -6,6 +6,8 @@ ignored; parallel edges count once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,20 +50,95 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return joined.select("node", F.when(F.col("n_nodes") > 1, degree / (F.col("n_nodes") - 1)).otherwise(F.lit(1.0)).alias("centrality"))
 
 
-def transitive_closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """All pairs with a path, by doubling: rounds are logarithmic in the longest."""
-    known = checkpoint(clean(edges))
-    count = known.count()
+def transitive_closure(edges: DataFrame, max_rounds: int = 40, max_broadcast: int = 8_000_000) -> DataFrame:
+    """All pairs with a path.
+
+    Up to ``max_broadcast`` edges are sent to all tasks, which walk from their
+    nodes and shuffle nothing.  More are joined in doubling rounds, logarithmic in the longest path, in
+    which only pairs at exactly half the distance meet."""
+    e = checkpoint(clean(edges))
+    if e.count() <= max_broadcast:
+        return _walked(e)
+    exact = known = e  # shortest walks of 2 ** round edges, and of up to 2 ** (round + 1) - 1
     for _ in range(max_rounds):
-        step = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        known = checkpoint(known.union(step).distinct())
-        new = known.count()
-        if new == count:
+        exact = checkpoint(_composed(exact, exact).distinct().join(known, ["src", "dst"], "left_anti"))
+        if exact.isEmpty():
             return known
-        count = new
+        known = checkpoint(known.union(exact).union(_composed(exact, known)).distinct())
     raise RuntimeError("the closure didn't settle")
 
 
+def _composed(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.toDF("src", "via").join(b.toDF("via", "dst"), "via").select("src", "dst")
+
+
+def _walked(edges: DataFrame, cells: int = 64_000_000, rows: int = 1_000_000) -> DataFrame:
+    """The closure by breadth-first walks, several nodes of a task at once; ``cells``
+    bounds the marks of a task, ``rows`` what is held before it is given out."""
+    spark = edges.sparkSession
+    kind = edges.schema["src"].dataType.simpleString()
+    graph = _Adjacency(edges.toArrow())
+    n = len(graph.labels)
+    if not n:
+        return edges
+    shared = spark.sparkContext.broadcast((graph.labels, graph.first, graph.targets))
+    group = max(1, cells // n)
+
+    def given(labels: pa.Array, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        src, dst = (np.concatenate(x) for x in zip(*held, strict=True))
+        for k in range(0, len(src), rows):
+            yield pa.record_batch({"src": labels.take(pa.array(src[k : k + rows])), "dst": labels.take(pa.array(dst[k : k + rows]))})
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, first, targets = shared.value
+        degree = np.diff(first)
+        seen = np.zeros(group * n, bool)
+        for batch in batches:
+            sources = batch.column(0).to_numpy()
+            for at in range(0, len(sources), group):
+                some = sources[at : at + group]
+                seen[:] = False
+                line, node = np.arange(len(some)), some
+                held: list[tuple[np.ndarray, np.ndarray]] = []
+                size = 0
+                while len(node):
+                    if widest == 1:
+                        more = np.flatnonzero(degree[node])
+                        line, node = line[more], targets[first[node[more]]]
+                        mark = line * n + node
+                        new = np.flatnonzero(~seen[mark])
+                        line, node = line[new], node[new]
+                        seen[mark[new]] = True
+                        held.append((some[line], node))
+                        size += len(node)
+                        if size >= rows or not len(node):
+                            yield from given(labels, held)
+                            held, size = [], 0
+                        continue
+                    found = []
+                    total = int(degree[node].sum())
+                    for l, v in zip(*(np.array_split(x, -(-total // rows) or 1) for x in (line, node)), strict=True):
+                        d = degree[v]
+                        up = np.cumsum(d)
+                        to = targets[np.repeat(first[v] - up + d, d) + np.arange(up[-1] if len(up) else 0)]
+                        mark = np.repeat(l * n, d) + to
+                        mark = mark[~seen[mark]]
+                        mark = np.unique(mark)
+                        seen[mark] = True
+                        found.append(mark)
+                    marks = np.concatenate(found)
+                    line, node = np.divmod(marks, n)
+                    held.append((some[line], node))
+                    size += len(node)
+                    if size >= rows or not len(node):
+                        yield from given(labels, held)
+                        held, size = [], 0
+
+    widest = int(np.diff(graph.first).max())
+    parts = max(1, min(-(-n // 64), 8 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, n, 1, parts).mapInArrow(reach, f"src {kind}, dst {kind}")
+
+
 def strongly_connected(edges: DataFrame, task_edges: int = 1_000_000) -> DataFrame:
     """``node, component, size``: the least node of those it reaches and is reached from.
 

@@ -115,6 +115,32 @@ def test_long_cycles_take_few_rounds(spark):
         assert sorted(got) == sorted(brute_cycles(pairs))
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_closure_by_rounds_and_by_walks(spark, limit):
+    rng = random.Random(limit)
+    for n, m in ((14, 15), (14, 30), (40, 40)):
+        pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+        got = [tuple(r) for r in graph.transitive_closure(edges(spark, [*pairs, (None, "n1")]), max_broadcast=limit).collect()]
+        assert sorted(got) == sorted(reach(pairs))
+    chain = [(f"c{k:02}", f"c{k + 1:02}") for k in range(30)]
+    assert graph.transitive_closure(edges(spark, chain), max_broadcast=limit).count() == 30 * 31 // 2
+    assert graph.transitive_closure(edges(spark, []), max_broadcast=limit).count() == 0
+
+
+def test_closure_walks_in_small_groups(spark):
+    rng = random.Random(7)
+    pairs = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(60)})
+    for cells in (1, 70):
+        got = [tuple(r) for r in graph._walked(edges(spark, pairs), cells, 4).collect()]
+        assert sorted(got) == sorted(reach(pairs))
+
+
+def test_closure_of_a_long_path_meets_each_pair_once(spark):
+    """Joined with itself in every round, the closure meets each pair at all nodes between: 4.5 billion rows."""
+    e = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.transitive_closure(e).count() == 3000 * 3001 // 2
+
+
 def test_degrees_and_centrality(spark):
     d = {r["node"]: (r["dependency_count"], r["dependent_count"]) for r in graph.degrees(edges(spark, GRAPHS["diamond"])).collect()}
     assert d == {"a": (2, 0), "b": (1, 1), "c": (1, 1), "d": (0, 2)}
