@@ -201,6 +201,8 @@ def test_similarity_shuffles_no_pairs(spark):
     df = spark.range(50).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
     plan = similarity.similarity_pairs(df, "id", {"v": 1.0}, 0.5, 7)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+    blended = similarity.similarity_pairs(df.withColumn("w", F.reverse("v")), "id", {"v": 0.7, "w": 0.3}, 0.5, 7)
+    assert "Exchange" not in blended._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scalars(spark):
